@@ -1,0 +1,5 @@
+"""Left empty on purpose: the workload is batch and has no streaming operator.
+
+The row-wise column functions in :mod:`genesieve.functions` contain no
+aggregation or window, so they can be applied to a streaming DataFrame as is.
+"""
