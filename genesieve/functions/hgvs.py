@@ -18,118 +18,137 @@ def _or_null(text: Column) -> Column:
 
 
 def _number(text: Column) -> Column:
-    return text.try_cast("bigint")
+    """A matched group as a number.
+
+    A failing try_cast is slow, so the usual non-numbers are sorted out before it;
+    the text is read twice and should be a column or array element.
+    """
+    return F.when(~text.isin("", "?"), text.try_cast("bigint"))
 
 
 def annotate_protein(df: DataFrame, change: str, prefix: str = "protein_") -> DataFrame:
     """Add class, position, residues and stop position of a protein change.
 
     ``pos`` / ``pos2`` are the first two positions of an indel, otherwise ``pos``
-    alone is set.  The class follows a fixed precedence, see ``_protein_class``.
+    alone is set.  Columns are built in layers, each small enough for the JIT and
+    each reading the one before several times, so that nothing is computed twice.
     """
     raw = F.col(change)
-    upper = F.replace(F.upper(raw), F.lit(">"), F.lit(""))
+    upper, s = F.col("__upper"), F.col("__body")
     body = F.when(upper.startswith("P."), F.substring(upper, F.lit(3), F.length(upper))).otherwise(upper)
-    s = F.col("__body")
-    first = F.substring(s, 1, 1)
-    flags = {
-        "__has_p": F.coalesce(F.upper(raw).contains("P."), F.lit(False)),
-        "__unknown": s.isin(*fv.P_UNKNOWN) | s.contains("("),
-        "__no_protein": s.isin(*fv.P_NO_PROTEIN),
-        "__question": s.contains("?"),
-        "__lost_stop": s.rlike(fv.P_LOST_STOP),
-        "__replaced": s.rlike(fv.P_REPLACED),
-        "__first": first,
-        "__last": F.substring(s, -1, 1),
-        "__insertion": raw.contains("ins"),
-        "__deletion": raw.contains("del"),
-        "__shift": raw.contains("fs") | raw.rlike(fv.P_FRAME_SHIFT_ORIGINAL),
-        "__ends_in_stop": s.rlike(fv.P_ENDS_IN_STOP),
-        "__inner": F.when(
-            F.length(s) > 2, F.substring(s, F.lit(2), F.length(s) - 2)
-        ).otherwise(F.lit("")),
-    }
-    df = df.withColumn("__body", body).withColumns(flags)
-
-    # The form that the string is parsed as: the first that applies.
-    pos_in_middle = _number(F.regexp_extract(s, fv.P_REPLACED, 2))
-    form = (
-        F.when(~F.col("__has_p"), "none")
-        .when(F.col("__unknown") | F.col("__no_protein"), "effect")
-        .when(F.col("__lost_stop"), "lost_stop")
-        .when(
-            F.col("__replaced") & (pos_in_middle == 1) & (F.col("__first") != F.col("__last")),
-            "lost_start",
-        )
-        .when(F.col("__replaced"), "replaced")
-        .when(F.col("__insertion"), "insertion")
-        .when(F.col("__deletion"), "deletion")
-        .when(F.col("__shift"), "shift")
-        .when(F.col("__ends_in_stop") & s.endswith("*"), "nonsense")
-        .otherwise("none")
+    first, last, form = F.col("__first"), F.col("__last"), F.col("__form")
+    columns = df.columns
+    df = df.withColumn("__upper", F.replace(F.upper(raw), F.lit(">"), F.lit("")))
+    df = df.withColumn("__body", body).withColumns(
+        {"__first": F.substring(s, 1, 1), "__last": F.substring(s, -1, 1), "__question": s.contains("?")}
     )
-    df = df.withColumn("__form", form)
-
-    f = F.col("__form")
-    shift_pos = _number(F.regexp_extract(s, r"[A-Z*](\d+)", 1))
-    shift_stop = _number(F.regexp_extract(s, r"\*(\d+)$", 1))
-    shift_parsed = shift_pos.isNotNull() & (~F.col("__ends_in_stop") | shift_stop.isNotNull())
-    nonsense_pos = F.when(F.col("__inner").rlike(r"^\d+$"), _number(F.col("__inner")))
-    known_indel = f.isin("insertion", "deletion") & ~F.col("__question")
-    letters = F.regexp_extract_all(s, F.lit(r"([A-Z])\d+"), F.lit(1))
-    numbers = F.regexp_extract_all(s, F.lit(r"[A-Z](\d+)"), F.lit(1))
 
-    valid = (f != "none") & ~((f == "nonsense") & nonsense_pos.isNull())
-    missing = F.col("__question") | ((f == "shift") & ~shift_parsed)
-    synonymous = f.isin("replaced", "nonsense") & (
-        F.col("__first") == F.when(f == "nonsense", F.lit("*")).otherwise(F.col("__last"))
+    # The form that the string is read as: the first that applies.
+    effect = s.isin(*fv.P_UNKNOWN, *fv.P_NO_PROTEIN) | s.contains("(")
+    df = df.withColumns(
+        {
+            "__replaced": F.regexp_extract(s, fv.P_REPLACED, 2),
+            "__effect": effect,
+        }
+    ).withColumn("__replaced_pos", _number(F.col("__replaced"))).withColumn(
+        "__form",
+        F.when(raw.isNull() | ~F.upper(raw).contains("P."), NONE)
+        .when(F.col("__effect"), EFFECT)
+        .when(s.rlike(fv.P_LOST_STOP), LOST_STOP)
+        .when((F.col("__replaced_pos") == 1) & (first != last), LOST_START)
+        .when(F.col("__replaced_pos").isNotNull(), REPLACED)
+        .when(raw.contains("ins"), INSERTED)
+        .when(raw.contains("del"), DELETED)
+        .when(raw.contains("fs") | raw.rlike(fv.P_FRAME_SHIFT_ORIGINAL), SHIFTED)
+        .when((last == "*") & (F.length(s) > 1), STOPPED)
+        .otherwise(NONE),
+    )
+
+    known_indel = F.col("__indel")
+    df = df.withColumn("__indel", form.isin(INSERTED, DELETED) & ~F.col("__question"))
+    df = df.withColumns(
+        {
+            "__numbers": F.when(known_indel, F.regexp_extract_all(s, F.lit(r"[A-Z](\d+)"), F.lit(1))),
+            "__number_text": F.when(form.isin(LOST_STOP, SHIFTED), F.regexp_extract(s, r"[A-Z*](\d+)", 1))
+            .when(form == STOPPED, F.regexp_extract(s, r"^.(\d+)\*$", 1)),
+            "__stop_text": F.when(form == SHIFTED, F.regexp_extract(s, r"\*(\d+)$", 1)),
+            "__stop_missing": (form == SHIFTED) & s.rlike(fv.P_ENDS_IN_STOP),
+            f"{prefix}initial": _initial(s, known_indel),
+            f"{prefix}mutated": _mutated(s, known_indel),
+        }
+    ).withColumns(
+        {"__number": _number(F.col("__number_text")), "__stop": _number(F.col("__stop_text"))}
     )
+    # A frame shift that ends in a stop has to say where the stop is.
+    parsed = F.col("__number").isNotNull() & (~F.col("__stop_missing") | F.col("__stop").isNotNull())
+    df = df.withColumn("__parsed", F.when(form.isin(SHIFTED, STOPPED), parsed).otherwise(True))
+
+    ok = F.col("__parsed")
+    synonymous = ((form == REPLACED) & (first == last)) | ((form == STOPPED) & (first == "*"))
     category = (
-        F.when(~valid, fv.NOT_VALID)
-        .when(F.col("__unknown"), fv.UNKNOWN_EFFECT)
-        .when(F.col("__no_protein"), fv.NO_PROTEIN)
-        .when(missing, fv.MISSING)
-        .when(f == "lost_stop", fv.NONSTOP)
-        .when(f == "lost_start", fv.TRANSLATION_START)
+        F.when((form == NONE) | ((form == STOPPED) & ~ok), fv.NOT_VALID)
+        .when((form == EFFECT) & s.isin(*fv.P_NO_PROTEIN), fv.NO_PROTEIN)
+        .when(form == EFFECT, fv.UNKNOWN_EFFECT)
+        .when(F.col("__question") | ~ok, fv.MISSING)
+        .when(form == LOST_STOP, fv.NONSTOP)
+        .when(form == LOST_START, fv.TRANSLATION_START)
         .when(synonymous, fv.SILENT)
-        .when(f == "replaced", fv.MISSENSE)
-        .when(f.isin("insertion", "deletion"), fv.IN_FRAME)
-        .when(f == "nonsense", fv.NONSENSE)
-        .otherwise(fv.FRAME_SHIFT)
+        .when(form == REPLACED, fv.MISSENSE)
+        .when(form == STOPPED, fv.NONSENSE)
+        .when(form == SHIFTED, fv.FRAME_SHIFT)
+        .otherwise(fv.IN_FRAME)
     )
     position = (
-        F.when(f == "lost_stop", _number(F.regexp_extract(s, r"^\*(\d+)", 1)))
-        .when(f.isin("lost_start", "replaced"), pos_in_middle)
-        .when(known_indel, _number(F.get(numbers, F.lit(0))))
-        .when((f == "shift") & shift_parsed, shift_pos)
-        .when(f == "nonsense", nonsense_pos)
-    )
-    initial = (
-        F.when(f.isin("lost_stop", "lost_start", "replaced", "shift", "nonsense"), F.col("__first"))
-        .when(known_indel, F.array_join(F.slice(letters, 1, 2), ""))
-    )
-    mutated = (
-        F.when(f == "lost_stop", F.regexp_extract(s, r"([A-Z?*]+)$", 1))
-        .when(f.isin("lost_start", "replaced"), F.col("__last"))
-        .when(known_indel & (f == "insertion"), F.btrim(F.regexp_extract(s, r"INS([A-Z0-9?*]+)", 1), F.lit("?")))
-        .when(known_indel, F.regexp_extract(s, r"DEL([A-Z]*)", 1))
-        .when(f == "nonsense", F.lit("*"))
-    )
-    stop = (
-        F.when((f == "shift") & shift_parsed & F.col("__ends_in_stop"), shift_stop)
-        .when(f == "nonsense", F.lit(0).cast("bigint"))
+        F.when(form.isin(LOST_START, REPLACED), F.col("__replaced_pos"))
+        .when(F.col("__indel"), _number(F.get("__numbers", F.lit(0))))
+        .when(ok, F.col("__number"))
     )
     df = df.withColumns(
         {
             f"{prefix}class": category,
             f"{prefix}pos": position,
-            f"{prefix}pos2": F.when(known_indel, _number(F.get(numbers, F.lit(1)))),
-            f"{prefix}initial": _or_null(initial),
-            f"{prefix}mutated": _or_null(mutated),
-            f"{prefix}stop_pos": stop,
+            f"{prefix}pos2": F.when(F.col("__indel"), _number(F.get("__numbers", F.lit(1)))),
+            f"{prefix}mutated": _or_null(F.col(f"{prefix}mutated")),
+            f"{prefix}stop_pos": F.when(form == STOPPED, F.lit(0).cast("bigint"))
+            .when(ok, F.col("__stop")),
         }
     )
-    return df.drop("__body", "__form", *flags)
+    added = [f"{prefix}{c}" for c in ("class", "pos", "pos2", "initial", "mutated", "stop_pos")]
+    return df.select(*columns, *added)
+
+
+# What a protein change string is read as.
+NONE, EFFECT, LOST_STOP, LOST_START, REPLACED, INSERTED, DELETED, SHIFTED, STOPPED = range(9)
+
+
+def _initial(s: Column, indel: Column) -> Column:
+    letters = F.regexp_extract_all(s, F.lit(r"([A-Z])\d+"), F.lit(1))
+    return F.when(indel, F.array_join(F.slice(letters, 1, 2), "")).when(
+        F.col("__form").isin(LOST_STOP, LOST_START, REPLACED, SHIFTED, STOPPED), F.col("__first")
+    )
+
+
+def _mutated(s: Column, indel: Column) -> Column:
+    form = F.col("__form")
+    inserted = F.btrim(F.regexp_extract(s, r"INS([A-Z0-9?*]+)", 1), F.lit("?"))
+    return (
+        F.when(form.isin(LOST_START, REPLACED, STOPPED), F.col("__last"))
+        .when(form == LOST_STOP, F.regexp_extract(s, r"([A-Z?*]+)$", 1))
+        .when(indel & (form == INSERTED), inserted)
+        .when(indel, F.regexp_extract(s, r"DEL([A-Z]*)", 1))
+    )
+
+
+_SEPARATOR = "\u0001"
+
+
+def _fields(text: Column, pattern: str, order: str) -> Column:
+    """The groups of a pattern, in the given order, separated by a control character.
+
+    One replacement instead of one extraction per group; text without a match is
+    returned as it is.
+    """
+    return F.regexp_replace(text, f"^.*?{pattern}", _SEPARATOR.join(f"${g}" if g != "0" else "" for g in order))
 
 
 def annotate_dna(
@@ -140,71 +159,72 @@ def annotate_dna(
     splice_5: int = fv.SPLICE_5,
 ) -> DataFrame:
     """Add class, positions, intron offsets, alleles and the splice flag of a DNA change."""
-    raw = F.col(change)
-    s = F.when(raw.startswith("c."), F.substring(raw, F.lit(3), F.length(raw))).otherwise(raw)
-    substitution, deletion, insertion = s.contains(">"), s.contains("del"), s.contains("ins")
-    kind = (
-        F.when(substitution, fv.SUBSTITUTION)
-        .when(deletion, fv.DELETION)
-        .when(insertion, fv.INSERTION)
+    raw, s, kind = F.col(change), F.col("__s"), F.col("__kind")
+    columns = df.columns
+    body = F.when(raw.startswith("c."), F.substring(raw, F.lit(3), F.length(raw))).otherwise(raw)
+    df = df.withColumn("__s", body).withColumns(
+        {
+            "__kind": F.when(s.contains(">"), fv.SUBSTITUTION)
+            .when(s.contains("del"), fv.DELETION)
+            .when(s.contains("ins"), fv.INSERTION),
+            "__unknown": F.lower(s).isin(*fv.C_UNKNOWN) | s.startswith("("),
+        }
+    )
+    # near position, near offset, far position, far offset, removed, added
+    fields = (
+        F.when(kind == fv.SUBSTITUTION, _fields(s, fv.C_SUBSTITUTION, "123456"))
+        .when(kind == fv.DELETION, _fields(s, fv.C_DELETION, "123450"))
+        .when(kind == fv.INSERTION, _fields(s, fv.C_INSERTION, "123405"))
     )
-    df = df.withColumns({"__s": s, "__kind": kind})
-
-    def group(index: int) -> Column:
-        """The same group of whichever pattern belongs to the kind of change."""
-        text = F.col("__s")
-        return (
-            F.when(F.col("__kind") == fv.SUBSTITUTION, F.regexp_extract(text, fv.C_SUBSTITUTION, index))
-            .when(F.col("__kind") == fv.DELETION, F.regexp_extract(text, fv.C_DELETION, index))
-            .when(F.col("__kind") == fv.INSERTION, F.regexp_extract(text, fv.C_INSERTION, index))
-            .otherwise(F.lit(""))
-        )
-
-    df = df.withColumns({f"__g{i}": F.coalesce(group(i), F.lit("")) for i in range(1, 6)})
-    ranged = F.col("__g1") != ""
-    matched = F.col("__g3") != ""
-    near, far = _number(F.col("__g2")), _number(F.col("__g4"))
-    unknown = F.lower(F.col("__s")).isin(*fv.C_UNKNOWN) | F.col("__s").startswith("(")
-    valid = F.col("__s").isNotNull() & (
-        ((F.col("__kind") == fv.SUBSTITUTION) & matched)
-        | F.col("__kind").isin(fv.DELETION, fv.INSERTION)
-        | (F.col("__kind").isNull() & unknown)
+    df = df.withColumn("__fields", F.split(fields, _SEPARATOR))
+
+    def field(index: int) -> Column:
+        return F.get("__fields", F.lit(index))
+
+    df = df.withColumn("__matched", F.coalesce(F.size("__fields") > 1, F.lit(False))).withColumns(
+        {
+            "__ranged": F.col("__matched") & (field(0) != ""),
+            "__p1": F.when(F.col("__matched"), _number(field(0))),
+            "__i1": F.when(F.col("__matched"), _number(field(1))),
+            "__p2": _number(field(2)),
+            "__i2": _number(field(3)),
+        }
     )
+    matched, ranged, unknown = F.col("__matched"), F.col("__ranged"), F.col("__unknown")
+    near, far = F.col("__i1"), F.col("__i2")
     category = (
-        F.when(~F.coalesce(valid, F.lit(False)), fv.NOT_VALID)
+        F.when(s.isNull(), fv.NOT_VALID)
+        .when(kind.isNull() & ~unknown, fv.NOT_VALID)
+        .when((kind == fv.SUBSTITUTION) & ~matched, fv.NOT_VALID)
         .when(unknown, fv.UNKNOWN_EFFECT)
-        .when(F.col("__s").contains("?"), fv.MISSING)
-        .otherwise(F.col("__kind"))
+        .when(s.contains("?"), fv.MISSING)
+        .otherwise(kind)
     )
 
     def inside(offset: Column) -> Column:
-        return F.coalesce((offset >= splice_3) & (offset <= splice_5), F.lit(False))
+        return F.coalesce(offset.between(splice_3, splice_5), F.lit(False))
 
-    # In a range, an end without intron offset lies in the exon and counts as 0.
-    a, b = F.coalesce(near, F.lit(0)), F.coalesce(far, F.lit(0))
+    df = df.withColumns(
+        # In a range, an end without intron offset lies in the exon and counts as 0.
+        {"__a": F.coalesce(near, F.lit(0)), "__b": F.coalesce(far, F.lit(0))}
+    )
+    a, b = F.col("__a"), F.col("__b")
     ends_inside = ((a != 0) & inside(a)) | ((b != 0) & inside(b))
     jumps_site = ((a == 0) & (b > splice_5)) | ((a < splice_3) & (b == 0))
-    splice = F.when(ranged, ends_inside | jumps_site).otherwise(inside(far))
-    g3 = _number(F.col("__g3"))
-    substituted = F.col("__kind") == fv.SUBSTITUTION
-    removed = F.when(substituted | (F.col("__kind") == fv.DELETION), F.col("__g5"))
-    added = (
-        F.when(substituted, F.regexp_extract(F.col("__s"), fv.C_SUBSTITUTION, 6))
-        .when(F.col("__kind") == fv.INSERTION, F.col("__g5"))
-    )
     df = df.withColumns(
         {
             f"{prefix}class": category,
-            f"{prefix}pos": F.when(ranged, _number(F.col("__g1"))).otherwise(g3),
-            f"{prefix}pos2": F.when(ranged, g3),
+            f"{prefix}pos": F.when(ranged, F.col("__p1")).otherwise(F.col("__p2")),
+            f"{prefix}pos2": F.when(ranged, F.col("__p2")),
             f"{prefix}intron": F.when(ranged, near).otherwise(far),
             f"{prefix}intron2": F.when(ranged, far),
-            f"{prefix}initial": _or_null(removed),
-            f"{prefix}mutated": _or_null(added),
-            f"{prefix}splice": matched & splice,
+            f"{prefix}initial": F.when(matched, _or_null(field(4))),
+            f"{prefix}mutated": F.when(matched, _or_null(field(5))),
+            f"{prefix}splice": matched & F.when(ranged, ends_inside | jumps_site).otherwise(inside(far)),
         }
     )
-    return df.drop("__s", "__kind", *[f"__g{i}" for i in range(1, 6)])
+    added = ("class", "pos", "pos2", "intron", "intron2", "initial", "mutated", "splice")
+    return df.select(*columns, *[f"{prefix}{c}" for c in added])
 
 
 def consequence(protein_class: Column, splice: Column, known: Column | None = None) -> Column:

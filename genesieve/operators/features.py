@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
+from ..session import settle
 from .cleaning import impute_mean
 
 COUNT_COLUMNS = (
@@ -115,6 +116,7 @@ def ratio_features(df: DataFrame) -> DataFrame:
     beyond_silent = F.col("silent") + 1
     columns: dict[str, Column] = {}
     if "total_missense_mgaentropy" in df.columns:
+        df = settle(df)  # read twice: by the rows and by the column maximum
         mean = F.try_divide(F.col("total_missense_mgaentropy").cast("double"), F.col("missense"))
         largest = df.agg(F.max(mean)).scalar()
         columns["mean_missense_mgaentropy"] = F.coalesce(mean, largest)
@@ -150,7 +152,7 @@ def ratio_features(df: DataFrame) -> DataFrame:
 def centre_on_cohort(
     features: DataFrame, cohort: DataFrame, columns: Sequence[str]
 ) -> DataFrame:
-    """Subtract the cohort's column means."""
+    """Subtract the cohort's column means; pass materialised tables if they share work."""
     means = cohort.agg(F.struct(*[F.avg(c).alias(c) for c in columns])).scalar()
     return features.withColumns({c: F.col(c) - means[c] for c in columns})
 
@@ -195,12 +197,13 @@ def feature_matrix(
     """Join ratios with test results, covariates and network, and impute.
 
     Unknown network values are 0; everything else takes the column mean after all
-    joins.
+    joins.  The joined table is materialised, as both the means and the rows read it.
     """
     others = [*tests] + [t for t in (covariates, network) if t is not None]
     df = attach(ratios, others, key)
     if network is not None:
         df = df.fillna(0, subset=[c for c in network.columns if c != key])
+    df = settle(df)
     numeric = [
         c for c, t in df.dtypes
         if c != key and (t in ("int", "bigint", "double", "float") or t.startswith("decimal"))
