@@ -4,7 +4,10 @@ from importlib import import_module
 
 from .base import REGISTRY, Query
 
-_MODULES = ("source_queries", "cleaning_queries", "merging_queries", "feature_queries")
+_MODULES = (
+    "source_queries", "cleaning_queries", "merging_queries", "feature_queries", "stats_queries",
+    "learning_queries",
+)
 
 
 def registry() -> dict[str, Query]:

@@ -85,18 +85,13 @@ def annotate_protein(df: DataFrame, change: str, prefix: str = "protein_") -> Da
 
     ok = F.col("__parsed")
     synonymous = ((form == REPLACED) & (first == last)) | ((form == STOPPED) & (first == "*"))
+    by_form = F.get(F.array(*[F.lit(c) for c in FORM_CLASSES]), form)
     category = (
-        F.when((form == NONE) | ((form == STOPPED) & ~ok), fv.NOT_VALID)
+        F.when((form == STOPPED) & ~ok, fv.NOT_VALID)
         .when((form == EFFECT) & s.isin(*fv.P_NO_PROTEIN), fv.NO_PROTEIN)
-        .when(form == EFFECT, fv.UNKNOWN_EFFECT)
-        .when(F.col("__question") | ~ok, fv.MISSING)
-        .when(form == LOST_STOP, fv.NONSTOP)
-        .when(form == LOST_START, fv.TRANSLATION_START)
+        .when((form > EFFECT) & (F.col("__question") | ~ok), fv.MISSING)
         .when(synonymous, fv.SILENT)
-        .when(form == REPLACED, fv.MISSENSE)
-        .when(form == STOPPED, fv.NONSENSE)
-        .when(form == SHIFTED, fv.FRAME_SHIFT)
-        .otherwise(fv.IN_FRAME)
+        .otherwise(by_form)
     )
     position = (
         F.when(form.isin(LOST_START, REPLACED), F.col("__replaced_pos"))
@@ -117,8 +112,12 @@ def annotate_protein(df: DataFrame, change: str, prefix: str = "protein_") -> Da
     return df.select(*columns, *added)
 
 
-# What a protein change string is read as.
+# What a protein change string is read as, and the class that belongs to it.
 NONE, EFFECT, LOST_STOP, LOST_START, REPLACED, INSERTED, DELETED, SHIFTED, STOPPED = range(9)
+FORM_CLASSES = (
+    fv.NOT_VALID, fv.UNKNOWN_EFFECT, fv.NONSTOP, fv.TRANSLATION_START, fv.MISSENSE,
+    fv.IN_FRAME, fv.IN_FRAME, fv.FRAME_SHIFT, fv.NONSENSE,
+)
 
 
 def _initial(s: Column, indel: Column) -> Column:

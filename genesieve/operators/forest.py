@@ -144,11 +144,11 @@ def score_forest(
             model.setLeafCol(f"__leaf{b}").setPredictionCol("").setProbabilityCol("")
             .setRawPredictionCol("")
         )
-        scored = model.transform(scored)
+        scored = model.transform(scored).withColumn(f"__classes{b}", _leaf_classes(df, block))
         votes.append(
             F.zip_with(
                 vector_to_array(F.col(f"__leaf{b}")),
-                _leaf_classes(df, block),
+                F.col(f"__classes{b}"),
                 lambda leaf, classes: F.get(classes, leaf.cast("int")),
             )
         )

@@ -132,7 +132,7 @@ def naive_bayes(
     ).scalar()
     values = F.array(*[F.col(c).cast("double") for c in counts])
     joint = F.transform(
-        model,
+        F.col("__model"),
         lambda m: m["prior"]
         + F.aggregate(
             F.zip_with(m["weights"], F.col("__values"), lambda w, v: w * v),
@@ -140,11 +140,13 @@ def naive_bayes(
             lambda a, x: a + x,
         ),
     )
-    scored = test.withColumn("__values", values).withColumn("__joint", joint)
+    scored = (
+        test.withColumn("__values", values).withColumn("__model", model).withColumn("__joint", joint)
+    )
     top = F.array_max("__joint")
     shifted = F.transform("__joint", lambda j: F.exp(j - F.array_max(F.col("__joint"))))
     norm = F.aggregate(shifted, F.lit(0.0), lambda a, x: a + x)
-    classes = F.transform(model, lambda m: m["class"])
+    classes = F.transform("__model", lambda m: m["class"])
     return scored.select(
         *test.columns,
         F.element_at(classes, F.array_position("__joint", top).cast("int")).alias("predicted"),
