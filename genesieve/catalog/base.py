@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_path, shuffle_width
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -42,14 +44,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bind(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    """Run a binding in Spark; ``{name}`` stands for a table."""
-    names = {n for n in re.findall(r"\{(\w+)\}", text) if n in TABLES}
-    return spark.sql(text, **{n: table(spark, sf_dir, n) for n in names})
+    """Run a binding in Spark; ``{name}`` stands for a table or for the mutations."""
+    names = set(re.findall(r"\{(\w+)\}", text))
+    frames = {n: table(spark, sf_dir, n) for n in names if n in TABLES}
+    if "mutations" in names:
+        frames["mutations"] = mutations(spark, sf_dir)
+    return spark.sql(text, **frames)
 
 
 def plain(text: str) -> str:
     """The same binding as text for another SQL engine."""
-    return text.format_map({n: n for n in TABLES})
+    names = {n: n for n in TABLES}
+    return text.format_map(names | {"mutations": f"({MUTATIONS.format_map(names)}) mutations"})
+
+
+_prepared: dict[tuple[str, str], str] = {}
+
+
+def mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mutation table derived from all line items, written once per session.
+
+    It plays the part of the cohort's mutation file: queries prune its columns and
+    scan it in parallel.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _prepared:
+        path = scratch_path(spark, "mutations")
+        bind(spark, sf_dir, MUTATIONS).repartition(shuffle_width(spark)).write.parquet(path)
+        _prepared[key] = path
+    return spark.read.parquet(_prepared[key])
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:

@@ -6,7 +6,7 @@ from ..functions import fixed_values as fv
 from ..functions import text
 from ..operators import cleaning
 from ..operators.ordered import hashed_row_number
-from .base import MUTATIONS, bind, plain, query, rounded, table
+from .base import bind, plain, query, rounded, table
 
 
 def case_of(column: str, names: dict[str, str], default: str) -> str:
@@ -149,7 +149,7 @@ INFORMATIVE_ROWS = f"""
 SELECT l_orderkey, l_linenumber, coalesce(protein_change, '') AS protein_change,
   coalesce(dna_change, '') AS dna_change,
   CASE WHEN l_linenumber = 3 THEN 'UNKNOWN' ELSE 'Confirmed somatic' END AS status
-FROM ({MUTATIONS}) m
+FROM {{mutations}}
 """
 
 

@@ -5,11 +5,11 @@ from pyspark.sql import functions as F
 from ..functions import hgvs
 from ..operators import features
 from ..session import settle
-from .base import MUTATIONS, bind, plain, query, rounded
+from .base import bind, mutations, plain, query, rounded
 
 # The annotation rules once more, as SQL.
 PROTEIN = f"""
-  mutation AS ({plain(MUTATIONS)}),
+  mutation AS (SELECT * FROM {plain('{mutations}')}),
   body AS (
     SELECT *, CASE WHEN u LIKE 'P.%' THEN substr(u, 3) ELSE u END AS s
     FROM (SELECT *, replace(upper(protein_change), '>', '') AS u FROM mutation) x),
@@ -65,7 +65,7 @@ PROTEIN = f"""
 DNA = f"""
   dna_body AS (
     SELECT *, CASE WHEN dna_change LIKE 'c.%' THEN substr(dna_change, 3) ELSE dna_change END AS d
-    FROM ({plain(MUTATIONS)}) m),
+    FROM {plain('{mutations}')}),
   dna_kind AS (
     SELECT *, CASE WHEN contains(d, '>') THEN 'substitution' WHEN contains(d, 'del') THEN 'deletion'
       WHEN contains(d, 'ins') THEN 'insertion' END AS kind FROM dna_body),
@@ -106,7 +106,7 @@ _DNA_OUT = [
     f"WITH {PROTEIN} SELECT {_KEY_TEXT}, protein_change, {', '.join(_PROTEIN_OUT)} FROM protein",
 )
 def annotate_protein_change(spark, sf_dir):
-    rows = bind(spark, sf_dir, MUTATIONS).select(*KEYS, "protein_change")
+    rows = mutations(spark, sf_dir).select(*KEYS, "protein_change")
     return hgvs.annotate_protein(rows, "protein_change")
 
 
@@ -115,13 +115,13 @@ def annotate_protein_change(spark, sf_dir):
     f"WITH {DNA} SELECT {_KEY_TEXT}, dna_change, {', '.join(_DNA_OUT)} FROM dna",
 )
 def annotate_dna_change(spark, sf_dir):
-    rows = bind(spark, sf_dir, MUTATIONS).select(*KEYS, "dna_change")
+    rows = mutations(spark, sf_dir).select(*KEYS, "dna_change")
     return hgvs.annotate_dna(rows, "dna_change")
 
 
 def annotated(spark, sf_dir):
     """Mutations with their consequence class and protein position."""
-    rows = bind(spark, sf_dir, MUTATIONS)
+    rows = mutations(spark, sf_dir)
     rows = hgvs.annotate_protein(rows, "protein_change")
     rows = hgvs.annotate_dna(rows, "dna_change")
     category = hgvs.consequence(F.col("protein_class"), F.col("dna_splice"), F.col("known_type"))
@@ -130,7 +130,7 @@ def annotated(spark, sf_dir):
 
 # A splice hit, found from the DNA change or known before, overrides the class.
 ANNOTATED = f"""
-  {PROTEIN}, {DNA.replace(f"({plain(MUTATIONS)}) m", "protein")},
+  {PROTEIN}, {DNA.replace(plain('{mutations}'), 'protein')},
   annotated AS (
     SELECT *, CASE WHEN dna_splice OR known_type = 'Splice_Site' THEN 'Splice_Site' ELSE protein_class END AS class
     FROM dna)

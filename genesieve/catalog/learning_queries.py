@@ -189,24 +189,25 @@ def naive_bayes(spark, sf_dir):
 # Forests: small ones, on the whole matrix.
 SETTINGS = forest.ForestSettings(trees=12, blocks=2, max_depth=10, max_bins=32, parallelism=4)
 FOLDS, REPEATS = 3, 2
-_banks: dict[tuple[str, str], str] = {}
+_trained_models: dict[tuple, tuple] = {}
 
 
 def _labelled(spark, sf_dir):
     labels = bind(spark, sf_dir, LABELS).select("gene", "label")
-    joined = matrix(spark, sf_dir).join(labels, "gene")
-    return settle(joined)
+    return settle(matrix(spark, sf_dir).join(labels, "gene"))
 
 
-def _trained(spark, sf_dir, kind: str, train) -> tuple[str, object]:
-    """Train once per data set and session; the model folders are reused by later queries."""
+def _trained(spark, sf_dir, kind: str, train):
+    """The model folder and the labelled matrix.
+
+    Trained once per data set and session; later queries reuse the saved models.
+    """
     key = (spark.sparkContext.applicationId, sf_dir, kind)
-    labelled = _labelled(spark, sf_dir)
-    if key not in _banks:
-        path = scratch_path(spark, kind)
+    if key not in _trained_models:
+        labelled, path = _labelled(spark, sf_dir), scratch_path(spark, kind)
         train(labelled, path)
-        _banks[key] = path
-    return _banks[key], labelled
+        _trained_models[key] = (path, labelled)
+    return _trained_models[key]
 
 
 def _forest(spark, sf_dir):

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import labels, merging
 from ..operators.ordered import hashed_row_number
-from .base import LABELS, MUTATIONS, bind, plain, query, table
+from .base import LABELS, bind, mutations, plain, query, table
 
 
 @query(
@@ -232,11 +232,11 @@ TSGS = "SELECT DISTINCT 'G' || CAST(p_partkey AS STRING) AS gene FROM {part} WHE
     f"""
     SELECT l_orderkey, l_linenumber, gene, CASE WHEN gene IN ({plain(ONCOGENES)}) THEN 1
       WHEN gene IN ({plain(TSGS)}) THEN 2 ELSE 0 END AS label
-    FROM ({plain(MUTATIONS)}) m
+    FROM {plain('{mutations}')}
     """,
 )
 def label_entities(spark, sf_dir):
-    rows = bind(spark, sf_dir, MUTATIONS).select("l_orderkey", "l_linenumber", "gene")
+    rows = mutations(spark, sf_dir).select("l_orderkey", "l_linenumber", "gene")
     return labels.label_entities(
         rows, "gene", bind(spark, sf_dir, ONCOGENES), bind(spark, sf_dir, TSGS)
     )

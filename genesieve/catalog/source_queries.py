@@ -8,7 +8,7 @@ from pyspark.sql.types import (
 from ..operators.merging import union_runs
 from ..session import scratch_path
 from ..sources import files, tables
-from .base import MUTATIONS, bind, plain, query, table
+from .base import bind, plain, query, table
 
 CUSTOMER = StructType(
     [
@@ -69,7 +69,7 @@ SELECT 'B' || CAST(l_partkey % 25 AS STRING)
   CAST(l_orderkey % 8 AS INT) AS part, l_orderkey, l_linenumber,
   coalesce(protein_change, '') AS protein_change, coalesce(dna_change, '') AS dna_change,
   CASE WHEN l_linenumber = 2 THEN 'Variant of unknown origin' ELSE 'Confirmed somatic' END AS status
-FROM ({MUTATIONS}) m
+FROM {{mutations}}
 """
 
 

@@ -23,9 +23,10 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from ..functions import fixed_values as fv
-from ..session import settle
+from ..session import scratch_path, settle, shuffle_width
 from .labels import check_classes, sample_sizes
 from .sampling import route_to_fold, stratified_bootstrap, stratified_folds
 
@@ -210,16 +211,31 @@ def score_bank(
 
     Averaged over repeats; with ``average=False`` one row per entity and repeat.
     """
-    fold_table = df.sparkSession.read.parquet(os.path.join(path, "folds"))
-    routed = settle(route_to_fold(df.select(key, *features), key, fold_table, repeats))
-    scored = None
-    for i in range(1, repeats + 1):
-        for j in range(1, folds + 1):
+    spark = df.sparkSession
+    fold_table = spark.read.parquet(os.path.join(path, "folds"))
+    routed_path, score_path = scratch_path(spark, "routed"), scratch_path(spark, "scores")
+    # Laid out by model, so that every model reads only the rows it has to score.
+    spread = F.pmod(F.xxhash64(key), F.lit(shuffle_width(spark)))
+    (
+        route_to_fold(df.select(key, *features), key, fold_table, repeats)
+        .repartition("iteration", "fold", spread)
+        .write.partitionBy("iteration", "fold").parquet(routed_path)
+    )
+    routed = spark.read.parquet(routed_path)
+
+    def task(i: int, j: int):
+        def run() -> None:
             rows = routed.filter((F.col("iteration") == i) & (F.col("fold") == j))
-            part = score_forest(rows, features, bank_path(path, i, j), settings).select(
-                key, "iteration", "oncogene_score", "tsg_score"
-            )
-            scored = part if scored is None else scored.unionByName(part)
+            score_forest(rows.drop("iteration", "fold"), features, bank_path(path, i, j), settings).select(
+                key, "oncogene_score", "tsg_score"
+            ).write.parquet(os.path.join(score_path, f"iteration={i}", f"fold={j}"))
+        return run
+
+    tasks = [task(i, j) for i in range(1, repeats + 1) for j in range(1, folds + 1)]
+    _in_parallel(tasks, settings.parallelism)
+    schema = df.select(key).schema.add("oncogene_score", "double").add("tsg_score", "double")
+    scored = spark.read.schema(schema.add("iteration", IntegerType()).add("fold", IntegerType())).parquet(score_path)
+    scored = scored.select(key, "iteration", "oncogene_score", "tsg_score")
     if not average:
         return scored
     return scored.groupBy(key).agg(

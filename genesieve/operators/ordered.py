@@ -146,7 +146,7 @@ def value_rank(
     by = list(by)
     salt = F.pmod(F.xxhash64(*keys), F.lit(salts)).cast("int")
     df = df.withColumn("__salt", salt)
-    units = df.groupBy(*by, value, "__salt").agg(F.count(F.lit(1)).alias("__count"))
+    units = settle(df.groupBy(*by, value, "__salt").agg(F.count(F.lit(1)).alias("__count")))
     values = units.groupBy(*by, value).agg(F.sum("__count").alias("__count"))
     before_value = running(
         split_ranges(values, value),

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import settle
 from .ordered import Running, running, split_ranges
 
 
@@ -46,8 +47,10 @@ def divergence(df: DataFrame, outcome: str, first: Column, second: Column) -> Da
     aligned without a join.  KL is null when the second misses an outcome of the
     first, where it would be infinite.
     """
-    counts = df.filter(first | second).groupBy(outcome).agg(
-        F.count_if(first).alias("a"), F.count_if(second).alias("b")
+    counts = settle(
+        df.filter(first | second).groupBy(outcome).agg(
+            F.count_if(first).alias("a"), F.count_if(second).alias("b")
+        )
     )
     totals = counts.agg(F.struct(F.sum("a").alias("a"), F.sum("b").alias("b"))).scalar()
     p, q = F.col("p"), F.col("q")
@@ -91,8 +94,9 @@ def quantiles(
         .groupBy(*by, F.col(value).cast("double").alias("v"))
         .agg(F.count(F.lit(1)).alias("c"))
     )
-    ranked = running(split_ranges(units, "v"), "v", by, upto=Running("sum", "c"))
-    sizes = ranked.groupBy(*by).agg(F.max("upto").alias("n"))
+    units = split_ranges(units, "v")
+    ranked = running(units, "v", by, upto=Running("sum", "c"))
+    sizes = units.groupBy(*by).agg(F.sum("c").alias("n"))
     wanted = sizes.select(
         *by, "n", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])).alias("probability")
     ).withColumn("h", (F.col("n") - 1) * F.col("probability"))
@@ -154,7 +158,7 @@ def density(df: DataFrame, value: str, group: str, grid: Sequence[float]) -> Dat
     point, and partial aggregation reduces that to one row per grid point and
     task before the shuffle.
     """
-    units = (
+    units = settle(
         df.filter(F.col(value).isNotNull())
         .groupBy(group, F.col(value).cast("double").alias("v"))
         .agg(F.count(F.lit(1)).alias("c"))
