@@ -184,7 +184,7 @@ SUMMARY = f"""
       FROM (SELECT *, sum(c) OVER (PARTITION BY gene) AS n FROM all_sites) x GROUP BY gene) y),
   scores AS (
     SELECT gene, CAST(sum(quantity) FILTER (class = 'Missense_Mutation') AS DOUBLE) AS total_missense_mgaentropy,
-      coalesce(sum((quantity % 10) / 10) FILTER (class = 'Missense_Mutation'), 0) AS total_missense_vest_score
+      coalesce(sum((quantity % 8) / 8) FILTER (class = 'Missense_Mutation'), 0) AS total_missense_vest_score
     FROM annotated GROUP BY gene),
   summary AS (
     SELECT f.*, nonsense + lost_stop + lost_start + missense + splice_site AS non_silent_snv,
@@ -206,7 +206,7 @@ def summary(spark, sf_dir):
     missense = F.col("class") == "Missense_Mutation"
     scores = rows.groupBy("gene").agg(
         F.sum(F.when(missense, F.col("quantity"))).cast("double").alias("total_missense_mgaentropy"),
-        F.sum(F.when(missense, F.col("quantity") % 10 / 10).otherwise(0)).alias("total_missense_vest_score"),
+        F.sum(F.when(missense, F.col("quantity") % 8 / 8).otherwise(0)).alias("total_missense_vest_score"),
     )
     return counted.join(scores, "gene")
 
@@ -214,12 +214,13 @@ def summary(spark, sf_dir):
 @query(
     "entity_summary",
     f"""WITH {SUMMARY} SELECT gene, {", ".join(
-        f"round({c}, 6) AS {c}" if "entropy" in c or "vest" in c else c for c in _SUMMARY_OUT)} FROM summary""",
+        f"round({c}, 9) AS {c}" if "entropy" in c or "vest" in c else c for c in _SUMMARY_OUT)} FROM summary""",
 )
 def entity_summary(spark, sf_dir):
     return rounded(
         summary(spark, sf_dir).select("gene", *_SUMMARY_OUT),
         *[c for c in _SUMMARY_OUT if "entropy" in c or "vest" in c],
+        digits=9,
     )
 
 
@@ -250,14 +251,14 @@ RATIO_COLUMNS = [
 ]
 
 
-def _rounded_list(columns, digits=6):
+def _rounded_list(columns, digits=9):
     return ", ".join(f"round({c}, {digits}) AS {c}" for c in columns)
 
 
 @query("feature_ratios", f"WITH {RATIOS} SELECT gene, {_rounded_list(RATIO_COLUMNS)} FROM ratios")
 def feature_ratios(spark, sf_dir):
     ratios = features.ratio_features(summary(spark, sf_dir))
-    return rounded(ratios.select("gene", *RATIO_COLUMNS), *RATIO_COLUMNS)
+    return rounded(ratios.select("gene", *RATIO_COLUMNS), *RATIO_COLUMNS, digits=9)
 
 
 CENTRED = ["nonsense", "silent", "splice_site", "lost_start_and_stop", "missense", "missense_to_silent",
@@ -268,13 +269,13 @@ CENTRED = ["nonsense", "silent", "splice_site", "lost_start_and_stop", "missense
     "cohort_center",
     f"""
     WITH {RATIOS}, cohort AS (SELECT * FROM ratios WHERE CAST(substr(gene, 2) AS BIGINT) % 2 = 0)
-    SELECT gene, {", ".join(f"round({c} - (SELECT avg({c}) FROM cohort), 6) AS {c}" for c in CENTRED)} FROM ratios
+    SELECT gene, {", ".join(f"round({c} - (SELECT avg({c}) FROM cohort), 9) AS {c}" for c in CENTRED)} FROM ratios
     """,
 )
 def cohort_center(spark, sf_dir):
     ratios = settle(features.ratio_features(summary(spark, sf_dir)).select("gene", *CENTRED))
     cohort = ratios.filter(F.substring("gene", 2, 20).cast("bigint") % 2 == 0)
-    return rounded(features.centre_on_cohort(ratios, cohort, CENTRED), *CENTRED)
+    return rounded(features.centre_on_cohort(ratios, cohort, CENTRED), *CENTRED, digits=9)
 
 
 ROLLED = ["silent", "nonsense", "lost_stop_or_start", "missense", "recurrent_missense", "splice_site",
@@ -287,7 +288,7 @@ DELETERIOUS = ["lost_stop_or_start", "nonsense", "frameshift_indel", "splice_sit
     f"""
     WITH {SUMMARY}, w AS (SELECT *, lost_stop + lost_start AS lost_stop_or_start FROM summary),
     t AS (SELECT *, {" + ".join(ROLLED)} AS total FROM w)
-    SELECT gene, {", ".join(f"round({c} / nullif(total - recurrent_missense, 0), 6) AS {c}" for c in ROLLED)},
+    SELECT gene, {", ".join(f"round({c} / nullif(total - recurrent_missense, 0), 9) AS {c}" for c in ROLLED)},
       recurrent_missense AS recurrent_count, {" + ".join(DELETERIOUS)} AS deleterious_count
     FROM t WHERE total >= 20
     """,
@@ -297,7 +298,7 @@ def rollup_normalise(spark, sf_dir):
         "lost_stop_or_start", F.col("lost_stop") + F.col("lost_start")
     )
     return rounded(
-        features.roll_up(wide, "gene", ROLLED, DELETERIOUS, "recurrent_missense", 20), *ROLLED
+        features.roll_up(wide, "gene", ROLLED, DELETERIOUS, "recurrent_missense", 20), *ROLLED, digits=9
     )
 
 
@@ -357,8 +358,8 @@ def matrix(spark, sf_dir):
     "feature_matrix",
     f"""
     WITH {MATRIX} SELECT gene, {", ".join(
-        f"round(coalesce({c}, (SELECT avg({c}) FROM joined)), 5) AS {c}" for c in MATRIX_COLUMNS)} FROM joined
+        f"round(coalesce({c}, (SELECT avg({c}) FROM joined)), 9) AS {c}" for c in MATRIX_COLUMNS)} FROM joined
     """,
 )
 def feature_matrix(spark, sf_dir):
-    return rounded(matrix(spark, sf_dir), *MATRIX_COLUMNS, digits=5)
+    return rounded(matrix(spark, sf_dir), *MATRIX_COLUMNS, digits=9)
