@@ -21,7 +21,7 @@ from pyspark import inheritable_thread_target
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
@@ -55,10 +55,11 @@ def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="features").transform(df)
 
 
-def _in_parallel(tasks: Sequence, width: int) -> list:
-    """Submit independent fits from a few threads, so that small jobs overlap."""
+def _in_parallel(spark: SparkSession, tasks: Sequence, width: int) -> list:
+    """Submit independent jobs from a few threads, so that small ones overlap."""
+    inherit = inheritable_thread_target(spark)
     with ThreadPoolExecutor(max_workers=max(1, width)) as pool:
-        return list(pool.map(lambda task: inheritable_thread_target(task)(), tasks))
+        return list(pool.map(lambda task: inherit(task)(), tasks))
 
 
 def train_forest(
@@ -68,7 +69,7 @@ def train_forest(
     """Fit a forest on all rows and save its blocks below ``path``."""
     check_classes(df, label)
     tasks = _block_tasks(df, key, features, path, settings, label, settings.seed)
-    _in_parallel(tasks, settings.parallelism)
+    _in_parallel(df.sparkSession, tasks, settings.parallelism)
     return path
 
 
@@ -198,7 +199,7 @@ def train_bank(
                     t() for t in _block_tasks(training, key, features, where, settings, label, seed)
                 ]
             )
-    _in_parallel(tasks, settings.parallelism)
+    _in_parallel(spark, tasks, settings.parallelism)
     return fold_table
 
 
@@ -232,7 +233,7 @@ def score_bank(
         return run
 
     tasks = [task(i, j) for i in range(1, repeats + 1) for j in range(1, folds + 1)]
-    _in_parallel(tasks, settings.parallelism)
+    _in_parallel(spark, tasks, settings.parallelism)
     schema = df.select(key).schema.add("oncogene_score", "double").add("tsg_score", "double")
     scored = spark.read.schema(schema.add("iteration", IntegerType()).add("fold", IntegerType())).parquet(score_path)
     scored = scored.select(key, "iteration", "oncogene_score", "tsg_score")
