@@ -23,15 +23,19 @@ def node_degree(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
 
 
-def node_betweenness(edges: DataFrame, batches: int = 1) -> DataFrame:
+SOURCES_PER_BATCH = 20_000
+
+
+def node_betweenness(edges: DataFrame, batches: int | None = None) -> DataFrame:
     """Exact normalised betweenness ``(node, betweenness)``.
 
     All sources of a batch search breadth-first together, one join with the
     adjacency per level, carrying the number of shortest paths.  Dependencies are
     then accumulated from the deepest level back.  In an undirected graph the
     neighbours of a level lie in it, the one before or the one after, so two
-    levels are enough to recognise visited nodes.  Each level is checkpointed;
-    more ``batches`` bound the size of a level at the price of more passes.
+    levels are enough to recognise visited nodes.  Each level is checkpointed.
+    Batches of sources bound the size of a level; by default there are as many as
+    the number of nodes asks for.
     """
     edges = settle(edges)
     proper = edges.filter(F.col("a") != F.col("b"))
@@ -43,20 +47,19 @@ def node_betweenness(edges: DataFrame, batches: int = 1) -> DataFrame:
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     n = nodes.count()
     scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-    parts = []
+    batches = batches or 1 + n // SOURCES_PER_BATCH
+    total = nodes.select("node", F.lit(0.0).alias("delta"))
     for batch in range(batches):
         sources = adjacency.select("node").distinct().filter(
             F.pmod(F.xxhash64("node"), F.lit(batches)) == batch
         )
-        parts.extend(_dependencies(sources, adjacency))
-    total = nodes.select("node", F.lit(0.0).alias("delta"))
-    for part in parts:
-        total = total.unionByName(part)
+        total = total.unionByName(_dependencies(sources, adjacency))
+        total = settle(total.groupBy("node").agg(F.sum("delta").alias("delta")))
     return total.groupBy("node").agg((F.sum("delta") * scale).alias("betweenness"))
 
 
-def _dependencies(sources: DataFrame, adjacency: DataFrame) -> list[DataFrame]:
-    """Dependency sums ``(node, delta)`` of the given sources, one table per level."""
+def _dependencies(sources: DataFrame, adjacency: DataFrame) -> DataFrame:
+    """Dependencies ``(node, delta)`` of the given sources, stacked over levels."""
     start = settle(
         sources.select(F.col("node").alias("source"), "node", F.lit(1.0).alias("paths"))
     )
@@ -75,12 +78,13 @@ def _dependencies(sources: DataFrame, adjacency: DataFrame) -> list[DataFrame]:
             break
         levels.append(reached)
 
-    parts = []
+    # The deepest level depends on nothing, and sources do not count for themselves.
     deeper = levels[-1].withColumn("delta", F.lit(0.0))
+    stacked = deeper.select("node", "delta")
     for level in reversed(levels[1:-1]):
         deeper = settle(_step_back(level, deeper, adjacency))
-        parts.append(deeper.groupBy("node").agg(F.sum("delta").alias("delta")))
-    return parts
+        stacked = stacked.unionByName(deeper.select("node", "delta"))
+    return stacked
 
 
 def _step_back(level: DataFrame, deeper: DataFrame, adjacency: DataFrame) -> DataFrame:
