@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..session import settle
-from .cleaning import impute_mean
+from .cleaning import column_means, impute_mean
 
 COUNT_COLUMNS = (
     "silent", "nonsense", "lost_stop", "lost_start", "missense", "recurrent_missense",
@@ -153,8 +153,8 @@ def centre_on_cohort(
     features: DataFrame, cohort: DataFrame, columns: Sequence[str]
 ) -> DataFrame:
     """Subtract the cohort's column means; pass materialised tables if they share work."""
-    means = cohort.agg(F.struct(*[F.avg(c).alias(c) for c in columns])).scalar()
-    return features.withColumns({c: F.col(c) - means[c] for c in columns})
+    means = column_means(cohort, columns)
+    return features.withColumns({c: F.col(c) - F.lit(means[c]) for c in columns})
 
 
 def roll_up(

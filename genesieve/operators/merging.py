@@ -54,18 +54,19 @@ def append_unseen(base: DataFrame, extra: DataFrame, sample: str) -> DataFrame:
 
     SQL's three-valued logic is kept: one null sample in a base keeps everything
     out, and null samples are appended only to an empty base.  The null rules are
-    two scalar subqueries and the rest is a plain hash anti join, because a
-    null-aware anti join can only run as a broadcast.
+    settled by two counts of the base and the rest is a plain hash anti join,
+    because a null-aware anti join can only run as a broadcast.
     """
-    state = base.agg(
-        F.struct(
-            F.count(F.lit(1)).alias("rows"),
-            F.count_if(F.col(sample).isNull()).alias("nulls"),
-        )
-    ).scalar()
-    allowed = (state["rows"] == 0) | ((state["nulls"] == 0) & F.col(sample).isNotNull())
-    seen = base.select(sample).distinct()
-    unseen = extra.filter(allowed).join(seen, sample, "left_anti").select(*extra.columns)
+    rows, nulls = base.agg(
+        F.count(F.lit(1)), F.count_if(F.col(sample).isNull())
+    ).first()
+    unseen = extra
+    if rows and nulls:
+        unseen = extra.limit(0)
+    elif rows:
+        seen = base.select(sample).distinct()
+        known = extra.filter(F.col(sample).isNotNull())
+        unseen = known.join(seen, sample, "left_anti").select(*extra.columns)
     return base.unionByName(unseen, allowMissingColumns=True)
 
 

@@ -52,11 +52,11 @@ def divergence(df: DataFrame, outcome: str, first: Column, second: Column) -> Da
             F.count_if(first).alias("a"), F.count_if(second).alias("b")
         )
     )
-    totals = counts.agg(F.struct(F.sum("a").alias("a"), F.sum("b").alias("b"))).scalar()
+    total_a, total_b = counts.agg(F.sum("a"), F.sum("b")).first()
     p, q = F.col("p"), F.col("q")
     m = (p + q) / 2
     shares = counts.select(
-        (F.col("a") / totals["a"]).alias("p"), (F.col("b") / totals["b"]).alias("q")
+        F.try_divide("a", F.lit(total_a)).alias("p"), F.try_divide("b", F.lit(total_b)).alias("q")
     )
     result = shares.agg(
         F.count_if((p > 0) & (q == 0)).alias("missing"),
@@ -137,8 +137,9 @@ def histogram(df: DataFrame, value: str, bins: int, by: Sequence[str] = ()) -> D
 
     The last bin includes the maximum.  Only non-empty bins are returned.
     """
-    limits = df.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi"))).scalar()
-    low, high = limits["lo"].cast("double"), limits["hi"].cast("double")
+    low, high = (
+        F.lit(x).cast("double") for x in df.agg(F.min(value), F.max(value)).first()
+    )
     width = (high - low) / bins
     position = F.floor(F.coalesce(F.try_divide(F.col(value) - low, width), F.lit(0.0)))
     binned = df.filter(F.col(value).isNotNull()).select(
