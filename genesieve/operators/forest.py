@@ -27,13 +27,17 @@ from pyspark.sql.types import IntegerType
 
 from ..functions import fixed_values as fv
 from ..session import scratch_path, settle, shuffle_width
-from .labels import check_classes, sample_sizes
+from .labels import check_classes, class_weights, sample_sizes
 from .sampling import route_to_fold, stratified_bootstrap, stratified_folds
 
 
 @dataclass(frozen=True)
 class ForestSettings:
-    """How forests are grown; ``trees`` is the size of one forest."""
+    """How forests are grown; ``trees`` is the size of one forest.
+
+    ``plain`` trains on all rows, weighted by 1 / class size, instead of on
+    class-stratified bootstraps.
+    """
 
     trees: int = 200
     blocks: int = 10
@@ -43,6 +47,7 @@ class ForestSettings:
     max_bins: int = 64
     seed: int = 71
     parallelism: int = 4
+    plain: bool = False
 
     def block_sizes(self) -> list[int]:
         blocks = min(self.blocks, self.trees)
@@ -75,20 +80,11 @@ def train_forest(
 
 def _block_tasks(df, key, features, path, settings, label, seed):
     sizes = settings.block_sizes()
-    draws = stratified_bootstrap(
-        df.select(key, label), key, label, len(sizes),
-        settings.driver_rate, settings.other_ratio, seed,
-    )
-    amounts = sample_sizes(
-        df, label, settings.driver_rate, settings.other_ratio
-    ).select(label, "sample_size")
-    weighted = draws.join(amounts, label).select(
-        key, F.col("tree").alias("block"), (F.col("draws") / F.col("sample_size")).alias("weight")
-    )
-    rows = settle(
-        assemble(df, features).select(key, F.col(label).cast("double").alias("label"), "features")
-        .join(weighted, key)
-    )
+    rows = assemble(df, features).select(key, F.col(label).cast("double").alias("label"), "features")
+    if settings.plain:
+        rows = settle(class_weights(rows, "label"))
+    else:
+        rows = settle(rows.join(_bootstrap_weights(df, key, label, len(sizes), settings, seed), key))
 
     def task(block: int, trees: int):
         def run() -> None:
@@ -97,13 +93,28 @@ def _block_tasks(df, key, features, path, settings, label, seed):
                 featureSubsetStrategy="sqrt", weightCol="weight", seed=seed * 1009 + block,
                 bootstrap=trees > 1,
             )
-            model = classifier.fit(rows.filter(F.col("block") == block))
+            training = rows if settings.plain else rows.filter(F.col("block") == block)
+            model = classifier.fit(training)
             model.write().overwrite().save(os.path.join(path, f"block={block}"))
         return run
 
     return [task(b, t) for b, t in enumerate(sizes, start=1)]
 
 
+def _bootstrap_weights(df, key, label, blocks, settings, seed) -> DataFrame:
+    """``(key, block, weight)`` with weight = draws / sample size of the class."""
+    draws = stratified_bootstrap(
+        df.select(key, label), key, label, blocks,
+        settings.driver_rate, settings.other_ratio, seed,
+    )
+    amounts = sample_sizes(
+        df, label, settings.driver_rate, settings.other_ratio
+    ).select(label, "sample_size")
+    return draws.join(amounts, label).select(
+        key, F.col("tree").alias("block"), (F.col("draws") / F.col("sample_size")).alias("weight")
+    )
+
+
 def _leaf_classes(df: DataFrame, model_path: str) -> Column:
     """Class of every leaf as array[tree][leaf], from the saved nodes.
 

@@ -62,7 +62,7 @@ def append_unseen(base: DataFrame, extra: DataFrame, sample: str) -> DataFrame:
     ).first()
     unseen = extra
     if rows and nulls:
-        unseen = extra.limit(0)
+        unseen = extra.filter(F.lit(False))
     elif rows:
         seen = base.select(sample).distinct()
         known = extra.filter(F.col(sample).isNotNull())

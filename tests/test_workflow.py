@@ -87,6 +87,15 @@ def test_hard_votes_are_tree_predictions(spark, files, feature_path):
         assert scored[gene]["tsg_score"] == pytest.approx(cast.count(2) / 6)
 
 
+def test_plain_forest(spark, files, feature_path):
+    lists = (files["oncogenes"], files["tsgs"])
+    settings = forest.ForestSettings(trees=4, blocks=1, max_depth=5, plain=True)
+    model = workflow.train(spark, feature_path, *lists, str(files["folder"] / "plain"), settings=settings)
+    _, matrix, names = workflow._labelled(spark, feature_path, *lists)
+    rows = forest.score_forest(matrix, names, model, settings).collect()
+    assert len(rows) == GENES and any(r["oncogene_score"] > 0.5 for r in rows)
+
+
 def test_null_then_classify_out_of_fold(spark, files, feature_path):
     lists = (files["oncogenes"], files["tsgs"])
     folder = files["folder"]
