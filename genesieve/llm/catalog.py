@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality_discriminant, quality_rules
+from . import mixing, packing, quality_discriminant, quality_rules, top_k
+from .common import reachable
 
 Run = Callable[[SparkSession, str], DataFrame]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reachable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -19,12 +22,27 @@ def op1_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_discriminant.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES: tuple[Run, ...] = (op1_quality_discriminant, op7_quality_rules)
-SQL: dict[str, str] = {}
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_documents(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
+
+
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.top_k(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: tuple[Run, ...] = (
+    op1_quality_discriminant, op4_best_fit_packing, op7_quality_rules, op8_source_mixing, op9_top_k,
+)
+SQL: dict[str, str] = {"op8_source_mixing": mixing.SQL, "op9_top_k": top_k.SQL}
 
 
 def queries() -> dict[str, Run]:
