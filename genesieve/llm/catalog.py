@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality_discriminant, quality_rules, top_k
+from . import mixing, near_duplicates, packing, quality_discriminant, quality_rules, top_k
 from .common import reachable
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -40,7 +44,7 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: tuple[Run, ...] = (
-    op1_quality_discriminant, op4_best_fit_packing, op7_quality_rules, op8_source_mixing, op9_top_k,
+    op1_quality_discriminant, op4_best_fit_packing, op5_near_duplicates, op7_quality_rules, op8_source_mixing, op9_top_k,
 )
 SQL: dict[str, str] = {"op8_source_mixing": mixing.SQL, "op9_top_k": top_k.SQL}
 
