@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_duplicates, packing, quality_discriminant, quality_rules, top_k
+from . import line_dedup, mixing, near_duplicates, packing, quality_discriminant, quality_rules, top_k
 from .common import reachable
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -43,8 +43,19 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    lines = F.size(F.split("text", "\n", -1))
+    before = docs.select("doc_id", "text", lines.alias("n_lines"))
+    after = line_dedup.dedup_lines(before)
+    return after.select(
+        "doc_id", "n_lines", F.length("text").cast("long").alias("n_kept"), F.md5("text").alias("kept_md5")
+    )
+
+
 QUERIES: tuple[Run, ...] = (
     op1_quality_discriminant, op4_best_fit_packing, op5_near_duplicates, op7_quality_rules, op8_source_mixing, op9_top_k,
+    op10_line_dedup,
 )
 SQL: dict[str, str] = {"op8_source_mixing": mixing.SQL, "op9_top_k": top_k.SQL}
 

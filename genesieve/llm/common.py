@@ -30,6 +30,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+_SECOND = mix(np.arange(256, dtype=U) + U(0x1F123BB5))
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -63,12 +64,23 @@ class Texts:
     def sizes(self) -> np.ndarray:
         return np.diff(self.bounds)
 
-    def prefix_hash(self) -> np.ndarray:
-        """h with the hash of bytes [s, e) being (h[e] - h[s]) / base**s."""
+    def prefix_hash(self, second: bool = False) -> np.ndarray:
+        """h with the hash of bytes [s, e) being (h[e] - h[s]) / base**s.
+
+        The second hash gives every byte value another random number.
+        """
         h = np.zeros(len(self.data) + 1, dtype=U)
-        np.cumsum((self.data.astype(U) + U(1)) * _power(_BASE, len(self.data)), out=h[1:])
+        values = _SECOND[self.data] if second else self.data.astype(U) + U(1)
+        np.cumsum(values * _power(_BASE, len(self.data)), out=h[1:])
         return h
 
+    def without(self, prefix: np.ndarray, start: int, end: int, cut: np.ndarray, upto: np.ndarray) -> np.ndarray:
+        """Hashes of bytes [start, end) without each of the spans [cut, upto) inside them."""
+        inverse = _power(_BASE_INVERSE, len(self.data) + 1)
+        left = (prefix[cut] - prefix[start]) * inverse[start]
+        right = (prefix[end] - prefix[upto]) * inverse[upto - cut] * inverse[start]
+        return mix(left + right + (end - start - (upto - cut)).astype(U))
+
     def span_hash(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         inverse = _power(_BASE_INVERSE, len(self.data) + 1)
         return mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(U))
