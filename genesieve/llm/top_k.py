@@ -178,18 +178,15 @@ def top_k(
             "score": best.score[row, column].astype(np.int64), "norm": left["norm"].to_numpy()[row],
         })
 
-    def pairs(asked_rows: DataFrame, plan: DataFrame) -> DataFrame:
+    def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
         """Each planned pair of blocks is one group: bounded queries against bounded candidates."""
-        left = asked_rows.join(plan, "asked")
-        right = dealt.join(plan, "block").select(
+        right = right.select(
             *[F.col(a).alias(b) for a, b in (("asked", "to"), ("block", "of"), ("vec_id", "id"), ("v", "w"))]
         )
         return left.groupBy("asked", "block").cogroup(right.groupBy("to", "of")).applyInPandas(meet, shape)
 
-    all_asked = asked.select("asked").distinct()
-    first = written(
-        pairs(asked.withColumn("floor", F.lit(float("-inf"))), all_asked.withColumn("block", F.lit(0))), "first"
-    )
+    longest = dealt.where("block = 0").withColumn("asked", F.explode(F.sequence(F.lit(0), F.lit(asking_blocks - 1))))
+    first = written(pairs(asked.selectExpr("*", "0 AS block", "double('-Infinity') AS floor"), longest), "first")
     floors = first.groupBy("query_id").agg(
         F.when(F.count("*") >= k, F.min("score").cast("double")).otherwise(F.lit(float("-inf"))).alias("floor")
     )
@@ -202,7 +199,8 @@ def top_k(
     need = F.min(F.when(F.col("norm") > 0, F.col("floor") / F.col("norm")).otherwise(F.lit(float("-inf"))))
     reached = F.size(F.filter(F.lit(bounds).cast("array<double>"), lambda b: -b * (1 + 1e-6) + 1e-6 >= F.col("need"))) if bounds else F.lit(0)
     plan = asked.groupBy("asked").agg(need.alias("need")).withColumn("last", reached).where("last > 0")
-    later = pairs(asked, written(plan.select("asked", F.explode(F.sequence(F.lit(1), "last")).alias("block")), "plan"))
+    plan = written(plan.select("asked", F.explode(F.sequence(F.lit(1), "last")).alias("block")), "plan")
+    later = pairs(asked.join(plan, "asked"), dealt.join(plan, "block"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = first.unionByName(later).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return found.select("query_id", "rank", "vec_id", "score")
