@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, near_duplicates, packing, quality_discriminant, quality_rules, repeated_bytes, top_k
+from . import line_dedup, mixing, near_duplicates, packing, quality_discriminant, quality_rules, repeated_bytes, secret_scan, top_k
 from .common import reachable
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,10 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(_table(spark, sf_dir, "documents")))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -58,8 +62,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: tuple[Run, ...] = (
-    op1_quality_discriminant, op3_repeated_bytes, op4_best_fit_packing, op5_near_duplicates, op7_quality_rules, op8_source_mixing, op9_top_k,
-    op10_line_dedup,
+    op1_quality_discriminant, op3_repeated_bytes, op4_best_fit_packing, op5_near_duplicates, op6_secret_scan,
+    op7_quality_rules, op8_source_mixing, op9_top_k, op10_line_dedup,
 )
 SQL: dict[str, str] = {"op8_source_mixing": mixing.SQL, "op9_top_k": top_k.SQL}
 
