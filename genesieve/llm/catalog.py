@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, near_duplicates, packing, quality_discriminant, quality_rules, repeated_bytes, secret_scan, top_k
+from . import line_dedup, mixing, near_duplicates, packing, quality_discriminant, quality_rules, repeated_bytes, revisits, secret_scan, top_k
 from .common import reachable
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def op1_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_discriminant.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return revisits.digest(revisits.resolve(revisits.captures(_table(spark, sf_dir, "pages"))))
+
+
 def op3_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_bytes.digest(repeated_bytes.remove_repeats(_table(spark, sf_dir, "documents")))
 
@@ -62,10 +66,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: tuple[Run, ...] = (
-    op1_quality_discriminant, op3_repeated_bytes, op4_best_fit_packing, op5_near_duplicates, op6_secret_scan,
+    op1_quality_discriminant, op2_revisits, op3_repeated_bytes, op4_best_fit_packing, op5_near_duplicates, op6_secret_scan,
     op7_quality_rules, op8_source_mixing, op9_top_k, op10_line_dedup,
 )
-SQL: dict[str, str] = {"op8_source_mixing": mixing.SQL, "op9_top_k": top_k.SQL}
+SQL: dict[str, str] = {"op2_revisits": revisits.SQL, "op8_source_mixing": mixing.SQL, "op9_top_k": top_k.SQL}
 
 
 def queries() -> dict[str, Run]:
