@@ -57,8 +57,9 @@ def measure(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """``source, source_size, target``: one row per source.
 
-    Sources are ordered by the size they may give per weight; those before the first one
-    that stays below its limit are full, and the others share what is left by weight.
+    Sources are ordered by the size they may give per weight.  As long as a source cannot
+    take its part of what the full ones before it leave, it is full too; the first one that
+    can sets the rate at which it and all later ones share by weight.
     The windows here run over one row per source, never over documents.
     """
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("documents"))
@@ -71,12 +72,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     budget = F.lit(share) * F.sum("source_size").over(Window.partitionBy())
     level = ranked.withColumn("level", (budget - before) / after)
     full = F.col("limit") < F.col("level") * F.col("weight")
-    level = level.withColumn("rate", F.min(F.when(~full, F.col("level"))).over(Window.partitionBy()))
-    return level.select(
-        "source", "source_size", "documents",
-        F.when(full | F.col("rate").isNull(), F.col("limit").cast("double"))
-        .otherwise(F.least(F.col("rate") * F.col("weight"), F.col("limit").cast("double"))).alias("target"),
-    )
+    whole = by_room.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    level = level.withColumn("rate", F.first(F.when(~full, F.col("level")), ignorenulls=True).over(whole))
+    target = F.least(F.col("rate") * F.col("weight"), F.col("limit").cast("double"))  # least skips a null
+    return level.select("source", "source_size", "documents", target.alias("target"))
 
 
 def mix(sizes: DataFrame, goals: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
@@ -132,8 +131,8 @@ l AS (
       / sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM t WINDOW w AS (ORDER BY 2 * source_size / weight, source NULLS LAST)),
 g AS (
-  SELECT source, source_size, CASE WHEN lim < level * weight THEN lim
-    ELSE least(lim, weight * (SELECT min(level) FROM l WHERE NOT lim < level * weight)) END AS target
+  SELECT source, source_size, least(lim, weight * (
+    SELECT level FROM l WHERE NOT lim < level * weight ORDER BY lim / weight, source NULLS LAST LIMIT 1)) AS target
   FROM l),
 p AS (
   SELECT k.doc_id, k.source, k.size, g.source_size, g.target,
