@@ -16,10 +16,11 @@ def case_of(column: str, names: dict[str, str], default: str) -> str:
     return f"CASE {column} {whens} ELSE {default} END"
 
 
-def pick(number: str, values: list[str]) -> str:
-    """A SQL CASE that takes the n-th of some texts."""
+def pick(number: str, values: list[str | None]) -> str:
+    """A SQL CASE that takes the n-th of some texts; None stands for null."""
     whens = " ".join(
         f"WHEN {i} THEN '" + v.replace("'", "''") + "'" for i, v in enumerate(values)
+        if v is not None
     )
     return f"CASE CAST({number} % {len(values)} AS INT) {whens} END"
 
@@ -100,8 +101,8 @@ def substring_classify(spark, sf_dir):
 
 
 CODING_ROWS = f"""
-SELECT l_orderkey, l_linenumber,
-  {pick("l_partkey + l_linenumber", ["IGR", "Missense", "5'UTR", "RNA", "3'Flank", "Intron", "Silent", "Unknown", "Non-coding_Transcript", "x5'UTR"])} AS class
+SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey % 11 = 0 THEN 'Unknown' WHEN l_suppkey % 11 = 1 THEN CAST(NULL AS STRING) ELSE 'S' || CAST(l_suppkey AS STRING) END AS sample,
+  {pick("l_partkey + l_linenumber", ["IGR", "Missense", "5'UTR", "RNA", "3'Flank", "Intron", "Silent", "Unknown", "Non-coding_Transcript", "x5'UTR", None])} AS class
 FROM {{lineitem}}
 """
 
@@ -110,12 +111,13 @@ FROM {{lineitem}}
     "filter_noncoding",
     f"""
     SELECT * FROM ({plain(CODING_ROWS)}) c
-    WHERE class NOT IN ('IGR', 'Unknown', 'Intron', 'RNA', 'Non-coding_Transcript')
-      AND NOT (substr(class, 1, 2) IN ('3''', '5'''))
+    WHERE coalesce(class NOT IN ('IGR', 'Unknown', 'Intron', 'RNA', 'Non-coding_Transcript')
+      AND NOT (substr(class, 1, 2) IN ('3''', '5''')), true) AND coalesce(sample <> 'Unknown', true)
     """,
 )
 def filter_noncoding(spark, sf_dir):
-    return bind(spark, sf_dir, CODING_ROWS).filter(text.is_coding(F.col("class")))
+    rows = bind(spark, sf_dir, CODING_ROWS)
+    return rows.filter(text.is_coding(F.col("class")) & text.is_placed(F.col("sample")))
 
 
 STATUS_ROWS = """

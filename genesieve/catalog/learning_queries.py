@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from ..operators import evaluation, forest, graph, rules, sampling, significance
 from ..session import scratch_path, settle
 from .base import LABELS, bind, plain, query, rounded
-from .feature_queries import MATRIX_COLUMNS, NETWORK, SUMMARY, matrix, summary
+from .feature_queries import MATRIX_COLUMNS, SUMMARY, WHOLE_NETWORK, matrix, summary
 
 FOLD_SQL = f"""
   entity AS ({plain(LABELS)}),
-  repeated AS (SELECT gene, label, CAST(i AS INT) AS iteration FROM entity, range(1, 4) r(i)),
+  repeated AS (SELECT gene, label, CAST(i AS INT) AS iteration FROM entity, range(1, 6) r(i)),
   folds AS (
     SELECT gene, label, iteration, CAST(ntile(10) OVER (PARTITION BY iteration, label
       ORDER BY md5(gene || '|0|' || CAST(iteration AS VARCHAR)), gene) AS INT) AS fold FROM repeated)
@@ -19,7 +19,7 @@ FOLD_SQL = f"""
 
 
 def _folds(spark, sf_dir):
-    return sampling.stratified_folds(bind(spark, sf_dir, LABELS), "gene", folds=10, repeats=3)
+    return sampling.stratified_folds(bind(spark, sf_dir, LABELS), "gene", folds=10, repeats=5)
 
 
 @query("stratified_folds", f"WITH {FOLD_SQL} SELECT gene, label, iteration, fold FROM folds")
@@ -33,18 +33,18 @@ ALL_GENES = "SELECT DISTINCT 'G' || CAST(l_partkey * 2 AS STRING) AS gene FROM {
 @query(
     "route_to_fold",
     f"""
-    WITH {FOLD_SQL}, wanted AS (SELECT gene, CAST(i AS INT) AS iteration FROM ({plain(ALL_GENES)}) a, range(1, 4) r(i))
+    WITH {FOLD_SQL}, wanted AS (SELECT gene, CAST(i AS INT) AS iteration FROM ({plain(ALL_GENES)}) a, range(1, 6) r(i))
     SELECT w.gene, w.iteration, coalesce(fold, 1) AS fold FROM wanted w LEFT JOIN folds f ON w.gene = f.gene AND w.iteration = f.iteration
     """,
 )
 def route_to_fold(spark, sf_dir):
-    return sampling.route_to_fold(bind(spark, sf_dir, ALL_GENES), "gene", _folds(spark, sf_dir), 3)
+    return sampling.route_to_fold(bind(spark, sf_dir, ALL_GENES), "gene", _folds(spark, sf_dir), 5)
 
 
 @query(
     "permute_columns",
     f"""
-    WITH x AS ({plain(NETWORK)}),
+    WITH x AS ({plain(WHOLE_NETWORK)}),
     target AS (SELECT gene, row_number() OVER (ORDER BY md5(gene), gene) AS i FROM x),
     donor AS (SELECT gene_betweeness, gene_degree, row_number() OVER (ORDER BY md5(gene || '|7'), gene) AS i FROM x)
     SELECT gene, gene_betweeness, gene_degree FROM target JOIN donor USING (i)
@@ -52,7 +52,7 @@ def route_to_fold(spark, sf_dir):
 )
 def permute_columns(spark, sf_dir):
     return sampling.permute_columns(
-        bind(spark, sf_dir, NETWORK), "gene", ["gene_betweeness", "gene_degree"], seed=7
+        bind(spark, sf_dir, WHOLE_NETWORK), "gene", ["gene_betweeness", "gene_degree"], seed=7
     )
 
 
@@ -61,7 +61,7 @@ def permute_columns(spark, sf_dir):
     f"""
     WITH entity AS ({plain(LABELS)}), n AS (SELECT label, count(*) AS n FROM entity GROUP BY label),
     s AS (SELECT label, n, CAST(floor(CASE WHEN label = 0 THEN (SELECT sum(n * 0.7::DOUBLE) FROM n WHERE label <> 0) ELSE n * 0.7::DOUBLE END) AS BIGINT) AS s FROM n),
-    d AS (SELECT label, n, tree, unnest(range(0, s)) AS draw FROM s, range(1, 6) r(tree)),
+    d AS (SELECT label, n, tree, unnest(range(0, s)) AS draw FROM s, range(1, 201) r(tree)),
     h AS (SELECT tree, label, n, md5('0|' || CAST(tree AS VARCHAR) || '|' || CAST(label AS VARCHAR) || '|' || CAST(draw AS VARCHAR)) AS h FROM d),
     c AS (SELECT tree, label, CAST(floor(('0x' || substr(h, 1, 8))::BIGINT / 4294967296.0::DOUBLE * n) AS BIGINT) + 1 AS i, count(*) AS draws FROM h GROUP BY ALL),
     m AS (SELECT gene, label, row_number() OVER (PARTITION BY label ORDER BY md5(gene), gene) AS i FROM entity)
@@ -69,13 +69,13 @@ def permute_columns(spark, sf_dir):
     """,
 )
 def stratified_bootstrap(spark, sf_dir):
-    return sampling.stratified_bootstrap(bind(spark, sf_dir, LABELS), "gene", trees=5)
+    return sampling.stratified_bootstrap(bind(spark, sf_dir, LABELS), "gene", trees=200)
 
 
 EDGES = """
 SELECT CASE WHEN l_linenumber = 7 THEN CAST(NULL AS STRING) ELSE 'C' || CAST(o_custkey AS STRING) END AS first,
   'S' || CAST(l_suppkey AS STRING) AS second
-FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' AND l_quantity = 50
+FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
 """
 
 
@@ -90,9 +90,41 @@ def node_degree(spark, sf_dir):
     return graph.node_degree(graph.simple_edges(bind(spark, sf_dir, EDGES), "first", "second"))
 
 
-@query("node_betweenness")
+# Which brands, types and words of names occur together in parts: small by nature.
+WORD_EDGES = """
+SELECT p_brand AS first, p_type AS second FROM {part}
+UNION ALL SELECT p_type, split_part(p_name, ' ', 1) FROM {part} WHERE p_size < 9
+UNION ALL SELECT split_part(p_name, ' ', 1), split_part(p_name, ' ', 2) FROM {part}
+UNION ALL SELECT p_brand, CAST(NULL AS STRING) FROM {part}
+"""
+_DEPTH = 8  # levels of the search in SQL; the graph's diameter is smaller
+
+
+def _betweenness_sql() -> str:
+    """Shortest paths level by level, then the share of each pair's paths over a node."""
+    text = f"""
+    WITH e AS (SELECT DISTINCT least(first, second) AS a, greatest(first, second) AS b FROM ({plain(WORD_EDGES)}) x
+      WHERE first IS NOT NULL AND second IS NOT NULL),
+    n AS (SELECT a AS v FROM e UNION SELECT b FROM e),
+    adj AS (SELECT a AS v, b AS w FROM e WHERE a <> b UNION ALL SELECT b, a FROM e WHERE a <> b),
+    r0 AS (SELECT v AS s, v, 0 AS d, 1::DOUBLE AS paths FROM n)"""
+    for k in range(_DEPTH):
+        text += f""",
+    r{k + 1} AS (SELECT * FROM r{k} UNION ALL
+      SELECT s, w, {k + 1}, sum(paths) FROM r{k} JOIN adj USING (v)
+      WHERE d = {k} AND NOT EXISTS (SELECT 1 FROM r{k} o WHERE o.s = r{k}.s AND o.v = adj.w) GROUP BY s, w)"""
+    return text + f""",
+    b AS (SELECT x.v, sum(x.paths * y.paths / z.paths) AS total
+      FROM r{_DEPTH} z JOIN r{_DEPTH} x ON x.s = z.s JOIN r{_DEPTH} y ON y.s = x.v AND y.v = z.v
+      WHERE x.d + y.d = z.d AND x.v <> z.s AND x.v <> z.v GROUP BY x.v)
+    SELECT n.v AS node, round(coalesce(total, 0) / ((SELECT count(*) FROM n) - 1) / ((SELECT count(*) FROM n) - 2), 9) AS betweenness
+    FROM n LEFT JOIN b ON b.v = n.v
+    """
+
+
+@query("node_betweenness", _betweenness_sql())
 def node_betweenness(spark, sf_dir):
-    edges = graph.simple_edges(bind(spark, sf_dir, EDGES), "first", "second")
+    edges = graph.simple_edges(bind(spark, sf_dir, WORD_EDGES), "first", "second")
     return rounded(graph.node_betweenness(edges), "betweenness", digits=9)
 
 

@@ -10,12 +10,12 @@ from .base import LABELS, bind, mutations, plain, query, table
 @query(
     "hypermutator_filter",
     """
-    SELECT * EXCLUDE (props) FROM events WHERE user_id IN (
+    SELECT * FROM events WHERE user_id IN (
       SELECT user_id FROM events GROUP BY user_id HAVING count(*) < 70)
     """,
 )
 def hypermutator_filter(spark, sf_dir):
-    return merging.drop_hypermutators(table(spark, sf_dir, "events").drop("props"), "user_id", 70)
+    return merging.drop_hypermutators(table(spark, sf_dir, "events"), "user_id", 70)
 
 
 BANNED = "SELECT DISTINCT s_nationkey FROM {supplier} WHERE s_acctbal > 8500"
@@ -60,9 +60,9 @@ def source_priority_merge(spark, sf_dir):
     "merge_sources_not_in",
     f"""
     WITH o AS ({plain(ORDER_ROWS)}),
-    base AS (SELECT o_orderkey, o_custkey AS sample, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 3 = 0),
+    base AS (SELECT o_orderkey, o_custkey AS sample, o_totalprice FROM orders WHERE o_orderstatus = 'F'),
     nulls AS (SELECT o_orderkey, sample, o_totalprice FROM o WHERE o_orderstatus = 'F'),
-    extra AS (SELECT o_orderkey, sample FROM o WHERE o_orderstatus = 'O')
+    extra AS (SELECT o_orderkey, sample FROM o WHERE o_orderstatus <> 'F')
     SELECT 'without null' AS base, o_orderkey, sample, o_totalprice FROM base
     UNION ALL SELECT 'without null', o_orderkey, sample, NULL FROM extra WHERE sample NOT IN (SELECT DISTINCT sample FROM base)
     UNION ALL SELECT 'with null', o_orderkey, sample, o_totalprice FROM nulls
@@ -72,11 +72,11 @@ def source_priority_merge(spark, sf_dir):
 def merge_sources_not_in(spark, sf_dir):
     rows = bind(spark, sf_dir, ORDER_ROWS)
     orders = table(spark, sf_dir, "orders")
-    base = orders.filter((F.col("o_orderstatus") == "F") & (F.col("o_custkey") % 3 == 0)).select(
+    base = orders.filter(F.col("o_orderstatus") == "F").select(
         "o_orderkey", F.col("o_custkey").alias("sample"), "o_totalprice"
     )
     with_null = rows.filter(F.col("o_orderstatus") == "F").drop("o_orderstatus")
-    extra = rows.filter(F.col("o_orderstatus") == "O").select("o_orderkey", "sample")
+    extra = rows.filter(F.col("o_orderstatus") != "F").select("o_orderkey", "sample")
     return (
         merging.append_unseen(base, extra, "sample").withColumn("base", F.lit("without null"))
         .unionByName(
@@ -183,7 +183,7 @@ def dedupe_first(spark, sf_dir):
 
 
 STATUS_COUNTS = """
-SELECT o_custkey, count(*) AS n FROM {{orders}} WHERE o_orderstatus = '{0}' AND o_totalprice > 300000 GROUP BY o_custkey
+SELECT o_custkey, count(*) AS n FROM {{orders}} WHERE o_orderstatus = '{0}' GROUP BY o_custkey
 """
 
 
@@ -207,18 +207,18 @@ def outer_align_scores(spark, sf_dir):
 @query(
     "set_ops",
     """
-    WITH a AS (SELECT DISTINCT o_custkey AS v FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 400000),
-         b AS (SELECT DISTINCT o_custkey AS v FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 400000)
+    WITH a AS (SELECT DISTINCT o_custkey AS v FROM orders WHERE o_orderstatus = 'F'),
+         b AS (SELECT DISTINCT o_custkey AS v FROM orders WHERE o_orderstatus <> 'F')
     SELECT v AS value, 'both' AS part FROM (SELECT v FROM a INTERSECT SELECT v FROM b) x
     UNION ALL SELECT v, 'first only' FROM (SELECT v FROM a EXCEPT SELECT v FROM b) x
     UNION ALL SELECT v, 'second only' FROM (SELECT v FROM b EXCEPT SELECT v FROM a) x
     """,
 )
 def set_ops(spark, sf_dir):
-    large = table(spark, sf_dir, "orders").filter(F.col("o_totalprice") > 400000)
+    orders = table(spark, sf_dir, "orders")
     return merging.compare_sets(
-        large.filter(F.col("o_orderstatus") == "F"),
-        large.filter(F.col("o_orderstatus") == "O"),
+        orders.filter(F.col("o_orderstatus") == "F"),
+        orders.filter(F.col("o_orderstatus") != "F"),
         "o_custkey",
     )
 

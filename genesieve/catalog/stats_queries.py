@@ -23,7 +23,7 @@ def group_entropy(spark, sf_dir):
     return rounded(df, "entropy", "max_entropy", "pct_of_uniform")
 
 
-BINS = "SELECT event_type, CAST(floor(value / 10) AS BIGINT) AS bin FROM {events} WHERE value < 60"
+BINS = "SELECT event_type, CAST(floor(value / 10) AS BIGINT) AS bin FROM {events}"
 
 
 @query(
@@ -105,14 +105,21 @@ def score_kde(spark, sf_dir):
     )
 
 
-# Three scores per event; errors, clicks and views stand for simulated entities.
+# Three scores per event; errors, clicks and views stand for simulated entities, all others
+# for observed ones, whose scores are shifted so that some lie above the null maximum.
 SCORES = """
 SELECT event_id, CAST(user_id % 3 AS INT) AS label, event_type,
   CAST(v % 997 AS DOUBLE) / 2000 AS oncogene_score, CAST(v % 499 AS DOUBLE) / 1000 AS tsg_score,
   CAST(v % 997 + 2 * (v % 499) AS DOUBLE) / 2000 AS driver_score
 FROM (SELECT *, CAST(round(value * 100) AS BIGINT) AS v FROM {events}) e
 """
-SIMULATED = "event_type IN ('error', 'click', 'view') AND oncogene_score < 0.45 AND tsg_score < 0.48"
+SHIFTED = """
+SELECT event_id, label, event_type, oncogene_score + shift AS oncogene_score, tsg_score + shift AS tsg_score,
+  driver_score + shift AS driver_score
+FROM (SELECT *, CASE WHEN event_type IN ('error', 'click', 'view') THEN CAST(0 AS DOUBLE) ELSE 0.0625E0 END AS shift FROM ({scores}) s) t
+"""
+SIMULATED = "event_type IN ('error', 'click', 'view')"
+OBSERVED = "event_type NOT IN ('error', 'click', 'view')"
 SCORE_NAMES = ["oncogene_score", "tsg_score", "driver_score"]
 
 
@@ -120,12 +127,16 @@ def _scores(spark, sf_dir):
     return bind(spark, sf_dir, SCORES)
 
 
+def _shifted(spark, sf_dir):
+    return bind(spark, sf_dir, SHIFTED.replace("{scores}", SCORES))
+
+
 def _simulated(spark, sf_dir):
-    return significance.unpivot_scores(_scores(spark, sf_dir).filter(SIMULATED), SCORE_NAMES)
+    return significance.unpivot_scores(_shifted(spark, sf_dir).filter(SIMULATED), SCORE_NAMES)
 
 
 NULL_SQL = f"""
-  scores AS ({plain(SCORES)}),
+  scores AS ({plain(SHIFTED.replace("{scores}", SCORES))}),
   long_null AS (
     UNPIVOT (SELECT oncogene_score, tsg_score, driver_score FROM scores WHERE {SIMULATED})
     ON oncogene_score, tsg_score, driver_score INTO NAME score_type VALUE score),
@@ -152,7 +163,7 @@ def null_distribution(spark, sf_dir):
 LOOKUP_SQL = f"""
   {NULL_SQL},
   observed AS (
-    UNPIVOT (SELECT oncogene_score, tsg_score, driver_score FROM scores WHERE event_type = 'purchase')
+    UNPIVOT (SELECT oncogene_score, tsg_score, driver_score FROM scores WHERE {OBSERVED})
     ON oncogene_score, tsg_score, driver_score INTO NAME score_type VALUE score),
   distinct_observed AS (SELECT DISTINCT score_type, score FROM observed),
   nulls AS (SELECT score_type, max(score) AS top, count(*) AS n FROM long_null GROUP BY score_type),
@@ -171,7 +182,7 @@ LOOKUP_SQL = f"""
 def pvalue_lookup(spark, sf_dir):
     null = significance.null_distribution(_simulated(spark, sf_dir))
     observed = significance.unpivot_scores(
-        _scores(spark, sf_dir).filter("event_type = 'purchase'"), SCORE_NAMES
+        _shifted(spark, sf_dir).filter(OBSERVED), SCORE_NAMES
     )
     return rounded(significance.lookup_p_values(observed, null), "p", digits=9)
 
@@ -206,14 +217,14 @@ SIGNIFICANT_SQL = f"""
     JOIN final a ON a.score_type = 'oncogene_score' AND a.score = s.oncogene_score
     JOIN final b ON b.score_type = 'tsg_score' AND b.score = s.tsg_score
     JOIN final c ON c.score_type = 'driver_score' AND c.score = s.driver_score
-    WHERE event_type = 'purchase')
+    WHERE {OBSERVED})
 """
 _PQ = [f"{s}_{x}" for s in SCORE_NAMES for x in "pq"]
 
 
 def _significant(spark, sf_dir):
     null = significance.null_distribution(_simulated(spark, sf_dir))
-    results = _scores(spark, sf_dir).filter("event_type = 'purchase'")
+    results = _shifted(spark, sf_dir).filter(OBSERVED)
     return significance.significance(results, null, SCORE_NAMES)
 
 

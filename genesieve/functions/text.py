@@ -158,8 +158,13 @@ def anchored_alleles(
 
 
 def is_coding(category: Column, excluded: Sequence[str] = fv.NONCODING_CLASSES) -> Column:
-    """True unless the class is excluded or names an untranslated region."""
-    return ~category.isin(*excluded) & ~category.rlike(fv.UNTRANSLATED)
+    """True unless the class is excluded or names an untranslated region; null is kept."""
+    return F.coalesce(~category.isin(*excluded) & ~category.rlike(fv.UNTRANSLATED), F.lit(True))
+
+
+def is_placed(column: Column) -> Column:
+    """True unless the column says that its value is unknown; null is kept."""
+    return F.coalesce(column != "Unknown", F.lit(True))
 
 
 def status_allowed(status: Column, use_unknown: bool = False) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import QuantileDiscretizer
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,25 +19,29 @@ from ..functions.hashing import hash_key
 from ..session import settle, shuffle_width
 
 RANGE = "__range"
+PART_ROWS = 50_000  # rows that one task orders at once
 
 
 def split_ranges(df: DataFrame, value: str, ranges: int | None = None) -> DataFrame:
     """Tag each row with the number of the value range it falls in.
 
-    The bounds are approximate quantiles fixed in one job, at most ``ranges``
-    numbers.  Where they lie affects balance only, never results.  The table is
-    materialised first, since the bounds, the carries and the windows all read it;
-    pass distinct values with counts, not raw rows.
+    The bounds are approximate quantiles fixed in one job, with an error of a fifth of
+    a range; there are more of them where the table is large.  Where they lie affects
+    balance only, never results.  An empty table, or one without a number, is one
+    range; null and NaN values are a range of their own.  The table is materialised
+    first, since the bounds, the carries and the windows all read it; pass distinct
+    values with counts, not raw rows.
     """
-    df = settle(df)
-    ranges = ranges or shuffle_width(df.sparkSession)
-    if ranges < 2:
-        return df.withColumn(RANGE, F.lit(0.0))
-    binner = QuantileDiscretizer(
-        numBuckets=ranges, inputCol="__value", outputCol=RANGE, relativeError=0.001
+    df = settle(df).withColumn("__value", F.col(value).cast("double"))
+    ranges = ranges or max(shuffle_width(df.sparkSession), -(-df.count() // PART_ROWS))
+    cuts = [i / ranges for i in range(1, ranges)]
+    bounds = sorted(set(df.approxQuantile("__value", cuts, 0.2 / ranges))) if cuts else []
+    if not bounds:
+        return df.withColumn(RANGE, F.lit(0.0)).drop("__value")
+    binner = Bucketizer(
+        splits=[float("-inf"), *bounds, float("inf")], inputCol="__value", outputCol=RANGE, handleInvalid="keep"
     )
-    df = df.withColumn("__value", F.col(value).cast("double"))
-    return binner.fit(df).transform(df).drop("__value")
+    return binner.transform(df).drop("__value")
 
 
 @dataclass(frozen=True)
@@ -101,14 +105,20 @@ def hashed_row_number(
     by: Sequence[str] = (),
     seed: Sequence[Column | str] = (),
     output: str = "row_number",
-    digits: int = 3,
+    digits: int | None = None,
 ) -> DataFrame:
     """Contiguous numbers 1..n per group, in the order of the MD5 of a unique key.
 
     The first hex digits of the hash split every group, also a hot one, into
-    ``16 ** digits`` even parts that are numbered apart.
+    ``16 ** digits`` even parts that are numbered apart.  By default there are as many
+    digits as keep a part near ``PART_ROWS`` rows; they never change the numbers.
     """
     by = list(by)
+    if digits is None:
+        df = settle(df)
+        rows, digits = df.count(), 1
+        while rows > PART_ROWS * 16**digits:
+            digits += 1
     df = df.withColumn("__hash", hash_key(*keys, *seed)).withColumn(
         "__part", F.substring("__hash", 1, digits)
     )
@@ -136,14 +146,17 @@ def value_rank(
     keys: Sequence[str],
     by: Sequence[str] = (),
     output: str = "rank",
-    salts: int = 256,
+    salts: int | None = None,
 ) -> DataFrame:
     """Rank 1..n of every row by ``value``; ties are broken by a hash of the keys.
 
-    Rows of one value are spread over ``salts`` groups, so a value shared by a
-    third of the rows is still ranked by many tasks.
+    Rows of one value are spread over ``salts`` groups, by default so many that even a
+    value shared by all rows is ranked in parts of about ``PART_ROWS``.
     """
     by = list(by)
+    if salts is None:
+        df = settle(df)
+        salts = max(16, -(-df.count() // PART_ROWS))
     salt = F.pmod(F.xxhash64(*keys), F.lit(salts)).cast("int")
     df = df.withColumn("__salt", salt)
     units = settle(df.groupBy(*by, value, "__salt").agg(F.count(F.lit(1)).alias("__count")))

@@ -164,11 +164,12 @@ def density(df: DataFrame, value: str, group: str, grid: Sequence[float]) -> Dat
         .groupBy(group, F.col(value).cast("double").alias("v"))
         .agg(F.count(F.lit(1)).alias("c"))
     )
-    n, mean_sum, square_sum = F.sum("c"), F.sum(F.col("c") * F.col("v")), F.sum(F.col("c") * F.col("v") * F.col("v"))
-    moments = units.groupBy(group).agg(n.alias("n"), mean_sum.alias("s1"), square_sum.alias("s2"))
-    variance = (F.col("s2") - F.col("s1") * F.col("s1") / F.col("n")) / (F.col("n") - 1)
+    # the spread comes from the rows: its running form keeps its digits for large means
+    moments = df.filter(F.col(value).isNotNull()).groupBy(group).agg(
+        F.count(F.lit(1)).alias("n"), F.stddev_samp(F.col(value).cast("double")).alias("s")
+    )
     widths = moments.select(
-        group, "n", (F.sqrt(variance) * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("h")
+        group, "n", (F.col("s") * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("h")
     )
     points = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(g)).alias("g")) for i, g in enumerate(grid)])
     z = (F.col("point.g") - F.col("v")) / F.col("h")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 _TSV = {"sep": "\t", "header": True}
 
@@ -12,19 +14,22 @@ _TSV = {"sep": "\t", "header": True}
 def read_tsv(spark: SparkSession, path: str | list[str], schema: StructType) -> DataFrame:
     """Columns of ``schema`` from tab-separated files with a header.
 
-    Columns are matched by heading; the file may have others, in any order, and
-    may lack some, which are then left out.
+    Columns are matched by heading; a file may have others, in any order, and may lack
+    some, which are then null where another file has them and else left out.  Files given
+    as a list are read by groups of equal headings.  The files of one folder must have one
+    heading: another one fails the job and never swaps columns.
     """
-    first = path if isinstance(path, str) else path[0]
-    heading = spark.read.options(**_TSV).csv(first).columns
     known = {f.name: f for f in schema.fields}
-    text = StructType().fromJson(
-        {"type": "struct", "fields": [
-            {"name": c, "type": "string", "nullable": True, "metadata": {}} for c in heading]}
-    )
-    full = StructType([known.get(f.name, f) for f in text.fields])
-    rows = spark.read.options(**_TSV, nullValue="").schema(full).csv(path)
-    return rows.select(*[F.col(f"`{f.name}`") for f in schema.fields if f.name in heading])
+    by_heading: dict[tuple[str, ...], list[str]] = {}
+    for one in [path] if isinstance(path, str) else path:
+        by_heading.setdefault(tuple(spark.read.options(**_TSV).csv(one).columns), []).append(one)
+    parts = []
+    for heading, paths in by_heading.items():
+        full = StructType([known.get(c, StructField(c, StringType())) for c in heading])
+        rows = spark.read.options(**_TSV, nullValue="", enforceSchema=False).schema(full).csv(paths)
+        parts.append(rows.select(*[F.col(f"`{f.name}`") for f in schema.fields if f.name in heading]))
+    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return whole.select(*[F.col(f"`{f.name}`") for f in schema.fields if f.name in whole.columns])
 
 
 def write_tsv(df: DataFrame, path: str) -> None:

@@ -2,23 +2,30 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..session import scratch_path
-
 
 def replace_table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` to a new folder and point the table name at it.
 
-    The old files are left alone, so a table may be replaced by a filtered version
-    of itself and running readers keep their data.
+    The data of a named table outlives the session's scratch folder: by default it goes
+    below the warehouse.  The old files are left alone, so a table may be replaced by a
+    filtered version of itself and running readers keep their data.  Where the columns
+    stay the same the name is never without a table.
     """
     spark = df.sparkSession
-    path = path or scratch_path(spark, name)
+    path = path or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    if spark.catalog.tableExists(name):
+        if spark.table(name).dtypes == df.dtypes:
+            spark.sql(f"ALTER TABLE {name} SET LOCATION '{path}'")
+            spark.catalog.refreshTable(name)
+            return spark.table(name)
+        spark.sql(f"DROP TABLE {name}")
     return spark.catalog.createTable(name, path=path, source="parquet", schema=df.schema)
 
 
