@@ -220,7 +220,8 @@ def naive_bayes(spark, sf_dir):
 
 
 # Forests: small ones, on the whole matrix.
-SETTINGS = forest.ForestSettings(trees=12, blocks=2, max_depth=10, max_bins=32, parallelism=4)
+SETTINGS = forest.ForestSettings(trees=24, blocks=1, max_depth=10, max_bins=32, parallelism=8)
+GAP_SETTINGS = dataclasses.replace(SETTINGS, max_depth=3)
 FOLDS, REPEATS = 10, 5
 _trained_models: dict[tuple, tuple] = {}
 
@@ -332,7 +333,7 @@ _EXACT = """label, CAST(label = 1 AS INT) * 1.0::DOUBLE AS oncogene_score, CAST(
 
 def _gap_bank(spark, sf_dir):
     def train(df, path):
-        forest.train_bank(df, "gene", GAP_FEATURES, path, SETTINGS, folds=FOLDS, repeats=REPEATS)
+        forest.train_bank(df, "gene", GAP_FEATURES, path, GAP_SETTINGS, folds=FOLDS, repeats=REPEATS)
 
     key = (spark.sparkContext.applicationId, sf_dir, "gap")
     if key not in _trained_models:
@@ -351,14 +352,14 @@ def _calls(scored, *columns):
 def rf_score_gap(spark, sf_dir):
     """A forest of its own and its votes."""
     rows, path = settle(bind(spark, sf_dir, GAP)), scratch_path(spark, "gap")
-    forest.train_forest(rows, "gene", GAP_FEATURES, path, SETTINGS)
-    return _calls(forest.score_forest(rows, GAP_FEATURES, path, SETTINGS), "gene", "label")
+    forest.train_forest(rows, "gene", GAP_FEATURES, path, GAP_SETTINGS)
+    return _calls(forest.score_forest(rows, GAP_FEATURES, path, GAP_SETTINGS), "gene", "label")
 
 
 @query("rf_plain_gap", f"SELECT gene, {_EXACT} FROM ({plain(GAP)}) x")
 def rf_plain_gap(spark, sf_dir):
     """The same with the plain forest, weighted by class and without stratified samples."""
-    plain_settings = dataclasses.replace(SETTINGS, plain=True)
+    plain_settings = dataclasses.replace(GAP_SETTINGS, plain=True)
     rows, path = settle(bind(spark, sf_dir, GAP)), scratch_path(spark, "gap")
     forest.train_forest(rows, "gene", GAP_FEATURES, path, plain_settings)
     return _calls(forest.score_forest(rows, GAP_FEATURES, path, plain_settings), "gene", "label")
@@ -368,7 +369,7 @@ def rf_plain_gap(spark, sf_dir):
 def rf_oof_gap(spark, sf_dir):
     """Held-out votes of a whole bank, averaged over its repeats."""
     path, rows = _gap_bank(spark, sf_dir)
-    scored = forest.score_bank(rows, "gene", GAP_FEATURES, path, SETTINGS, FOLDS, REPEATS)
+    scored = forest.score_bank(rows, "gene", GAP_FEATURES, path, GAP_SETTINGS, FOLDS, REPEATS)
     averages = ("oncogene_score", "tsg_score", "driver_score")
     return rounded(_calls(scored.join(rows.select("gene", "label"), "gene"), "gene", "label"), *averages, digits=9)
 
@@ -378,7 +379,7 @@ def rf_bank_new_gap(spark, sf_dir):
     """A cohort whose entities the bank has never seen."""
     path, rows = _gap_bank(spark, sf_dir)
     new = rows.withColumn("gene", F.concat(F.lit("N"), "gene"))
-    scored = forest.score_bank(new, "gene", GAP_FEATURES, path, SETTINGS, FOLDS, REPEATS)
+    scored = forest.score_bank(new, "gene", GAP_FEATURES, path, GAP_SETTINGS, FOLDS, REPEATS)
     averages = ("oncogene_score", "tsg_score", "driver_score")
     return rounded(_calls(scored.join(new.select("gene", "label"), "gene"), "gene", "label"), *averages, digits=9)
 
@@ -389,7 +390,7 @@ def rf_bank_new_gap(spark, sf_dir):
 )
 def cv_metrics_gap(spark, sf_dir):
     path, rows = _gap_bank(spark, sf_dir)
-    scored = forest.score_bank(rows, "gene", GAP_FEATURES, path, SETTINGS, FOLDS, REPEATS, average=False)
+    scored = forest.score_bank(rows, "gene", GAP_FEATURES, path, GAP_SETTINGS, FOLDS, REPEATS, average=False)
     scored = scored.withColumn("driver_score", F.col("oncogene_score") + F.col("tsg_score"))
     measured = evaluation.performance(settle(scored.join(rows.select("gene", "label"), "gene")), "gene", "label")
     return rounded(measured, "roc_auc", "pr_auc", digits=9)
