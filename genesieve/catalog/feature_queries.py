@@ -202,13 +202,13 @@ _SUMMARY_OUT = [
 def summary(spark, sf_dir):
     """The count summary of each entity, with score sums of its missense mutations."""
     rows = annotated(spark, sf_dir).select("gene", "class", "protein_pos", "quantity")
-    counted = features.summarise_entities(rows, "gene", "class", "protein_pos")
     missense = F.col("class") == "Missense_Mutation"
-    scores = rows.groupBy("gene").agg(
-        F.sum(F.when(missense, F.col("quantity"))).cast("double").alias("total_missense_mgaentropy"),
-        F.sum(F.when(missense, F.col("quantity") % 8 / 8).otherwise(0)).alias("total_missense_vest_score"),
-    )
-    return counted.join(scores, "gene")
+    sums = {
+        "total_missense_mgaentropy": F.when(missense, F.col("quantity")),
+        "total_missense_vest_score": F.when(missense, F.col("quantity") % 8 / 8).otherwise(0),
+    }
+    counted = features.summarise_entities(rows, "gene", "class", "protein_pos", sums=sums)
+    return counted.withColumn("total_missense_mgaentropy", F.col("total_missense_mgaentropy").cast("double"))
 
 
 @query(

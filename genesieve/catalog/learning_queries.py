@@ -394,3 +394,22 @@ def cv_metrics_gap(spark, sf_dir):
     scored = scored.withColumn("driver_score", F.col("oncogene_score") + F.col("tsg_score"))
     measured = evaluation.performance(settle(scored.join(rows.select("gene", "label"), "gene")), "gene", "label")
     return rounded(measured, "roc_auc", "pr_auc", digits=9)
+
+
+@query(
+    "cv_class_metrics_gap",
+    f"""
+    WITH x AS ({plain(GAP)}), n AS (
+      SELECT CAST(label AS VARCHAR) AS class, count(*) AS c FROM x GROUP BY label
+      UNION ALL SELECT 'driver', count(*) FROM x WHERE label > 0
+      UNION ALL SELECT 'macro', NULL)
+    SELECT CAST(i AS INT) AS iteration, class, c AS support, c AS predicted_count, 1.0::DOUBLE AS precision,
+      1.0::DOUBLE AS recall, 1.0::DOUBLE AS f1 FROM n, range(1, {REPEATS + 1}) r(i)
+    """,
+)
+def cv_class_metrics_gap(spark, sf_dir):
+    """Metrics of every repeat of the bank from held-out calls."""
+    path, rows = _gap_bank(spark, sf_dir)
+    scored = forest.score_bank(rows, "gene", GAP_FEATURES, path, GAP_SETTINGS, FOLDS, REPEATS, average=False)
+    calls = significance.score_calls(scored, "oncogene_score", "tsg_score").join(rows.select("gene", "label"), "gene")
+    return evaluation.repeat_metrics(settle(calls), "label")

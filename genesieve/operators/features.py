@@ -54,15 +54,19 @@ def class_counts_wide(
 
 
 def summarise_entities(
-    df: DataFrame, entity: str, category: str, position: str, recurrent_at: int = 2
+    df: DataFrame, entity: str, category: str, position: str, recurrent_at: int = 2,
+    sums: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """Counts, recurrent missense and position entropies per entity.
+    """Counts, recurrent missense and position entropies per entity, and sums of columns.
 
     The first aggregation is per (entity, class, position), so a hot entity is
     spread over its positions before the second one folds a much smaller table.
     Entropy needs only the running sums: H = log2 N - sum(c log2 c) / N.
     """
-    sites = df.groupBy(entity, category, position).agg(F.count(F.lit(1)).alias("__c"))
+    sums = sums or {}
+    sites = df.groupBy(entity, category, position).agg(
+        F.count(F.lit(1)).alias("__c"), *[F.sum(value).alias(name) for name, value in sums.items()]
+    )
     missense = (F.col(category) == fv.MISSENSE) & F.col(position).isNotNull()
     recurrent = F.when(missense & (F.col("__c") >= recurrent_at), F.col("__c")).otherwise(0)
     placed = F.when(F.col(position).isNotNull(), F.col("__c")).otherwise(0)
@@ -83,7 +87,7 @@ def summarise_entities(
             for c, name in CLASS_COUNTS.items()
         ],
         F.sum("__r").alias("recurrent_missense"),
-        *[F.sum(c).alias(c) for c in ("__m", "__mw", "__a", "__aw")],
+        *[F.sum(c).alias(c) for c in ("__m", "__mw", "__a", "__aw", *sums)],
     )
     snv = ["nonsense", "lost_stop", "lost_start", "missense", "splice_site"]
     return folded.withColumns(

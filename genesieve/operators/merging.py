@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
@@ -30,6 +30,15 @@ def drop_banned(df: DataFrame, sample: str, banned: DataFrame, banned_column: st
     return df.join(names, sample, "left_anti")
 
 
+def spread_nulls(key: str, by: Sequence[str], parts: int = 4096) -> Column:
+    """``key`` as text, with nulls dealt over many values that no key has.
+
+    In a left join such rows find nothing, as nulls do, but they do not meet in one task.
+    """
+    salt = F.concat(F.lit("\x00"), F.pmod(F.xxhash64(*by), F.lit(parts)).cast("string"))
+    return F.coalesce(F.col(key).cast("string"), salt)
+
+
 def prioritise_sources(sources: Sequence[DataFrame], sample: str) -> DataFrame:
     """Union of sources in which a sample is taken from the first that has it.
 
@@ -42,8 +51,10 @@ def prioritise_sources(sources: Sequence[DataFrame], sample: str) -> DataFrame:
         .groupBy(sample)
         .agg(F.min("__source").alias("__first"))
     )
+    first = first.select(F.col(sample).cast("string").alias("__key"), "__first")
     return (
-        rows.join(first, sample, "left")
+        rows.withColumn("__key", spread_nulls(sample, sources[0].columns))
+        .join(first, "__key", "left")
         .filter(F.col(sample).isNull() | (F.col("__source") == F.col("__first")))
         .select(*sources[0].columns)
     )
@@ -153,7 +164,8 @@ def resolve_aliases_once(
         .agg(F.min_by(name, F.col(row_id)).alias("__first"))
     )
     return (
-        rows.join(first, "__symbol", "left")
+        rows.withColumn("__key", spread_nulls("__symbol", [row_id]))
+        .join(first.withColumnRenamed("__symbol", "__key"), "__key", "left")
         .filter(~F.coalesce(changed, F.lit(False)) | (F.col(name) == F.col("__first")))
         .withColumn(name, F.coalesce("__symbol", name))
         .select(*columns)
