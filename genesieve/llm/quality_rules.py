@@ -28,8 +28,9 @@ from .quality_discriminant import clean_labels
 from .text_statistics import Words, symbols
 
 BITS = 16
-SAMPLE = 3000
+SAMPLE = 2000
 ROUNDS = 80
+CHUNK = 1 << 19  # n-grams of the sample that one step of the training touches
 MIN_WORDS = 50
 MAX_REPEATED = 50  # percent of the words
 THRESHOLD = 0.5  # of the calibrated probability of class 1
@@ -77,6 +78,8 @@ def sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, limit: in
     # at most `limit` ids and classes: a proven bound for the broadcast
     rows = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").dropDuplicates(["doc_id"])
 
+    schema = rows.selectExpr("doc_id", "label", "array(0) AS slot", "array(float(0)) AS share").schema
+
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             texts = Texts(column(batch, "text"))
@@ -92,41 +95,54 @@ def sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, limit: in
             at = np.concatenate([[0], np.cumsum(per_text(owner, texts.n))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    column(batch, "label"),
+                    column(batch, "doc_id"), column(batch, "label"),
                     pa.ListArray.from_arrays(at, pa.array(np.concatenate(slot)[order].astype(np.int32))),
                     pa.ListArray.from_arrays(at, pa.array(np.concatenate(share)[order].astype(np.float32))),
                 ],
-                names=["label", "slot", "share"],
+                names=schema.names,
             )
 
-    return rows.mapInArrow(hashed, "label int, slot array<int>, share array<float>")
+    return rows.mapInArrow(hashed, schema)
 
 
-def train(rows: list[tuple[int, np.ndarray, np.ndarray]], rounds: int = ROUNDS) -> NgramModel | None:
-    """Adagrad over all rows at once, and Platt scaling on every fourth row, which is left out.
+class Sample:
+    """The bounded sample's n-gram shares, row after row, with products in small chunks."""
 
-    ``rows`` is the bounded sample; its order does not matter.
-    """
-    rows = sorted(rows, key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes()))
-    fitted, kept = [r for i, r in enumerate(rows) if i % 4], rows[::4]
-    if len({r[0] for r in fitted}) < 2 or len({r[0] for r in kept}) < 2:
+    def __init__(self, label: np.ndarray, bounds: np.ndarray, slot: np.ndarray, share: np.ndarray):
+        self.label, self.slot, self.share = label.astype(float), slot, share
+        self.owner = np.repeat(np.arange(len(label), dtype=np.int32), np.diff(bounds))
+
+    def _chunks(self) -> Iterator[slice]:
+        return (slice(a, a + CHUNK) for a in range(0, len(self.slot), CHUNK))
+
+    def margins(self, weights: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(self.label))
+        for c in self._chunks():
+            out += np.bincount(self.owner[c], weights=weights[self.slot[c]] * self.share[c], minlength=len(out))
+        return out
+
+    def gradient(self, error: np.ndarray, width: int) -> np.ndarray:
+        out = np.zeros(width)
+        for c in self._chunks():
+            out += np.bincount(self.slot[c], weights=error[self.owner[c]] * self.share[c], minlength=width)
+        return out
+
+
+def train(rows: Sample, rounds: int = ROUNDS) -> NgramModel | None:
+    """Adagrad over all rows at once, and Platt scaling on every fourth row, which is left out."""
+    y, width = rows.label, 3 << BITS
+    kept = np.arange(len(y)) % 4 == 0
+    if len(set(y[kept])) < 2 or len(set(y[~kept])) < 2:
         return None
-    width = 3 << BITS
-    y = np.array([r[0] for r in fitted], dtype=float)
-    slot = np.concatenate([r[1] for r in fitted])
-    share = np.concatenate([r[2] for r in fitted]).astype(float)
-    owner = np.repeat(np.arange(len(fitted)), [len(r[1]) for r in fitted])
-    balance = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
+    balance = np.where(kept, 0.0, np.where(y == 1, 0.5 / y[~kept].sum(), 0.5 / (1 - y[~kept]).sum()))
     w, b, seen = np.zeros(width), 0.0, np.full(width, 1e-10)
     for _ in range(rounds):
-        margin = b + np.bincount(owner, weights=w[slot] * share, minlength=len(y))
-        error = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y) * balance
-        gradient = np.bincount(slot, weights=error[owner] * share, minlength=width) + 1e-7 * w
+        error = (1 / (1 + np.exp(-np.clip(b + rows.margins(w), -30, 30))) - y) * balance
+        gradient = rows.gradient(error, width) + 1e-7 * w
         seen += gradient**2
         w -= 0.5 * gradient / np.sqrt(seen)
         b -= 0.5 * error.sum()
-    margin = np.array([b + (w[r[1]] * r[2]).sum() for r in kept])
-    target = np.array([r[0] for r in kept], dtype=float)
+    margin, target = (b + rows.margins(w))[kept], y[kept]
     ones, zeros = target.sum(), (1 - target).sum()
     aim = np.where(target == 1, (ones + 1) / (ones + 2), 1 / (zeros + 2))  # keeps the slope finite
     scale = max(np.abs(margin).max(), 1e-9)
@@ -142,13 +158,15 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], rounds: int = ROUNDS)
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
         label_id: str = "doc_id", label: str = "quality", limit: int = SAMPLE) -> NgramModel | None:
-    found = sample(docs, clean_labels(labels, label_id, label), doc_id, text, limit).toArrow()
-    label_of = found["label"].to_pylist()
-    slot, share = found["slot"].combine_chunks(), found["share"].combine_chunks()
-    rows = [
-        (label_of[i], slot[i].values.to_numpy(), share[i].values.to_numpy()) for i in range(found.num_rows)
-    ]
-    return train(rows)
+    """The model from the bounded sample, in order of ids, so that reruns agree."""
+    found = sample(docs, clean_labels(labels, label_id, label), doc_id, text, limit).orderBy("doc_id").toArrow()
+    found = found.combine_chunks()
+    if not found.num_rows:
+        return None
+    slot, share = (found[c].chunk(0) for c in ("slot", "share"))
+    return train(Sample(
+        found["label"].to_numpy(), slot.offsets.to_numpy(), slot.flatten().to_numpy(), share.flatten().to_numpy()
+    ))
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
