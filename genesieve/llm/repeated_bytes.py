@@ -282,11 +282,15 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Texts are dealt out by id once; taking runs and cutting both read that exchange.
     """
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    dealt = source.repartition(shuffle_width(docs.sparkSession), "doc_id")
+    if source.dtypes == docs.select(doc_id, text).dtypes:
+        source = docs.select(doc_id, text)  # no aliases, which would make two exchanges differ
+    # without null ids, so that both readers ask for the very same exchange
+    dealt = source.where("doc_id IS NOT NULL").repartition(shuffle_width(docs.sparkSession), "doc_id")
     lists = repeated_spans(source, dealt, hot).groupBy(F.col("doc_id").alias("doc")).agg(
         F.collect_list(F.struct("begin", "end")).alias("spans")
     )
     rows = dealt.join(lists.hint("shuffle_hash"), F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "spans")
+    rows = rows.unionByName(source.where("doc_id IS NULL"), allowMissingColumns=True)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<begin: long, end: long>>"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
