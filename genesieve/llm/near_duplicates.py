@@ -6,9 +6,10 @@ odd sketch.  The population count of two sketches' XOR estimates how many sample
 most precisely where few do, and so tells which candidates are worth an exact check.
 
 Documents with equal sets are one from the start.  A bucket of a band may be large, so it
-never makes all its pairs: every member meets the bucket's least member; what exact checks
-confirm becomes links.  Only in buckets whose other members are not yet in one component,
-members meet each other, as sketches, and pairs that may reach the threshold are checked.
+never makes all its pairs: its least member leads it, and every document meets the leads it
+shares most bands with; what exact checks confirm becomes links.  Only in buckets whose
+members are not yet in one component, members meet across components, as sketches, and
+pairs that may reach the threshold are checked.
 
 Recall: with 72 bands of 8 rows a pair at similarity 0.8 shares no band with probability
 2e-6, and its estimate falls under the margin with about 1e-5; closer pairs less.  Pairs at
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Texts, U, column, mix, slices, written
@@ -36,9 +37,11 @@ from .text_statistics import Words
 
 BANDS, ROWS = 72, 8
 SAMPLES = BANDS * ROWS
-BITS = 1024
-MARGIN = 0.1  # over four standard errors of the estimate
-SURE = 0.92  # an estimate this high leaves no doubt about 0.8
+BITS = 4096
+MARGIN = 0.07  # over four standard errors of the estimate
+SURE = 0.88  # four standard errors above 0.8
+LEADS = 8  # leads that a document meets before components are drawn
+PAIRS = 200_000  # pairs that a task holds before it passes them on
 _SEEDS = mix(np.arange(1, 2 * SAMPLES + 1, dtype=U))
 _XOR, _TIMES = _SEEDS[:SAMPLES].astype(np.uint32), _SEEDS[SAMPLES:].astype(np.uint32) | np.uint32(1)
 
@@ -163,64 +166,88 @@ def _plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return met.where(sizes & (estimate(F.col("ka"), F.col("kb")) >= percent / 100 - MARGIN)).select("a", "b")
 
 
-def _rest_of_buckets(rows: DataFrame, percent: int) -> DataFrame:
+def _across(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs across components within buckets, found on sketches, streamed bucket by bucket.
 
-    ``rows``: key, node, component, n, sketch.  A member that is surely similar to an
-    earlier one stands behind it and meets no one else; so a large family gives a star.
+    ``rows``: key, node, component, n, sketch.  A pair that is surely similar joins its two
+    components within the bucket, so later members of both no longer meet each other and a
+    large family gives a star, not all its pairs.
     """
     least = percent / 100
 
-    def bucket(node: np.ndarray, part: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> tuple[list[int], list[int]]:
-        a, b = [], []
-        behind = np.zeros(len(node), dtype=bool)
+    def bucket(node: np.ndarray, part: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> Iterator[np.ndarray]:
+        """Plausible partners of one member after the other, as rows (a, b)."""
+        part = part.copy()
         for i in range(len(node) - 1):
-            if behind[i]:
-                continue
-            rest = np.flatnonzero((part[i + 1 :] != part[i]) & ~behind[i + 1 :]) + i + 1
+            rest = np.flatnonzero(part[i + 1 :] != part[i]) + i + 1
+            rest = rest[np.minimum(n[rest], n[i]) * 100 >= percent * np.maximum(n[rest], n[i])]
             if not len(rest):
                 continue
-            fits = np.minimum(n[rest], n[i]) * 100 >= percent * np.maximum(n[rest], n[i])
-            rest = rest[fits]
             differing = np.bitwise_count(sketch[rest] ^ sketch[i]).sum(axis=1)
             close = 1 + BITS / (4 * SAMPLES) * np.log(np.maximum(1 - 2 * differing / BITS, 1e-9))
             hit = rest[close >= least - MARGIN]
-            a += [node[i]] * len(hit)
-            b += node[hit].tolist()
-            behind[rest[close >= SURE]] = True
-        return a, b
-
-    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            joined = np.unique(part[rest[close >= SURE]])
+            part[np.isin(part, joined)] = part[i]
+            yield np.column_stack([np.full(len(hit), node[i]), node[hit]])
+
+    def settle(table: pa.Table) -> Iterator[np.ndarray]:
+        keys = table["key"].to_numpy()
+        node, part, n = (table[c].to_numpy() for c in ("node", "component", "n"))
+        sketch = table["sketch"].combine_chunks().flatten().to_numpy().view(U).reshape(len(keys), -1)
+        cuts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])).tolist() + [len(keys)]
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            yield from bucket(node[i:j], part[i:j], n[i:j], sketch[i:j])
+
+    def passed_on(found: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """Pairs in batches of bounded size, each pair once in a batch."""
+        held, count = [], 0
+        for pairs in found:
+            held.append(pairs)
+            count += len(pairs)
+            if count >= PAIRS:
+                yield batch_of(np.concatenate(held))
+                held, count = [], 0
+        if count:
+            yield batch_of(np.concatenate(held))
+
+    def batch_of(pairs: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+        pairs = pairs[order]
+        new = np.ones(len(pairs), dtype=bool)
+        new[1:] = (pairs[1:] != pairs[:-1]).any(axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[new, 0]), pa.array(pairs[new, 1])], names=["a", "b"])
+
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         held: list[pa.RecordBatch] = []
-
-        def emit(table: pa.Table) -> pa.RecordBatch:
-            keys = table["key"].to_numpy()
-            node, part, n = (table[c].to_numpy() for c in ("node", "component", "n"))
-            sketch = table["sketch"].combine_chunks().flatten().to_numpy().view(U).reshape(len(keys), -1)
-            cuts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])).tolist() + [len(keys)]
-            a, b = [], []
-            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                x, y = bucket(node[i:j], part[i:j], n[i:j], sketch[i:j])
-                a += x
-                b += y
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys = column(batch, "key").to_numpy()
             cut = int(np.searchsorted(keys, keys[-1]))  # the last bucket may go on in the next batch
             if cut:
-                yield emit(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                yield pa.Table.from_batches([*held, batch.slice(0, cut)])
                 held = []
             held.append(batch.slice(cut))
         if held:
-            yield emit(pa.Table.from_batches(held))
+            yield pa.Table.from_batches(held)
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from passed_on(pairs for table in tables(batches) for pairs in settle(table))
 
     ordered = rows.repartition("key").sortWithinPartitions("key", "node")
     return ordered.mapInArrow(stream, "a long, b long").distinct()
 
 
+def _divided(members: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Members, with components and sketches, of buckets that hold several components."""
+    placed = members.select("key", "node").join(found, "node", "left").withColumn(
+        "component", F.coalesce("component", "node")
+    )
+    split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    rest = placed.join(split.select("key"), "key").join(nodes.select("node", "n", "sketch"), "node")
+    return rest.select("key", "node", "component", "n", "sketch")
+
+
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80
 ) -> DataFrame:
@@ -235,19 +262,19 @@ def near_duplicates(
     keyed = nodes.select(F.explode("bands").alias("key"), "node")
     buckets = keyed.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("members")).where("members > 1")
     members = written(keyed.join(buckets, "key"), "buckets")
-    stars = members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    # each member first meets the leads that it shares most bands with; whatever that
+    # leaves in several components is settled bucket by bucket below
+    shared = members.where("node <> lead").groupBy("lead", "node").agg(F.count("*").alias("bands"))
+    nearest = Window.partitionBy("node").orderBy(F.desc("bands"), "lead")
+    stars = shared.withColumn("turn", F.row_number().over(nearest)).where(F.col("turn") <= LEADS)
+    stars = stars.select(F.col("lead").alias("a"), F.col("node").alias("b"))
     links = written(_confirm(docs, written(_plausible(stars, nodes, percent), "pairs"), doc_id, text, width, percent), "links")
     found = written(components(links), "components")
 
-    # buckets whose members besides the first are not all in one component
-    placed = members.where("members > 2 AND node <> lead").select("key", "node").join(
-        found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    rest = placed.join(split.select("key"), "key").join(nodes.select("node", "n", "sketch"), "node")
-    more = written(_rest_of_buckets(rest.select("key", "node", "component", "n", "sketch"), percent), "pairs")
+    more = written(_across(_divided(members, found, nodes), percent), "pairs")
     if more.limit(1).count():
-        second = _confirm(docs, more, doc_id, text, width, percent)
-        found = components(written(links.unionByName(second), "links"))
+        links = written(links.unionByName(_confirm(docs, more, doc_id, text, width, percent)), "links")
+        found = written(components(links), "components")
 
     of_class = classes.join(found, "node", "left").select(*equal, F.coalesce("component", "node").alias("component"))
     out = signed.select("doc_id", *equal).join(of_class, equal, "left")
