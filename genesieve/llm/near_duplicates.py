@@ -3,13 +3,20 @@
 Each document's set of word shingles gives MinHash samples.  Rows of samples form bands,
 whose keys bring candidates together; all samples are folded into a parity bitmap, the
 odd sketch.  The population count of two sketches' XOR estimates how many samples differ,
-most precisely where few do, and so tells which candidates are worth an exact check.
-
-Documents with equal sets are one from the start.  A bucket of a band may be large, so it
-never makes all its pairs: its least member leads it, and every document meets the leads it
-shares most bands with; what exact checks confirm becomes links.  Only in buckets whose
-members are not yet in one component, members meet across components, as sketches, and
-pairs that may reach the threshold are checked.
+most precisely where few do, and so tells which candidates are worth an exact check.  A
+second bitmap holds the parities of the whole set: two of them differ in at most as many bits
+as the sets in shingles, so sets too far apart for the threshold are told without any loss.
+
+Documents with equal sets are one from the start.  The least member of a bucket leads it, and
+every document meets the leads it shares most bands with; what exact checks confirm becomes
+links.  Only in buckets whose members are not yet in one component, members meet across
+components, as sketches, and pairs that may reach the threshold are checked.  A bucket of more
+than ``BLOCK`` members is dealt by size class and salt into blocks, and each pair of blocks
+whose sizes may reach the threshold is a group of its own: a task holds a few blocks however
+large the bucket is.  Pairs within such a bucket are still all looked at, so where a family
+just under the threshold grows with the corpus, the work grows with its square and its copies
+of sketches with the square over ``BLOCK``, spread over all tasks; what goes on to a full check
+does not, as long as the parities tell the pairs apart.
 
 Recall: with 72 bands of 8 rows a pair at similarity 0.8 shares no band with probability
 2e-6, and its estimate falls under the margin with about 1e-5; closer pairs less.  Pairs at
@@ -24,6 +31,7 @@ columns are read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +46,11 @@ from .text_statistics import Words
 BANDS, ROWS = 72, 8
 SAMPLES = BANDS * ROWS
 BITS = 4096
+PARITIES = 2048  # bits of the whole set's parities
+WORDS = BITS // 64  # of a sketch, before the parities
 MARGIN = 0.07  # over four standard errors of the estimate
 SURE = 0.88  # four standard errors above 0.8
+BLOCK = 4096  # members of a bucket that are compared together
 LEADS = 8  # leads that a document meets before components are drawn
 PAIRS = 200_000  # pairs that a task holds before it passes them on
 _SEEDS = mix(np.arange(1, 2 * SAMPLES + 1, dtype=U))
@@ -77,7 +88,7 @@ def shingle_sets(texts: Texts, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signatures(sets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Band keys, odd sketches and fingerprints of non-empty sets."""
+    """Band keys, odd sketches with the sets' parities behind them, and fingerprints of non-empty sets."""
     start = bounds[:-1]
     sample = np.empty((len(start), SAMPLES), dtype=U)
     narrow = (sets >> U(32)).astype(np.uint32)
@@ -90,6 +101,10 @@ def _signatures(sets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     bit = (folded % U(BITS)).astype(np.int64)
     hits = np.bincount((np.arange(len(start))[:, None] * BITS + bit).ravel(), minlength=len(start) * BITS)
     sketch = np.packbits((hits & 1).astype(np.uint8).reshape(len(start), BITS), axis=1).view(np.int64)
+    at = np.repeat(np.arange(len(start)), np.diff(bounds)) * PARITIES + (mix(sets + U(3)) % U(PARITIES)).astype(np.int64)
+    hits = np.bincount(at, minlength=len(start) * PARITIES)
+    whole = np.packbits((hits & 1).astype(np.uint8).reshape(len(start), PARITIES), axis=1).view(np.int64)
+    sketch = np.hstack([sketch, whole])
     print_ = np.column_stack([np.add.reduceat(mix(sets + U(k)), start) for k in (1, 2)])
     return bands, sketch, print_
 
@@ -109,7 +124,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame
             if len(full):
                 bands, sketch, prints[full] = _signatures(sets, np.append(bounds[:-1][full], len(sets)))
             else:
-                bands, sketch = np.zeros((0, BANDS), U), np.zeros((0, BITS // 64), np.int64)
+                bands, sketch = np.zeros((0, BANDS), U), np.zeros((0, WORDS + PARITIES // 64), np.int64)
             for made in (bands.view(np.int64), sketch):
                 at = np.concatenate([[0], np.cumsum(np.where(size > 0, made.shape[1], 0))]).astype(np.int32)
                 lists.append(pa.ListArray.from_arrays(at, pa.array(made.ravel())))
@@ -123,9 +138,13 @@ def signatures(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame
     return source.mapInArrow(sign, schema)
 
 
+def _differing(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, c: s + c)
+
+
 def estimate(a: Column, b: Column) -> Column:
     """Similarity from the population count of two odd sketches' XOR."""
-    differing = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, c: s + c)
+    differing = _differing(F.slice(a, 1, WORDS), F.slice(b, 1, WORDS))
     return 1 + BITS / (4.0 * SAMPLES) * F.log(F.greatest(1 - 2.0 * differing / BITS, F.lit(1e-9)))
 
 
@@ -163,40 +182,49 @@ def _plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb"))
     met = pairs.join(left, "a").join(right, "b")
     sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    apart = _differing(*[F.slice(k, WORDS + 1, PARITIES // 64) for k in ("ka", "kb")])
+    sizes &= apart * (100 + percent) <= (100 - percent) * (F.col("na") + F.col("nb"))
     return met.where(sizes & (estimate(F.col("ka"), F.col("kb")) >= percent / 100 - MARGIN)).select("a", "b")
 
 
 def _across(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components within buckets, found on sketches, streamed bucket by bucket.
+    """Pairs across components within groups, found on sketches, streamed group by group.
 
-    ``rows``: key, node, component, n, sketch.  A pair that is surely similar joins its two
-    components within the bucket, so later members of both no longer meet each other and a
-    large family gives a star, not all its pairs.
+    ``rows``: key, side, node, component, n, sketch, as ``_divided`` gives them.  A pair that
+    is surely similar joins its two components within the group, so later members of both no
+    longer meet each other and a large family gives a star, not all its pairs.
     """
     least = percent / 100
 
-    def bucket(node: np.ndarray, part: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> Iterator[np.ndarray]:
+    def bucket(side: np.ndarray, node: np.ndarray, part: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> Iterator[np.ndarray]:
         """Plausible partners of one member after the other, as rows (a, b)."""
-        part = part.copy()
+        order = np.lexsort((node, n))
+        side, node, part, n, sketch = side[order], node[order], part[order], n[order], sketch[order]
+        ends = np.searchsorted(n * percent, n * 100, side="right")  # sizes that may reach the threshold
         for i in range(len(node) - 1):
-            rest = np.flatnonzero(part[i + 1 :] != part[i]) + i + 1
-            rest = rest[np.minimum(n[rest], n[i]) * 100 >= percent * np.maximum(n[rest], n[i])]
+            later = slice(i + 1, ends[i])
+            rest = np.flatnonzero((part[later] != part[i]) & ((side[later] == 0) | (side[later] != side[i]))) + i + 1
             if not len(rest):
                 continue
-            differing = np.bitwise_count(sketch[rest] ^ sketch[i]).sum(axis=1)
+            apart = np.bitwise_count(sketch[rest, WORDS:] ^ sketch[i, WORDS:]).sum(axis=1, dtype=np.int64)
+            rest = rest[apart * (100 + percent) <= (100 - percent) * (n[rest] + n[i])]
+            if not len(rest):
+                continue
+            differing = np.bitwise_count(sketch[rest, :WORDS] ^ sketch[i, :WORDS]).sum(axis=1, dtype=np.int64)
             close = 1 + BITS / (4 * SAMPLES) * np.log(np.maximum(1 - 2 * differing / BITS, 1e-9))
             hit = rest[close >= least - MARGIN]
             joined = np.unique(part[rest[close >= SURE]])
-            part[np.isin(part, joined)] = part[i]
+            if len(joined):
+                part[np.isin(part, joined)] = part[i]
             yield np.column_stack([np.full(len(hit), node[i]), node[hit]])
 
     def settle(table: pa.Table) -> Iterator[np.ndarray]:
         keys = table["key"].to_numpy()
-        node, part, n = (table[c].to_numpy() for c in ("node", "component", "n"))
+        side, node, part, n = (table[c].to_numpy() for c in ("side", "node", "component", "n"))
         sketch = table["sketch"].combine_chunks().flatten().to_numpy().view(U).reshape(len(keys), -1)
         cuts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])).tolist() + [len(keys)]
         for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-            yield from bucket(node[i:j], part[i:j], n[i:j], sketch[i:j])
+            yield from bucket(side[i:j], node[i:j], part[i:j], n[i:j], sketch[i:j])
 
     def passed_on(found: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
         """Pairs in batches of bounded size, each pair once in a batch."""
@@ -238,14 +266,47 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
     return ordered.mapInArrow(stream, "a long, b long").distinct()
 
 
-def _divided(members: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Members, with components and sketches, of buckets that hold several components."""
+def _divided(members: DataFrame, found: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Members, with components and sketches, of buckets that hold several components.
+
+    ``key`` is the bucket, or a pair of blocks of a crowded bucket; ``side`` tells the two
+    blocks of a pair apart and is 0 where all members meet.
+    """
     placed = members.select("key", "node").join(found, "node", "left").withColumn(
         "component", F.coalesce("component", "node")
     )
-    split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    rest = placed.join(split.select("key"), "key").join(nodes.select("node", "n", "sketch"), "node")
-    return rest.select("key", "node", "component", "n", "sketch")
+    split = placed.groupBy("key").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")
+    ).where("low <> high")
+    split = written(split.select("key", "size"), "split")
+    crowded = split.where(F.col("size") > BLOCK).select("key")
+    sketched = nodes.select("node", "n", "sketch")
+    if not crowded.limit(1).count():
+        rest = placed.join(split.select("key"), "key").join(sketched, "node")
+        return rest.select("key", F.lit(0).alias("side"), "node", "component", "n", "sketch")
+
+    # sizes that may reach the threshold together are in one class or in neighbouring ones
+    step = max(math.log(100 / max(percent, 1)), 0.01) * (1 + 1e-9)
+    kind = F.floor(F.log("n") / step)
+    counts = placed.join(crowded, "key").join(nodes.select("node", "n"), "node").groupBy("key", kind.alias("kind")).count()
+    blocks = counts.groupBy("key").agg(F.map_from_entries(F.collect_list(
+        F.struct("kind", F.ceil(F.col("count") / BLOCK).alias("n"))
+    )).alias("blocks"))
+    split = split.select("key").join(blocks, "key", "left")
+    rest = placed.join(split, "key").join(sketched, "node").withColumn("kind", kind)
+    own = F.struct("kind", F.pmod(F.xxhash64("node"), F.col("blocks")[F.col("kind")]).alias("salt"))
+    near = F.filter(F.array(*[F.col("kind") + d for d in (-1, 0, 1)]), lambda k: F.map_contains_key("blocks", k))
+    others = F.flatten(F.transform(near, lambda k: F.transform(
+        F.sequence(F.lit(0).cast("long"), F.col("blocks")[k] - 1), lambda t: F.struct(k.alias("kind"), t.alias("salt"))
+    )))
+    met = F.transform(others, lambda o: F.struct(
+        F.xxhash64("key", F.least("own", o), F.greatest("own", o)).alias("key"),
+        F.when(F.col("own") == o, 0).when(F.col("own") < o, 1).otherwise(2).alias("side"),
+    ))
+    alone = F.array(F.struct("key", F.lit(0).alias("side")))
+    rest = rest.withColumn("own", F.when(F.col("blocks").isNotNull(), own))
+    rest = rest.withColumn("group", F.explode(F.when(F.col("blocks").isNull(), alone).otherwise(met)))
+    return rest.select("group.key", "group.side", "node", "component", "n", "sketch")
 
 
 def near_duplicates(
@@ -271,7 +332,7 @@ def near_duplicates(
     links = written(_confirm(docs, written(_plausible(stars, nodes, percent), "pairs"), doc_id, text, width, percent), "links")
     found = written(components(links), "components")
 
-    more = written(_across(_divided(members, found, nodes), percent), "pairs")
+    more = written(_across(_divided(members, found, nodes, percent), percent), "pairs")
     if more.limit(1).count():
         links = written(links.unionByName(_confirm(docs, more, doc_id, text, width, percent)), "links")
         found = written(components(links), "components")
