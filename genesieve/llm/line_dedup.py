@@ -2,7 +2,8 @@
 
 A line goes if an equal line, or one at edit distance 1, stands earlier: in a document
 with a smaller id, or further up in the same document.  Lines are judged as they stand in
-the input.  Lines shorter than ``min_chars`` are left alone.
+the input.  A line's place is its id, its number and a fingerprint of its row's text, so rows
+that share an id are judged each by its own text.  Lines shorter than ``min_chars`` are left alone.
 
 Equal lines are one from the start, told apart by 128 bits.  Every different line then
 emits the hashed keys of its deletion neighbourhood: itself, and itself without one
@@ -15,10 +16,11 @@ Two lines within one edit agree on their first or their last half.  So lines who
 occur in no other line emit nothing, and the others only delete where a partner can
 differ; that loses no pair.
 
-Edge cases: null and empty texts stay as they are; ties of id and place (repeated rows)
-count as one occurrence, so repeated rows lose and keep the same lines, and line numbers
-are counted alike in rows that share an id; rows with a null id stay as they are; the lines
-that stay are joined by line feeds again, so a text without any is empty.  Only the named
+Edge cases: null and empty texts stay as they are, also where another row has their id;
+repeated rows count as one occurrence, so they lose and keep the same lines; rows that share
+an id and differ in text are ordered by line number, then fingerprint; rows with a null id
+stay as they are; the lines that stay are joined by line feeds again, so a text without any is
+empty.  Only the named
 columns are read.
 """
 
@@ -36,6 +38,7 @@ from .common import Texts, U, column, mix, slices, written
 MIN_CHARS = 20
 STEP = 8  # bytes in a length class
 CHAR_BYTES = 4  # the most bytes that one edit touches
+PLACE = ("doc_id", "line", "print")  # in this order, the earlier line first
 
 
 def _lines(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -57,16 +60,21 @@ def _characters(texts: Texts, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return total[end] - total[start]
 
 
+def _source(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Rows that can have lines: ``doc_id, print, text``."""
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return source.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("print"), "text")
+
+
 def occurrences(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFrame:
-    """``doc_id, line, h1, h2, halves`` of every line long enough.
+    """``doc_id, line, print, h1, h2, halves`` of every line long enough.
 
     ``halves`` holds hashes of the first and the last half for the line's length class,
     and again for the class below where a shorter partner may be in it (else null).
     """
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    source = source.where("doc_id IS NOT NULL")
+    source = _source(docs, doc_id, text)
     names = ("f0", "l0", "f1", "l1")
-    schema = source.selectExpr("doc_id", "0 AS line", "0L AS h1", "0L AS h2", *[f"CAST(NULL AS BIGINT) AS {n}" for n in names]).schema
+    schema = source.selectExpr("doc_id", "0 AS line", "print", "0L AS h1", "0L AS h2", *[f"CAST(NULL AS BIGINT) AS {n}" for n in names]).schema
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -91,6 +99,7 @@ def occurrences(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> Data
                 made += [pa.array(k.view(np.int64), mask=~use) for k in (first, last)]
             yield pa.RecordBatch.from_arrays(
                 [column(batch, "doc_id").take(pa.array(owner)), pa.array(number.astype(np.int32)),
+                 column(batch, "print").take(pa.array(owner)),
                  pa.array(texts.span_hash(prefix, start, end).view(np.int64)), pa.array(second.view(np.int64)), *made],
                 names=schema.names,
             )
@@ -99,9 +108,9 @@ def occurrences(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> Data
 
 
 def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """``doc_id, line`` of every line that an earlier one makes redundant."""
+    """``doc_id, line, print`` of every line that an earlier one makes redundant."""
     found = written(occurrences(docs, doc_id, text, min_chars), "lines")
-    at = F.struct("doc_id", "line").alias("at")
+    at = F.struct(*PLACE).alias("at")
     # all occurrences of a line meet in a partial aggregate first
     halves = ("f0", "l0", "f1", "l1")
     distinct = written(
@@ -109,8 +118,8 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
         "distinct",
     )
     copies = found.join(distinct.where("n > 1").select("h1", "h2", "at"), ["h1", "h2"]).where(
-        F.struct("doc_id", "line") > F.col("at")
-    ).select("doc_id", "line")
+        F.struct(*PLACE) > F.col("at")
+    ).select(*PLACE)
 
     keyed = distinct.select("at", F.explode(F.array(*[
         F.struct(F.col(c).alias("key"), F.lit(c[0] == "f").alias("front")) for c in halves
@@ -119,27 +128,29 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     partners = keyed.join(shared, ["key", "front"]).groupBy("at").agg(
         F.max("front").alias("front"), F.max(~F.col("front")).alias("back")
     )
-    asked = partners.groupBy(F.col("at.doc_id").alias("doc")).agg(
+    asked = partners.groupBy(F.col("at.doc_id").alias("doc"), F.col("at.print").alias("of")).agg(
         F.collect_list(F.struct(F.col("at.line").alias("line"), "front", "back")).alias("asked")
     )
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = source.join(asked.hint("shuffle_hash"), source.doc_id == asked.doc).select("doc_id", "text", "asked")
-    schema = "doc_id long, line int, front boolean, back boolean, content string"
+    source = _source(docs, doc_id, text)
+    rows = source.join(asked.hint("shuffle_hash"), (source.doc_id == asked.doc) & (source.print == asked.of))
+    rows = rows.select("doc_id", "print", "text", "asked")
+    schema = "doc_id long, line int, print long, front boolean, back boolean, content string"
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            out: dict[str, list] = {"doc_id": [], "line": [], "front": [], "back": [], "content": []}
-            for doc, whole, wanted in zip(*(column(batch, c).to_pylist() for c in ("doc_id", "text", "asked")), strict=True):
+            out: dict[str, list] = {"doc_id": [], "line": [], "print": [], "front": [], "back": [], "content": []}
+            of_row = (column(batch, c).to_pylist() for c in ("doc_id", "print", "text", "asked"))
+            for doc, print_, whole, wanted in zip(*of_row, strict=True):
                 lines = whole.split("\n")
                 for w in wanted:
-                    if w["line"] < len(lines):  # another row of this id may be shorter
-                        out["doc_id"].append(doc)
-                        out["content"].append(lines[w["line"]])
-                        for c in ("line", "front", "back"):
-                            out[c].append(w[c])
+                    out["doc_id"].append(doc)
+                    out["print"].append(print_)
+                    out["content"].append(lines[w["line"]])
+                    for c in ("line", "front", "back"):
+                        out[c].append(w[c])
             yield pa.RecordBatch.from_pydict(out, schema=_SCHEMA)
 
-    content = written(rows.mapInArrow(take, schema).dropDuplicates(["doc_id", "line"]), "content")
+    content = written(rows.mapInArrow(take, schema).dropDuplicates(list(PLACE)), "content")
 
     def vary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "content", 1 << 18):
@@ -168,15 +179,15 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
             row = pa.array(np.concatenate(row)) if row else pa.array([], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(places).astype(np.int32)),
-                 column(batch, "doc_id").take(row), column(batch, "line").take(row)],
-                names=["key", "place", "doc_id", "line"],
+                 *[column(batch, c).take(row) for c in PLACE]],
+                names=["key", "place", *PLACE],
             )
 
-    variants = content.select("doc_id", "line", "front", "back", "content").mapInArrow(
-        vary, "key long, place int, doc_id long, line int"
+    variants = content.select(*PLACE, "front", "back", "content").mapInArrow(
+        vary, "key long, place int, doc_id long, line int, print long"
     )
     # keys of one line only meet nobody
-    who = F.xxhash64("doc_id", "line")
+    who = F.xxhash64(*PLACE)
     shared = variants.groupBy("key").agg(F.min(who).alias("a"), F.max(who).alias("b")).where("a <> b").select("key")
     meeting = written(variants.join(shared, "key").select("key", "place", at), "variants")
     # the earliest member of each place of a key; the line that is the key, and its earliest member
@@ -189,21 +200,24 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
         "first", F.when(F.col("place") >= 0, F.col("itself")), F.when(F.col("place") == -1, F.col("any"))
     )).alias("earlier")).where("earlier < at").distinct()
     left = content.select(at, F.col("content").alias("x"))
-    right = content.select(F.struct("doc_id", "line").alias("earlier"), F.col("content").alias("y"))
+    right = content.select(F.struct(*PLACE).alias("earlier"), F.col("content").alias("y"))
     near = met.join(left, "at").join(right, "earlier").where(F.levenshtein("x", "y", 1) >= 0).select("at").distinct()
     # that is the first occurrence; the later ones go as its copies
-    return copies.select("doc_id", "line").unionByName(near.select("at.doc_id", "at.line")).distinct()
+    return copies.unionByName(near.select("at.*")).distinct()
 
 
 _SCHEMA = pa.schema([
-    ("doc_id", pa.int64()), ("line", pa.int32()), ("front", pa.bool_()), ("back", pa.bool_()), ("content", pa.string()),
+    ("doc_id", pa.int64()), ("line", pa.int32()), ("print", pa.int64()), ("front", pa.bool_()), ("back", pa.bool_()), ("content", pa.string()),
 ])
 
 
 def without_lines(docs: DataFrame, gone: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the named lines taken out of their texts; the same columns."""
-    lists = gone.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list("line").alias("__gone"))
-    joined = docs.join(lists.hint("shuffle_hash"), docs[doc_id] == lists["__doc"], "left")
+    lists = gone.groupBy(F.col("doc_id").alias("__doc"), F.col("print").alias("__print")).agg(
+        F.collect_list("line").alias("__gone")
+    )
+    same = (docs[doc_id] == lists["__doc"]) & (F.xxhash64(docs[text].cast("string")) == lists["__print"])
+    joined = docs.join(lists.hint("shuffle_hash"), same, "left")
     kept = F.array_join(F.filter(
         F.split(F.col(text), "\n", -1), lambda line, i: ~F.array_contains("__gone", i.cast("int"))
     ), "\n")

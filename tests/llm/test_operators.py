@@ -321,6 +321,23 @@ def test_lines_within_one_edit(docs, rows, spark):
             assert r.text == "\n".join(kept)
 
 
+def test_lines_of_rows_that_share_an_id(spark):
+    line = [f"{w} begins a line that no other row has in full" for w in ("alpha", "bravo", "charlie", "delta")]
+    every = [
+        (1, f"{line[0]}\nshort"), (1, None), (2, line[0] + "!"),  # a null text beside a near line
+        (3, line[1]), (5, f"{line[1]}\nother"), (5, "unlike all others, to be kept in any event"),
+        (7, line[2]), (7, line[3]), (8, line[2][:-1]), (9, line[3] + "s"),  # both texts of 7 have a near line
+        (11, "equal lines at one place of two texts\na"), (11, "equal lines at one place of two texts\nb"),
+    ]
+    got = Counter(tuple(r) for r in line_dedup.dedup_lines(spark.createDataFrame(every, "doc_id long, text string")).collect())
+    one, other = ((11, "a"), (11, "equal lines at one place of two texts\nb")), ((11, "b"), (11, "equal lines at one place of two texts\na"))
+    assert all(got[x] for x in one) or all(got[x] for x in other)
+    assert Counter({x: n for x, n in got.items() if x[0] != 11}) == Counter([
+        (1, f"{line[0]}\nshort"), (1, None), (2, ""), (3, line[1]), (5, "other"),
+        (5, "unlike all others, to be kept in any event"), (7, line[2]), (7, line[3]), (8, ""), (9, ""),
+    ])
+
+
 def test_revisits(spark):
     plain = {"etag": "e1", "cache-control": "a", "content-length": "9"}
     table = [
