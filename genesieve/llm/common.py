@@ -1,4 +1,4 @@
-"""Whole texts as byte arrays: slices of Arrow batches, words, and 64-bit hashes.
+"""Whole texts as byte arrays: slices of Arrow batches, words, and hashes.
 
 Tasks work on slices of a few megabytes, so their memory follows the slice (or one
 longer document), never the partition.  A null text counts as empty everywhere.
@@ -19,10 +19,6 @@ from ..session import scratch_path
 
 SLICE_BYTES = 2 << 20
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """The finalising step of splitmix64."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
@@ -30,20 +26,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-_SECOND = mix(np.arange(256, dtype=U) + U(0x1F123BB5))
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    if base not in _powers or len(_powers[base]) < n:
-        steps = np.full(max(n, SLICE_BYTES + 1), base, dtype=U)
-        steps[0] = 1
-        made = np.cumprod(steps, dtype=U)
-        if n > 2 * SLICE_BYTES:
-            return made
-        _powers[base] = made
-    return _powers[base][:n]
+# one odd multiplier for block numbers, one for lengths, one for hashes that differ by salt
+_BLOCK, _LENGTH, _SALT = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0xD1B54A32D192ED03)
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U)
+HASHED_BLOCKS = 1 << 21  # blocks of eight bytes that are hashed at once
 
 
 class Texts:
@@ -59,42 +45,58 @@ class Texts:
         self.data = whole[bounds[0] : bounds[-1]]
         self.bounds = bounds.astype(np.int64) - int(bounds[0])
         self.n = len(array)
+        self._eight: np.ndarray | None = None
 
     @property
     def sizes(self) -> np.ndarray:
         return np.diff(self.bounds)
 
-    def prefix_hash(self, second: bool = False) -> np.ndarray:
-        """h with the hash of bytes [s, e) being (h[e] - h[s]) / base**s.
+    def span_hash(self, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
+        """64-bit hashes of the bytes [start, end): equal bytes give equal hashes anywhere.
 
-        The second hash gives every byte value another random number.
+        Every block of eight bytes is mixed with its number, then blocks are summed and
+        mixed with the length, so no arithmetic relation between texts survives.  Another
+        salt gives an independent hash.
         """
-        h = np.zeros(len(self.data) + 1, dtype=U)
-        values = _SECOND[self.data] if second else self.data.astype(U) + U(1)
-        np.cumsum(values * _power(_BASE, len(self.data)), out=h[1:])
-        return h
-
-    def without(self, prefix: np.ndarray, start: int, end: int, cut: np.ndarray, upto: np.ndarray) -> np.ndarray:
-        """Hashes of bytes [start, end) without each of the spans [cut, upto) inside them."""
-        inverse = _power(_BASE_INVERSE, len(self.data) + 1)
-        left = (prefix[cut] - prefix[start]) * inverse[start]
-        right = (prefix[end] - prefix[upto]) * inverse[upto - cut] * inverse[start]
-        return mix(left + right + (end - start - (upto - cut)).astype(U))
-
-    def span_hash(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        inverse = _power(_BASE_INVERSE, len(self.data) + 1)
-        return mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(U))
+        if self._eight is None:
+            padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+            self._eight = np.ndarray(len(self.data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+        start, end = np.asarray(start, np.int64), np.asarray(end, np.int64)
+        length = end - start
+        count = np.maximum((length + 7) >> 3, 1)
+        out = np.empty(len(start), dtype=U)
+        reach = np.cumsum(count)
+        first = 0
+        while first < len(start):
+            before = int(reach[first - 1]) if first else 0
+            last = max(first + 1, int(np.searchsorted(reach, before + HASHED_BLOCKS, side="right")))
+            out[first:last] = self._hash(start[first:last], end[first:last], count[first:last], salt)
+            first = last
+        return mix(out + length.view(U) * _LENGTH)
+
+    def _hash(self, start: np.ndarray, end: np.ndarray, count: np.ndarray, salt: int) -> np.ndarray:
+        at = np.cumsum(count) - count
+        which = np.repeat(np.arange(len(start)), count)
+        number = np.arange(len(which)) - at[which]
+        byte = start[which] + 8 * number
+        block = self._eight[byte] & _LOW_BYTES[np.minimum(end[which] - byte, 8)]
+        key = mix((number.view(U) + U(1)) * _BLOCK + U(salt) * _SALT)
+        return np.add.reduceat(mix(block ^ key), at)
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, end and text of every word: runs without space and bytes 9 to 13."""
+        return self.runs(~((self.data == 32) | ((self.data >= 9) & (self.data <= 13))))
+
+    def runs(self, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end and text of every longest run of bytes that are members."""
         inside = np.zeros(len(self.data) + 2, dtype=np.int8)
-        np.logical_not((self.data == 32) | ((self.data >= 9) & (self.data <= 13)), out=inside[1:-1].view(bool))
+        inside[1:-1] = member
         step = np.diff(inside)
         start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
         cuts = self.bounds[1:-1]
         cuts = cuts[(cuts > 0) & (cuts < len(self.data))]
         cuts = np.unique(cuts[inside[cuts].astype(bool) & inside[cuts + 1].astype(bool)])
-        if len(cuts):  # a word ends where its text does
+        if len(cuts):  # a run ends where its text does
             start, end = np.sort(np.concatenate([start, cuts])), np.sort(np.concatenate([end, cuts]))
         return start, end, self.owner(start)
 
@@ -102,6 +104,89 @@ class Texts:
         return np.searchsorted(self.bounds, positions, side="right") - 1
 
 
+def rolling_hash(data: np.ndarray, width: int) -> np.ndarray:
+    """A hash of every ``width`` bytes in a row, a power of two, by doubling."""
+    made, reach = data.astype(U), 1
+    while reach < width:
+        made = made[:-reach] * _SALT + made[reach:]
+        made ^= made >> U(29)
+        reach *= 2
+    return mix(made[: max(0, len(data) - width + 1)])
+
+
+class ModularHash:
+    """Polynomial hashes modulo the prime 2**61 - 1, which can leave out a part of a span.
+
+    Two different texts of n bytes share a hash for at most n of all 2**61 bases.
+    """
+
+    PRIME = U((1 << 61) - 1)
+    BASE = 0x1B873593CC9E2D51 % ((1 << 61) - 1)
+    _forward: np.ndarray | None = None
+    _backward: np.ndarray | None = None
+
+    def __init__(self, data: np.ndarray):
+        n = len(data)
+        term = self.times(mix(data.astype(U) + U(1)) & self.PRIME, self.powers(n)) if n else np.zeros(0, U)
+        low, high = np.zeros(n + 1, U), np.zeros(n + 1, U)
+        np.cumsum(term & U((1 << 30) - 1), out=low[1:])
+        np.cumsum(term >> U(30), out=high[1:])
+        self.prefix = self.plus(self.times(self.reduce(high), np.full(n + 1, 1 << 30, U)), self.reduce(low))
+        self.inverse = self.powers(n + 1, back=True)
+
+    @classmethod
+    def reduce(cls, x: np.ndarray) -> np.ndarray:
+        x = (x & cls.PRIME) + (x >> U(61))
+        return np.where(x >= cls.PRIME, x - cls.PRIME, x)
+
+    @classmethod
+    def plus(cls, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return cls.reduce(a + b)
+
+    @classmethod
+    def minus(cls, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return cls.reduce(a + (cls.PRIME - b))
+
+    @classmethod
+    def times(cls, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Products modulo the prime, from halves of 32 and 29 bits."""
+        half, some = U(32), U((1 << 32) - 1)
+        al, ah, bl, bh = a & some, a >> half, b & some, b >> half
+        cross = al * bh + ah * bl  # under 2**62
+        low = al * bl
+        # 2**61 is 1, so 2**64 is 8, and cross * 2**32 has its upper bits wrapped round
+        high = ah * bh * U(8)
+        middle = (cross >> U(29)) + ((cross & U((1 << 29) - 1)) << half)
+        return cls.reduce(cls.reduce(low) + cls.reduce(high) + cls.reduce(middle))
+
+    @classmethod
+    def powers(cls, n: int, back: bool = False) -> np.ndarray:
+        prime = (1 << 61) - 1
+        known = cls._backward if back else cls._forward
+        if known is None or len(known) < n:
+            base = pow(cls.BASE, -1, prime) if back else cls.BASE
+            known = np.ones(1, U)
+            while len(known) < max(n, 1 << 12):  # doubling: the next half is this one times a power
+                known = np.concatenate([known, cls.times(known, np.full(len(known), pow(base, len(known), prime), U))])
+            if n <= 2 * SLICE_BYTES:
+                if back:
+                    cls._backward = known
+                else:
+                    cls._forward = known
+        return known[:n]
+
+    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        value = self.times(self.minus(self.prefix[end], self.prefix[start]), self.inverse[start])
+        return mix(value + (end - start).astype(U) * _LENGTH)
+
+    def without(self, start: np.ndarray, end: np.ndarray, cut: np.ndarray, upto: np.ndarray) -> np.ndarray:
+        """Hashes of bytes [start, end) without the spans [cut, upto) inside them."""
+        p, shift = self.prefix, self.inverse[start]
+        left = self.times(self.minus(p[cut], p[start]), shift)
+        right = self.times(self.minus(p[end], p[upto]), self.times(shift, self.inverse[upto - cut]))
+        return mix(self.plus(left, right) + (end - start - (upto - cut)).astype(U) * _LENGTH)
+
+
 def per_text(owner: np.ndarray, n: int, weights: np.ndarray | None = None) -> np.ndarray:
     return np.bincount(owner, weights=weights, minlength=n)[:n] if n else np.zeros(0)
 
@@ -136,15 +221,49 @@ def distinct_runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, new
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write(df: DataFrame, path: str, *partition_by: str) -> None:
+    """``df`` as Parquet; its shuffle files go when the job is done, not when the driver collects garbage."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+        writer.parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
+
+
 def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again; its lineage ends there."""
     spark: SparkSession = df.sparkSession
     path = scratch_path(spark, name)
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
+    write(df, path, *partition_by)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Written tables of one operator, each dropped as soon as its last reader is done."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self._paths: dict[str, str] = {}
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(self.spark, name)
+        write(df, path)
+        self._paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(self._paths.pop(name))
+            path.getFileSystem(conf).delete(path, True)
+
+
 def parts_for(rows: int, rows_per_part: int) -> int:
     """How many parts of bounded size so many rows need; it grows with the rows."""
     return max(1, math.ceil(rows / rows_per_part))

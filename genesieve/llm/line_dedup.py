@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Texts, U, column, mix, slices, written
+from .common import ModularHash, Texts, U, column, mix, slices, written
 
 MIN_CHARS = 20
 STEP = 8  # bytes in a length class
@@ -82,8 +82,7 @@ def occurrences(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> Data
             start, end, owner, number = _lines(texts)
             long = _characters(texts, start, end) >= min_chars
             start, end, owner, number = start[long], end[long], owner[long], number[long]
-            prefix = texts.prefix_hash()
-            second = texts.span_hash(texts.prefix_hash(second=True), start, end)
+            second = texts.span_hash(start, end, salt=1)
             size = end - start
             made = []
             for below in (0, 1):
@@ -94,13 +93,13 @@ def occurrences(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> Data
                     use &= size - CHAR_BYTES < STEP * (kind + 1)
                 half = np.where(use, half, 0)
                 tag = mix((kind.astype(np.int64) * 2).view(U) + U(7))
-                first = texts.span_hash(prefix, start, start + half) ^ tag
-                last = texts.span_hash(prefix, end - half, end) ^ mix(tag)
+                first = texts.span_hash(start, start + half) ^ tag
+                last = texts.span_hash(end - half, end) ^ mix(tag)
                 made += [pa.array(k.view(np.int64), mask=~use) for k in (first, last)]
             yield pa.RecordBatch.from_arrays(
                 [column(batch, "doc_id").take(pa.array(owner)), pa.array(number.astype(np.int32)),
                  column(batch, "print").take(pa.array(owner)),
-                 pa.array(texts.span_hash(prefix, start, end).view(np.int64)), pa.array(second.view(np.int64)), *made],
+                 pa.array(texts.span_hash(start, end).view(np.int64)), pa.array(second.view(np.int64)), *made],
                 names=schema.names,
             )
 
@@ -155,31 +154,26 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     def vary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "content", 1 << 18):
             texts = Texts(column(batch, "content"))
-            prefix = texts.prefix_hash()
+            hashes = ModularHash(texts.data)
             points = np.flatnonzero((texts.data & 0xC0) != 0x80)
             ends = np.append(points[1:], len(texts.data))
             at = np.searchsorted(points, texts.bounds)  # characters before each line
-            front, back = (column(batch, c).to_numpy(zero_copy_only=False) for c in ("front", "back"))
-            keys, places, row = [], [], []
-            whole = texts.span_hash(prefix, texts.bounds[:-1], texts.bounds[1:])
-            for i in range(texts.n):
-                start, end = int(texts.bounds[i]), int(texts.bounds[i + 1])
-                low, high = int(at[i]), int(at[i + 1])
-                # an agreeing first half leaves the edit behind it, and the other way round
-                half = max(0, STEP // 2 * ((end - start) // STEP - 1) - CHAR_BYTES // 2)
-                if front[i] and not back[i]:
-                    low = int(np.searchsorted(ends, start + half, side="right"))
-                if back[i] and not front[i]:
-                    high = int(np.searchsorted(points, end - half))
-                low = max(low, int(at[i]))
-                made = texts.without(prefix, start, end, points[low:high], ends[low:high])
-                keys += [whole[i : i + 1], made]
-                places += [np.array([-1]), np.arange(low, high) - at[i]]
-                row.append(np.full(1 + len(made), i))
-            row = pa.array(np.concatenate(row)) if row else pa.array([], pa.int64())
+            front, back = (column(batch, c).to_numpy(zero_copy_only=False).astype(bool) for c in ("front", "back"))
+            start, end = texts.bounds[:-1], texts.bounds[1:]
+            # an agreeing first half leaves the edit behind it, and the other way round
+            half = np.maximum(0, STEP // 2 * ((end - start) // STEP - 1) - CHAR_BYTES // 2)
+            low = np.where(front & ~back, np.searchsorted(ends, start + half, side="right"), at[:-1])
+            high = np.where(back & ~front, np.searchsorted(points, end - half), at[1:])
+            low = np.maximum(low, at[:-1])
+            count = np.maximum(high - low, 0)
+            row = np.repeat(np.arange(texts.n), count)
+            cut = np.arange(len(row)) + (low - (np.cumsum(count) - count))[row]
+            made = hashes.without(start[row], end[row], points[cut], ends[cut])
+            keys = np.concatenate([hashes.spans(start, end), made])
+            places = np.concatenate([np.full(texts.n, -1), cut - at[row]])
+            row = pa.array(np.concatenate([np.arange(texts.n), row]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(places).astype(np.int32)),
-                 *[column(batch, c).take(row) for c in PLACE]],
+                [pa.array(keys.view(np.int64)), pa.array(places.astype(np.int32)), *[column(batch, c).take(row) for c in PLACE]],
                 names=["key", "place", *PLACE],
             )
 

@@ -16,14 +16,20 @@ A seed with more than ``hot`` different runs is split: each of its windows becom
 with its own content as its seed, so its equal windows meet by that and are counted in
 partial aggregates first.
 
+Rows are told apart by their id and a fingerprint of their text, and ordered by both.  Runs are
+shuffled once, to the seeds that occur twice; texts move twice, to the runs that are merged and
+to the spans that are cut.  Every table between is dropped when its last reader is done.
+
 Edge cases: a null or empty text has no bytes and nothing is removed; texts under 100
-bytes stay; ties (rows that share an id) count as one document, so repeated rows get equal
-results and do not remove each other; rows with a null id are not compared and stay as
-they are; no rows in, no rows out.  Only the named columns are read.
+bytes stay; repeated rows (id and text) count as one document, so they get equal results and do
+not remove each other; rows that share an id and differ in text are documents of their own;
+rows with a null id are not compared and stay as they are; no rows in, no rows out.  Only the
+named columns are read.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,9 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shuffle_width
 from . import bwt
-from .common import _BASE_INVERSE, Texts, U, _power, column, slices, written
+from .common import Scratch, Texts, U, column, rolling_hash, slices
 
 WINDOW = 100
 SEED = 32
@@ -45,13 +50,10 @@ SHARDS = 4
 
 def _runs(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Seed, start (in ``data``), number of windows and text of every run of windows."""
-    size = len(texts.data)
     windows = np.maximum(texts.sizes - WINDOW + 1, 0)
     if not windows.sum():
         return (np.zeros(0, U), *[np.zeros(0, np.int64)] * 3)
-    prefix = texts.prefix_hash()
-    gram = (prefix[SEED:] - prefix[:-SEED]) * _power(_BASE_INVERSE, size - SEED + 1)
-    gram = (gram ^ gram >> U(32)) * U(0x94D049BB133111EB)
+    gram = rolling_hash(texts.data, SEED)
     span, reach = WINDOW - SEED + 1, 1
     least = gram
     while reach * 2 <= span:
@@ -71,12 +73,15 @@ def _runs(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     return seed[begin], at[begin], count, owner[begin]
 
 
+AT = ("doc_id", "print", "start")  # in this order, the earlier place first
+
+
 def runs(docs: DataFrame, details: bool = True) -> DataFrame:
-    """``seed`` and, with details, ``content, doc_id, start, windows`` of every run.
+    """``seed`` and, with details, ``content, doc_id, print, start, windows`` of every run.
 
-    ``docs`` has ``doc_id`` and ``text``.
+    ``docs`` has ``doc_id``, ``print`` and ``text``.
     """
-    kinds = ["seed long", *(["content long", "doc_id long", "start int", "windows int"] if details else [])]
+    kinds = ["seed long", *(["content long", "doc_id long", "print long", "start int", "windows int"] if details else [])]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -84,14 +89,16 @@ def runs(docs: DataFrame, details: bool = True) -> DataFrame:
             seed, start, count, owner = _runs(texts)
             made = [pa.array(seed.view(np.int64))]
             if details:
-                content = texts.span_hash(texts.prefix_hash(), start, start + count + WINDOW - 1)
+                content = texts.span_hash(start, start + count + WINDOW - 1)
+                rows = pa.array(owner)
                 made += [
-                    pa.array(content.view(np.int64)), column(batch, "doc_id").take(pa.array(owner)),
+                    pa.array(content.view(np.int64)), column(batch, "doc_id").take(rows), column(batch, "print").take(rows),
                     pa.array((start - texts.bounds[owner]).astype(np.int32)), pa.array(count.astype(np.int32)),
                 ]
             yield pa.RecordBatch.from_arrays(made, names=[k.split()[0] for k in kinds])
 
-    return docs.where("doc_id IS NOT NULL").mapInArrow(find, ", ".join(kinds))
+    columns = ["doc_id", "print", "text"] if details else ["text"]
+    return docs.where("doc_id IS NOT NULL").select(*columns).mapInArrow(find, ", ".join(kinds))
 
 
 def repeated_windows(content: pa.Array, at: np.ndarray, shards: int = SHARDS) -> tuple[np.ndarray, np.ndarray]:
@@ -165,18 +172,20 @@ def _spans(which: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _merged(segments: DataFrame) -> DataFrame:
-    """``doc_id, begin, end`` of repeats among ``seed, doc_id, start, content``, seed by seed."""
+    """``doc_id, print, begin, end`` of repeats among ``seed, doc_id, print, start, content``, seed by seed."""
 
     def settle(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(rows).combine_chunks()
-        doc, start = table["doc_id"].to_numpy(), table["start"].to_numpy().astype(np.int64)
+        doc, print_, start = (table[c].to_numpy() for c in AT)
         content = table["content"].combine_chunks()
         if isinstance(content, pa.ChunkedArray):
             content = content.chunk(0)
-        which, begin, end = _spans(*repeated_windows(content, np.column_stack([doc, start])))
+        _, rank = np.unique(np.column_stack([doc, print_]), axis=0, return_inverse=True)  # in order of both
+        start = start.astype(np.int64)
+        which, begin, end = _spans(*repeated_windows(content, np.column_stack([rank.ravel(), start])))
         return pa.RecordBatch.from_arrays(
-            [pa.array(doc[which]), pa.array(start[which] + begin), pa.array(start[which] + end)],
-            names=["doc_id", "begin", "end"],
+            [pa.array(doc[which]), pa.array(print_[which]), pa.array(start[which] + begin), pa.array(start[which] + end)],
+            names=["doc_id", "print", "begin", "end"],
         )
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,94 +212,92 @@ def _merged(segments: DataFrame) -> DataFrame:
         if held:
             yield settle(held)
 
-    return segments.repartition("seed").sortWithinPartitions("seed").mapInArrow(stream, "doc_id long, begin long, end long")
+    return segments.repartition("seed").sortWithinPartitions("seed").mapInArrow(stream, "doc_id long, print long, begin long, end long")
 
 
-def _take(rows: DataFrame, single: bool) -> DataFrame:
-    """Bytes of the asked runs of each document, or of each window of those runs by itself.
+def _take(rows: DataFrame) -> DataFrame:
+    """Bytes of the asked runs of each document, or of each window of a hot seed's runs by itself.
 
-    ``rows``: doc_id, text, asked (seed, start, windows).
+    ``rows``: doc_id, print, text, asked (seed, start, windows, hot).
     """
-    schema = "seed long, doc_id long, start int, content binary"
+    schema = "seed long, hot boolean, doc_id long, print long, start int, content binary"
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
-            seed, doc, start, content = [], [], [], []
+            seed, hot, row, start, content = [], [], [], [], []
             texts = Texts(column(batch, "text"))
             asked = column(batch, "asked").to_pylist()
-            for i, d in enumerate(column(batch, "doc_id").to_pylist()):
+            for i in range(texts.n):
                 whole = texts.data[texts.bounds[i] : texts.bounds[i + 1]].tobytes()
                 for a in asked[i]:
-                    pieces = (
-                        [(k, WINDOW) for k in range(a["start"], a["start"] + a["windows"])] if single
-                        else [(a["start"], a["windows"] + WINDOW - 1)]
-                    )
-                    for begin, length in pieces:
-                        seed.append(a["seed"])
-                        doc.append(d)
-                        start.append(begin)
-                        content.append(whole[begin : begin + length])
+                    first, windows = a["start"], a["windows"]
+                    pieces = range(first, first + windows) if a["hot"] else (first,)
+                    length = WINDOW if a["hot"] else windows + WINDOW - 1
+                    seed += [a["seed"]] * len(pieces)
+                    hot += [a["hot"]] * len(pieces)
+                    row += [i] * len(pieces)
+                    start += pieces
+                    for begin in pieces:
+                        piece = whole[begin : begin + length]
+                        content.append(hashlib.md5(piece, usedforsecurity=False).digest() if a["hot"] else piece)
+            of = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(seed, pa.int64()), pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(content, pa.binary())],
-                names=["seed", "doc_id", "start", "content"],
+                [pa.array(seed, pa.int64()), pa.array(hot, pa.bool_()), column(batch, "doc_id").take(of), column(batch, "print").take(of),
+                 pa.array(start, pa.int32()), pa.array(content, pa.binary())],
+                names=["seed", "hot", *AT, "content"],
             )
 
     return rows.mapInArrow(take, schema)
 
 
-def repeated_spans(docs: DataFrame, dealt: DataFrame, hot: int = HOT) -> DataFrame:
-    """``doc_id, begin, end`` of removed bytes, which may overlap.
+def _to_texts(docs: DataFrame, rows: DataFrame, what: str, fields: list[str], how: str = "inner") -> DataFrame:
+    """Every text with the list of its ``rows``, by id and fingerprint."""
+    lists = rows.groupBy(F.col("doc_id").alias("of_id"), F.col("print").alias("of_print")).agg(
+        F.collect_list(F.struct(*fields)).alias(what)
+    )
+    same = (F.col("doc_id") == F.col("of_id")) & (F.col("print") == F.col("of_print"))
+    return docs.join(lists.hint("shuffle_hash"), same, how).select("doc_id", "print", "text", what)
 
-    ``docs`` and ``dealt`` have ``doc_id`` and ``text``; ``dealt`` is dealt out by id.
+
+def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """``doc_id, print, begin, end`` of removed bytes, which may overlap.
+
+    ``docs`` has ``doc_id``, ``print`` and ``text``.
     """
+    scratch = Scratch(docs.sparkSession)
     twice = runs(docs, details=False).groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
-    found = written(runs(docs).join(twice, "seed"), "runs")
-    at = F.struct("doc_id", "start")
-    kinds = written(
-        found.groupBy("seed", "content").agg(F.min(at).alias("at"), F.max("windows").alias("windows"), F.count("*").alias("n")),
-        "kinds",
-    )
+    # written, so that the join reads two plain exchanges and a hot seed's runs can be split
+    twice = scratch.keep(twice, "twice")
+    found = scratch.keep(runs(docs).join(twice, "seed"), "runs")
+    scratch.drop("twice")
+    at = F.struct(*AT)
+    kinds = found.groupBy("seed", "content").agg(F.min(at).alias("at"), F.max("windows").alias("windows"), F.count("*").alias("n"))
+    kinds = scratch.keep(kinds, "kinds")
     copies = found.join(kinds.where("n > 1").select("seed", "content", "at"), ["seed", "content"]).where(at > F.col("at"))
-    copies = copies.selectExpr("doc_id", "CAST(start AS BIGINT) AS begin", f"CAST(start AS BIGINT) + windows + {WINDOW - 1} AS end")
+    copies = copies.selectExpr("doc_id", "print", "CAST(start AS BIGINT) AS begin", f"CAST(start AS BIGINT) + windows + {WINDOW - 1} AS end")
+    parts = [scratch.keep(copies, "copies")]
+    scratch.drop("runs")
 
     per_seed = kinds.groupBy("seed").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    wanted = kinds.join(per_seed, "seed").select("seed", "at.doc_id", "at.start", "windows", (F.col("kinds") > hot).alias("hot"))
-    wanted = written(wanted, "wanted")
-
-    def ask(rows: DataFrame) -> DataFrame:
-        lists = rows.groupBy(F.col("doc_id").alias("doc")).agg(
-            F.collect_list(F.struct("seed", "start", "windows")).alias("asked")
-        )
-        return dealt.join(lists.hint("shuffle_hash"), F.col("doc_id") == F.col("doc")).select("doc_id", "text", "asked")
-
-    parts = [copies, _merged(_take(ask(wanted.where("NOT hot")), False))]
-    if wanted.where("hot").limit(1).count():
-        single = _take(ask(wanted.where("hot")), True).withColumn("content", F.md5("content"))
-        single = written(single.select("content", "doc_id", "start"), "windows")
-        first = single.groupBy("content").agg(F.min(at).alias("at"), F.count("*").alias("n")).where("n > 1")
-        again = single.join(first, "content").where(at > F.col("at"))
-        parts.append(again.selectExpr("doc_id", "CAST(start AS BIGINT) AS begin", f"CAST(start AS BIGINT) + {WINDOW} AS end"))
-    spans = parts[0]
-    for part in parts[1:]:
-        spans = spans.unionByName(part)
-    return spans
+    wanted = kinds.join(per_seed, "seed").select("seed", "at.*", "windows", (F.col("kinds") > hot).alias("hot"))
+    segments = _take(_to_texts(docs, wanted, "asked", ["seed", "start", "windows", "hot"]))
+    segments = scratch.keep(segments, "segments")
+    scratch.drop("kinds")
+    parts.append(scratch.keep(_merged(segments.where("NOT hot").drop("hot")), "merged"))
+    single = segments.where("hot").select("content", *AT)
+    first = single.groupBy("content").agg(F.min(at).alias("at"), F.count("*").alias("n")).where("n > 1")
+    again = single.join(first, "content").where(at > F.col("at"))
+    again = again.selectExpr("doc_id", "print", "CAST(start AS BIGINT) AS begin", f"CAST(start AS BIGINT) + {WINDOW} AS end")
+    parts.append(scratch.keep(again, "again"))
+    scratch.drop("segments")
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept, spans`` with the remaining bytes.
-
-    Texts are dealt out by id once; taking runs and cutting both read that exchange.
-    """
+    """``doc_id, n_bytes, n_removed, n_spans, kept, spans`` with the remaining bytes."""
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    if source.dtypes == docs.select(doc_id, text).dtypes:
-        source = docs.select(doc_id, text)  # no aliases, which would make two exchanges differ
-    # without null ids, so that both readers ask for the very same exchange
-    dealt = source.where("doc_id IS NOT NULL").repartition(shuffle_width(docs.sparkSession), "doc_id")
-    lists = repeated_spans(source, dealt, hot).groupBy(F.col("doc_id").alias("doc")).agg(
-        F.collect_list(F.struct("begin", "end")).alias("spans")
-    )
-    rows = dealt.join(lists.hint("shuffle_hash"), F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "spans")
-    rows = rows.unionByName(source.where("doc_id IS NULL"), allowMissingColumns=True)
+    source = source.select("doc_id", F.xxhash64("text").alias("print"), "text")
+    rows = _to_texts(source, repeated_spans(source, hot), "spans", ["begin", "end"], "left").select("doc_id", "text", "spans")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<begin: long, end: long>>"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,8 +27,7 @@ class Words:
     def __init__(self, texts: Texts):
         self.texts = texts
         self.start, self.end, self.owner = texts.words()
-        self.prefix = texts.prefix_hash()
-        self.hash = texts.span_hash(self.prefix, self.start, self.end)
+        self.hash = texts.span_hash(self.start, self.end)
         self.salt = mix(np.arange(texts.n, dtype=U) + U(0x5851F42D4C957F2D))
 
     def counts(self) -> np.ndarray:
@@ -77,7 +76,7 @@ class Words:
         wordy = (first < len(self.start)) & (np.append(self.start, len(t.data) + 1)[first] < end)
         start, end = start[wordy], end[wordy]
         owner = t.owner(start)
-        order, new = distinct_runs(t.span_hash(self.prefix, start, end) ^ self.salt[owner])
+        order, new = distinct_runs(t.span_hash(start, end) ^ self.salt[owner])
         return per_text(owner, t.n).astype(np.int64), per_text(owner[order[~new]], t.n).astype(np.int64)
 
 

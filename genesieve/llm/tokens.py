@@ -2,8 +2,8 @@
 
 A space between two other characters always starts a new word of the pattern, and so
 does the first space of a run, or the last one before a word.  Texts are cut at such
-spaces; words are told apart by a 64-bit hash, new ones are encoded together in one call,
-and known ones come from a bounded cache of the task.  Texts with a space inside a run of
+spaces; words of a slice are told apart by two 64-bit hashes, new ones are encoded together
+in one call, and known ones come, by their bytes, from a bounded cache of the task.  Texts with a space inside a run of
 white space, and texts that contain a special token, go to the tokenizer whole.
 """
 
@@ -46,30 +46,30 @@ class ByteBpe:
         self._clear()
 
     def _clear(self) -> None:
-        self._slot: dict[int, int] = {}
+        self._slot: dict[bytes, int] = {}
         self._ids = np.zeros(1 << 16, dtype=np.uint32)
         self._at = np.zeros(1 << 14, dtype=np.int64)  # word w has ids _at[w] .. _at[w + 1]
 
-    def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
+    def _learn(self, words: list[bytes]) -> None:
         """Words with their space in front: encoded as one text, since each space parts them."""
         ids = np.array(self._plain(b"".join(words).decode("utf-8")), dtype=np.uint32)
         ends = np.searchsorted(np.cumsum(self._bytes_of[ids]), np.cumsum([len(w) for w in words])) + 1
-        self._store(keys, ids, ends)
+        self._store(words, ids, ends)
 
-    def _learn_bare(self, keys: np.ndarray, words: list[bytes]) -> None:
+    def _learn_bare(self, words: list[bytes]) -> None:
         """Words at the start of a text, without a space to part them."""
         found = [self._plain(w.decode("utf-8")) for w in words]
-        self._store(keys, np.array([i for f in found for i in f], dtype=np.uint32), np.cumsum([len(f) for f in found]))
+        self._store(words, np.array([i for f in found for i in f], dtype=np.uint32), np.cumsum([len(f) for f in found]))
 
-    def _store(self, keys: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> None:
+    def _store(self, words: list[bytes], ids: np.ndarray, ends: np.ndarray) -> None:
         known, base = len(self._slot), int(self._at[len(self._slot)])
         while base + len(ids) > len(self._ids):
             self._ids = np.concatenate([self._ids, np.zeros_like(self._ids)])
-        while known + len(keys) >= len(self._at):
+        while known + len(words) >= len(self._at):
             self._at = np.concatenate([self._at, np.zeros_like(self._at)])
         self._ids[base : base + len(ids)] = ids
-        self._at[known + 1 : known + len(keys) + 1] = base + ends
-        self._slot.update(zip(keys.tolist(), range(known, known + len(keys)), strict=True))
+        self._at[known + 1 : known + len(words) + 1] = base + ends
+        self._slot.update(zip(words, range(known, known + len(words)), strict=True))
 
     def _encode_whole(self, text: bytes) -> np.ndarray:
         if END not in text:
@@ -103,15 +103,18 @@ class ByteBpe:
         who = texts.owner(start)
         following = np.append(start[1:], len(data))
         end = np.minimum(following, texts.bounds[who + 1])
-        keys, first, back = np.unique(texts.span_hash(texts.prefix_hash(), start, end), return_index=True, return_inverse=True)
-        slots = np.fromiter(map(self._slot.get, keys.tolist(), repeat(-1)), dtype=np.int64, count=len(keys))
+        key = texts.span_hash(start, end)
+        _, first, back = np.unique(key, return_index=True, return_inverse=True)
+        second = texts.span_hash(start, end, salt=1)
+        apart[who[second != second[first][back]]] = True  # different words with one hash
+        words = [raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+        slots = np.fromiter(map(self._slot.get, words, repeat(-1)), dtype=np.int64, count=len(words))
         new = np.flatnonzero(slots < 0)
         bare = data[start[first[new]]] != 32
         for learn, group in ((self._learn, new[~bare]), (self._learn_bare, new[bare])):
             if len(group):
                 slots[group] = len(self._slot) + np.arange(len(group))
-                spans = zip(start[first[group]].tolist(), end[first[group]].tolist(), strict=True)
-                learn(keys[group], [raw[a:b] for a, b in spans])
+                learn([words[i] for i in group.tolist()])
         slot = slots[back]
         length = self._at[slot + 1] - self._at[slot]
         place = np.concatenate([[0], np.cumsum(length)])
