@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, near_duplicates, packing, quality_discriminant, quality_rules, repeated_bytes, revisits, secret_scan, top_k
+from . import (
+    line_dedup, mixing, near_duplicates, packing, pieces, quality_discriminant, quality_rules, repeated_bytes, revisits,
+    secret_scan, source_divergence, spelling, top_k,
+)
 from .common import reachable
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -65,11 +68,25 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
+def op12_piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = pieces.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep=False)
+    return pieces.digest(pieces.decode(coded))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: tuple[Run, ...] = (
     op1_quality_discriminant, op2_revisits, op3_repeated_bytes, op4_best_fit_packing, op5_near_duplicates, op6_secret_scan,
     op7_quality_rules, op8_source_mixing, op9_top_k, op10_line_dedup,
+    op11_source_divergence, op12_piece_ids, op13_spelling_variants,
 )
-SQL: dict[str, str] = {"op2_revisits": revisits.SQL, "op8_source_mixing": mixing.SQL, "op9_top_k": top_k.SQL}
+SQL: dict[str, str] = {"op2_revisits": revisits.SQL, "op8_source_mixing": mixing.SQL, "op9_top_k": top_k.SQL, "op11_source_divergence": source_divergence.SQL}
 
 
 def queries() -> dict[str, Run]:
