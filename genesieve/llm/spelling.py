@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import Texts, U, column, mix, slices, written
+from .common import Texts, U, column, mix, parts_for, slices, written
 from .source_divergence import distinct_spans
 
 MIN_CHARS = 7
@@ -43,6 +43,7 @@ LOSES = 31  # a word whose hash this divides loses a character
 FILTER_BITS = 1 << 27
 LONGEST = 48  # longer words share one shard
 CHUNK = 1 << 19  # edits that are probed at once
+PROBE_WORDS = 20_000  # words that one task probes: few bytes, many edits
 _POSITION, _CODE = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 
 
@@ -232,7 +233,8 @@ def candidates(vocabulary: DataFrame, alphabet: np.ndarray, min_chars: int, filt
                         names=["x1", "x2", "y1", "y2"],
                     )
 
-        found.append(written(vocabulary.select("word").mapInArrow(probe, "x1 long, x2 long, y1 long, y2 long"), "candidates"))
+        dealt = vocabulary.select("word").repartition(parts_for(sum(sizes.values()), PROBE_WORDS))
+        found.append(written(dealt.mapInArrow(probe, "x1 long, x2 long, y1 long, y2 long"), "candidates"))
         shared.unpersist()
     return found
 
