@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,7 +49,7 @@ def scratch_root(spark: SparkSession) -> str:
     current = context.getCheckpointDir()
     if current:
         return current
-    if not context.master.startswith("local"):
+    if not is_local(spark):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="genesieve-"))
     return context.getCheckpointDir()
@@ -60,13 +61,30 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably in the shared folder and cut its lineage.
+    """``df`` as a Parquet table in the shared folder, read again: its lineage ends there.
 
-    Used where one intermediate result feeds several jobs, or where an iteration
-    would otherwise grow its plan without end.
+    Used where one intermediate result feeds several jobs, or where an iteration would
+    otherwise grow its plan without end.  Readers prune its columns and push filters down.
     """
-    scratch_root(df.sparkSession)
-    return df.checkpoint()
+    path = scratch_path(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def is_local(spark: SparkSession) -> bool:
+    """Whether all tasks run in the driver's own machine and process."""
+    master = spark.sparkContext.master
+    return master.startswith("local") and not master.startswith("local-cluster")
+
+
+def reachable(spark: SparkSession) -> None:
+    """Let the Python workers of a local session import this package.
+
+    A cluster gets it as the rest of the job's code, by ``--py-files`` or an installed
+    package; a local session only has the driver's own path, which workers don't inherit.
+    """
+    if is_local(spark):
+        spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[1]))
 
 
 def shuffle_width(spark: SparkSession) -> int:
