@@ -8,14 +8,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import scratch_path
+from ..session import reachable, scratch_path  # noqa: F401
 
 SLICE_BYTES = 2 << 20
 U = np.uint64
@@ -267,14 +266,3 @@ class Scratch:
 def parts_for(rows: int, rows_per_part: int) -> int:
     """How many parts of bounded size so many rows need; it grows with the rows."""
     return max(1, math.ceil(rows / rows_per_part))
-
-
-def reachable(spark: SparkSession) -> None:
-    """Let the Python workers of a local session import this package.
-
-    A cluster gets it as the rest of the job's code, by ``--py-files`` or an installed
-    package; a local session only has the driver's own path, which workers don't inherit.
-    """
-    context = spark.sparkContext
-    if context.master.startswith("local"):
-        context.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
