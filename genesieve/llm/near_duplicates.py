@@ -25,8 +25,11 @@ Recall: with 72 bands of 8 rows a pair at similarity 0.8 shares no band with pro
 Edge cases: without words, or with a null text, the set is empty, the size 0 and the
 document its own component; with fewer words than a shingle has, the whole sequence is one
 shingle; rows with a null id are returned with a null component and kept; rows that share
-an id are judged each by its own text; repeated rows get equal results.  Only the named
-columns are read.
+an id are judged each by its own text, which a fingerprint names; repeated rows get equal
+results.  Only the named columns are read.
+
+Shingles are compared by strong 64-bit hashes: within a pair of documents of a thousand
+shingles two different ones agree with probability 1e-13.
 """
 
 from __future__ import annotations
@@ -109,10 +112,15 @@ def _signatures(sets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     return bands, sketch, print_
 
 
-def signatures(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    """``doc_id, n, p1, p2, bands, sketch``: set size, fingerprint, band keys, odd sketch."""
+def _source(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    schema = source.selectExpr("doc_id", "0L AS n", "0L AS p1", "0L AS p2", "array(0L) AS bands", "array(0L) AS sketch").schema
+    return source.select("doc_id", F.xxhash64("text").alias("print"), "text")
+
+
+def signatures(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
+    """``doc_id, print, n, p1, p2, bands, sketch``: the text's and the set's fingerprint, size, band keys, odd sketch."""
+    source = _source(docs, doc_id, text)
+    schema = source.selectExpr("doc_id", "print", "0L AS n", "0L AS p1", "0L AS p2", "array(0L) AS bands", "array(0L) AS sketch").schema
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -129,7 +137,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame
                 at = np.concatenate([[0], np.cumsum(np.where(size > 0, made.shape[1], 0))]).astype(np.int32)
                 lists.append(pa.ListArray.from_arrays(at, pa.array(made.ravel())))
             yield pa.RecordBatch.from_arrays(
-                [column(batch, "doc_id"), pa.array(size.astype(np.int64)), pa.array(prints[:, 0].view(np.int64).copy()
+                [column(batch, "doc_id"), column(batch, "print"), pa.array(size.astype(np.int64)), pa.array(prints[:, 0].view(np.int64).copy()
                  if len(size) else np.zeros(0, np.int64)),
                  pa.array(prints[:, 1].copy().view(np.int64)), *lists],
                 names=schema.names,
@@ -148,29 +156,32 @@ def estimate(a: Column, b: Column) -> Column:
     return 1 + BITS / (4.0 * SAMPLES) * F.log(F.greatest(1 - 2.0 * differing / BITS, F.lit(1e-9)))
 
 
-def _confirm(docs: DataFrame, pairs: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
+def _confirm(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full sets reach the threshold.
 
-    Texts of documents in a pair are found by a hash join that keeps the text side
+    Texts of nodes in a pair are found by a hash join that keeps the text side
     unsorted; only their sets go on.
     """
-    needed = written(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "nodes")
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    source = source.join(needed.hint("shuffle_hash"), source.doc_id == needed.node, "left_semi")
-    schema = source.selectExpr("doc_id", "0L AS print", "array(0L) AS shingles").schema
+    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    needed = asked.join(nodes.select("node", "doc", F.col("print").alias("of")), "node")
+    needed = written(needed, "needed")
+    source = _source(docs, doc_id, text)
+    source = source.join(needed.hint("shuffle_hash"), (source["doc_id"] == needed["doc"]) & (source["print"] == needed["of"]))
+    source = source.select("node", "text")
+    schema = source.selectExpr("node", "array(0L) AS shingles").schema
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets, bounds = shingle_sets(Texts(column(batch, "text")), width)
             yield pa.RecordBatch.from_arrays(
-                [column(batch, "doc_id"), pa.array(np.zeros(len(bounds) - 1, np.int64)),
-                 pa.ListArray.from_arrays(bounds.astype(np.int32), pa.array(sets.view(np.int64)))],
+                [column(batch, "node"), pa.ListArray.from_arrays(bounds.astype(np.int32), pa.array(sets.view(np.int64)))],
                 names=schema.names,
             )
 
-    sets = written(source.mapInArrow(collect, schema), "sets").select("doc_id", "shingles")
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
+    # rows repeated in full give one set
+    sets = written(source.mapInArrow(collect, schema).dropDuplicates(["node"]), "sets")
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - common
     return pairs.join(left, "a").join(right, "b").where(100 * common >= percent * union).select("a", "b")
@@ -313,12 +324,25 @@ def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``."""
+    return judge(docs, doc_id, text, width, percent).drop("print")
+
+
+def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The same with ``print``, the fingerprint of the row's text, for rows that share an id."""
     signed = written(signatures(docs, doc_id, text, width), "signed")
     full = signed.where("n > 0 AND doc_id IS NOT NULL")
     equal = ["n", "p1", "p2"]
-    classes = full.groupBy(*equal).agg(F.min("doc_id").cast("long").alias("node"))
-    nodes = full.join(classes, equal).where("doc_id = node").dropDuplicates(equal).select("node", "n", "sketch", "bands")
-    nodes = written(nodes, "nodes")
+    # a node is a different set; its number is the least id that has it, or where that id has
+    # several sets, a number of its own for all but one
+    classes = full.groupBy(*equal).agg(F.min(F.struct(F.col("doc_id").cast("long").alias("doc"), "print")).alias("first"))
+    classes = classes.select(*equal, "first.*")
+    turn = F.row_number().over(Window.partitionBy("doc").orderBy("print"))
+    own = F.when(turn == 1, F.col("doc")).otherwise(-1 - F.abs(F.shiftright(F.xxhash64(*equal, "doc", "print"), 1)))
+    classes = written(classes.withColumn("node", own), "classes")
+    firsts = classes.select(*[F.col(c).alias(f"of_{c}") for c in equal], "doc", F.col("print").alias("of_print"), "node")
+    same = [F.col(c) == F.col(f"of_{c}") for c in equal]
+    nodes = full.join(firsts, [*same, F.col("doc_id") == F.col("doc"), F.col("print") == F.col("of_print")])
+    nodes = written(nodes.select("node", "doc", "print", "n", "sketch", "bands").dropDuplicates(["node"]), "nodes")
 
     keyed = nodes.select(F.explode("bands").alias("key"), "node")
     buckets = keyed.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("members")).where("members > 1")
@@ -329,18 +353,21 @@ def near_duplicates(
     nearest = Window.partitionBy("node").orderBy(F.desc("bands"), "lead")
     stars = shared.withColumn("turn", F.row_number().over(nearest)).where(F.col("turn") <= LEADS)
     stars = stars.select(F.col("lead").alias("a"), F.col("node").alias("b"))
-    links = written(_confirm(docs, written(_plausible(stars, nodes, percent), "pairs"), doc_id, text, width, percent), "links")
+    pairs = written(_plausible(stars, nodes, percent), "pairs")
+    links = written(_confirm(docs, nodes, pairs, doc_id, text, width, percent), "links")
     found = written(components(links), "components")
 
     more = written(_across(_divided(members, found, nodes, percent), percent), "pairs")
     if more.limit(1).count():
-        links = written(links.unionByName(_confirm(docs, more, doc_id, text, width, percent)), "links")
+        links = written(links.unionByName(_confirm(docs, nodes, more, doc_id, text, width, percent)), "links")
         found = written(components(links), "components")
 
-    of_class = classes.join(found, "node", "left").select(*equal, F.coalesce("component", "node").alias("component"))
-    out = signed.select("doc_id", *equal).join(of_class, equal, "left")
-    alone = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component"))
+    placed = classes.join(found, "node", "left").select(*equal, "doc", F.coalesce("component", "node").alias("component"))
+    least = placed.groupBy("component").agg(F.min("doc").alias("least"))
+    of_class = placed.join(least, "component").select(*equal, "least")
+    out = signed.select("doc_id", "print", *equal).join(of_class, equal, "left")
+    alone = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("least"))
     return out.select(
         "doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"),
-        F.coalesce(F.col("doc_id") == alone, F.lit(True)).alias("kept"),
+        F.coalesce(F.col("doc_id") == alone, F.lit(True)).alias("kept"), "print",
     )
