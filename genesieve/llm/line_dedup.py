@@ -206,18 +206,44 @@ _SCHEMA = pa.schema([
 
 
 def without_lines(docs: DataFrame, gone: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the named lines taken out of their texts; the same columns."""
-    lists = gone.groupBy(F.col("doc_id").alias("__doc"), F.col("print").alias("__print")).agg(
-        F.collect_list("line").alias("__gone")
+    """``docs`` with the named lines taken out of their texts; the same columns.
+
+    The row goes along as one struct, so no column of it can clash.
+    """
+    lists = gone.groupBy(F.col("doc_id").alias("doc"), F.col("print").alias("of")).agg(F.collect_list("line").alias("gone"))
+    whole = F.col(text).cast("string")
+    rows = docs.select(
+        F.col(doc_id).cast("long").alias("id"), F.xxhash64(whole).alias("print"), whole.alias("text"),
+        F.struct(*[F.col(c) for c in docs.columns if c != text]).alias("row"),
     )
-    same = (docs[doc_id] == lists["__doc"]) & (F.xxhash64(docs[text].cast("string")) == lists["__print"])
-    joined = docs.join(lists.hint("shuffle_hash"), same, "left")
-    kept = F.array_join(F.filter(
-        F.split(F.col(text), "\n", -1), lambda line, i: ~F.array_contains("__gone", i.cast("int"))
-    ), "\n")
-    return joined.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(kept)).select(*docs.columns)
+    joined = rows.join(lists.hint("shuffle_hash"), (F.col("id") == F.col("doc")) & (F.col("print") == F.col("of")), "left")
+    # numbers of the lines that stay, by a hashed difference; then the lines, split once
+    lines = F.split("text", "\n", -1)
+    parts = F.struct(lines.alias("lines"), F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone").alias("stay"))
+    left = F.transform(F.array(parts), lambda p: F.array_join(F.transform(p["stay"], lambda i: F.get(p["lines"], i)), "\n"))[0]
+    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)
+    return joined.select(*[kept.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` without redundant lines."""
     return without_lines(docs, written(removed_lines(docs, doc_id, text, min_chars), "gone"), doc_id, text)
+
+
+# The digest of every document, for ids that are not shared.  Lines meet where one is the other
+# without a character, or where both are alike without the character at one place.
+SQL = f"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(range(0, len(ls))) AS i, unnest(ls) AS line FROM d WHERE text IS NOT NULL),
+long AS (SELECT *, doc_id * 10000000 + i AS spot FROM l WHERE length(line) >= {MIN_CHARS}),
+firsts AS (SELECT line, min(spot) AS lead FROM long GROUP BY line),
+keys AS (
+  SELECT line, lead, 0 AS place, line AS key FROM firsts
+  UNION ALL SELECT line, lead, k, substr(line, 1, k - 1) || substr(line, k + 1) FROM (SELECT *, unnest(range(1, length(line) + 1)) AS k FROM firsts)),
+near AS (SELECT DISTINCT a.line FROM keys a JOIN keys b USING (key) WHERE b.lead < a.lead AND (a.place = b.place OR a.place = 0 OR b.place = 0)),
+gone AS (SELECT doc_id, i FROM long JOIN firsts USING (line) WHERE spot > lead OR line IN (SELECT line FROM near)),
+kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM l ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ls) AS INT) AS n_lines, CASE WHEN d.text IS NOT NULL THEN length(coalesce(kept.text, '')) END AS n_kept,
+  CASE WHEN d.text IS NOT NULL THEN md5(coalesce(kept.text, '')) END AS kept_md5
+FROM d LEFT JOIN kept USING (doc_id)
+"""
