@@ -18,6 +18,7 @@ No rows in, no rows out.  Only the named columns are read.
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +29,7 @@ WEIGHTS = (3, 1, 2)  # of the sources in code point order, repeating
 SHARE = 1.5  # of all sizes, taken together
 MOST = 2  # times its size a source may give
 RANGE_ROWS = 50_000
+RANGES = 5_000  # at most, so that the quantiles stay a small sketch
 
 
 def quality_weight(size: Column, characters: Column) -> Column:
@@ -42,14 +44,15 @@ def uniform(doc_id: Column) -> Column:
 
 
 def measure(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """``doc_id, source, size, key``: sizes in words and the exponential keys."""
+    """``doc_id, print, source, size, key``: fingerprint of the text, size in words and exponential key."""
     base = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
         F.coalesce(F.length(text), F.lit(0)).cast("bigint").alias("characters"),
+        F.xxhash64(F.col(text).cast("string")).alias("print"),
     )
     return base.select(
-        "doc_id", "source", "size",
+        "doc_id", "print", "source", "size",
         (-F.log(uniform(F.col("doc_id"))) / quality_weight(F.col("size"), F.col("characters"))).alias("key"),
     )
 
@@ -80,11 +83,14 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 def mix(sizes: DataFrame, goals: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """``sizes`` with ``source_size``, ``target`` and ``taken``; both tables are written ones."""
-    largest = goals.agg(F.max("documents")).first()[0] or 0
-    ranges = parts_for(largest, range_rows)
-    split = sizes.withColumn(
-        "range", F.least(F.lit(ranges - 1), F.floor(ranges * (1 - F.exp(-F.col("key"))))).cast("int")
-    )
+    ranges = min(parts_for(sizes.count(), range_rows), RANGES)
+    cuts = [i / ranges for i in range(1, ranges)]
+    bounds = sorted(set(sizes.approxQuantile("key", cuts, 0.2 / ranges))) if cuts else []
+    if bounds:
+        binner = Bucketizer(splits=[float("-inf"), *bounds, float("inf")], inputCol="key", outputCol="range", handleInvalid="keep")
+        split = binner.transform(sizes)
+    else:
+        split = sizes.withColumn("range", F.lit(0.0))
     carried = split.groupBy("source", "range").agg(F.sum("size").alias("total"))
     earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     carried = carried.select("source", "range", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("carry"))
@@ -100,7 +106,7 @@ def mix(sizes: DataFrame, goals: DataFrame, range_rows: int = RANGE_ROWS) -> Dat
     rest = F.col("target") - epochs * F.col("source_size")
     ahead = F.col("carry") + F.col("upto") - F.col("size")
     taken = F.col("size") * (epochs + F.when(ahead + F.col("size") / 2 <= rest, 1).otherwise(0))
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("bigint").alias("taken"))
+    return rows.select("doc_id", "print", "source", "size", "source_size", "target", taken.cast("bigint").alias("taken"))
 
 
 def mix_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
