@@ -4,7 +4,8 @@ Each revisit meets the latest full response of its canonical URL that was captur
 earlier, checks that its validators still name that response, and yields the response's
 headers with those a not-modified answer may replace.
 
-The as-of join cuts each URL's captures into time buckets.  Inside a bucket a window finds
+The as-of join cuts each URL's captures into time buckets, whose bounds are quantiles of the
+captures' times.  Inside a bucket a window finds
 the latest full response; where the bucket has none yet, it is carried from the last
 bucket that had one, over a table with one row per URL and bucket.  So a URL with a third
 of all captures is spread over as many tasks as it has buckets.
@@ -18,12 +19,14 @@ named columns are read; the URL is cleaned, never shortened.
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import parts_for, written
 
 BUCKET_ROWS = 50_000
+BUCKETS = 5_000  # at most, so that the quantiles stay a small sketch
 # Headers that describe the stored body, which a not-modified answer may not replace.
 KEPT = ("content-encoding", "content-length", "content-range", "content-type", "transfer-encoding")
 
@@ -55,13 +58,22 @@ def resolve(captures: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
         F.struct(F.col("record_id").alias("id"), tag.alias("etag"), "last_modified", "headers").alias("own"),
     )
     rows = written(rows, "captures")
-    size = rows.agg(F.count("*"), F.min("captured"), F.max("captured")).first()
-    width = max(1, ((size[2] or 0) - (size[1] or 0) + 1) // parts_for(size[0], bucket_rows) + 1)
-    rows = rows.withColumn("bucket", F.floor(F.coalesce("captured", F.lit(size[1] or 0)) / width))
+    buckets = min(parts_for(rows.count(), bucket_rows), BUCKETS)
+    cuts = [i / buckets for i in range(1, buckets)]
+    timed = rows.withColumn("at", F.col("captured").cast("double"))
+    bounds = sorted(set(timed.approxQuantile("at", cuts, 0.2 / buckets))) if cuts else []
+    if bounds:
+        binner = Bucketizer(splits=[float("-inf"), *bounds, float("inf")], inputCol="at", outputCol="place", handleInvalid="keep")
+        timed = binner.transform(timed.withColumn("at", F.coalesce("at", F.lit(float("-inf")))))
+    else:
+        timed = timed.withColumn("place", F.lit(0.0))
+    rows = timed.select(*rows.columns, F.col("place").cast("int").alias("bucket"))
     full = F.when(F.col("full"), F.col("own"))
     earlier = Window.partitionBy("url", "bucket").orderBy(F.col("captured").asc_nulls_first(), F.col("record_id").asc_nulls_first(), "full")
-    inside = rows.withColumn("near", F.last(full, ignorenulls=True).over(earlier.rowsBetween(Window.unboundedPreceding, -1)))
-    asked = inside.where("NOT full")
+    inside = rows.where("url IS NOT NULL").withColumn("near", F.last(full, ignorenulls=True).over(earlier.rowsBetween(Window.unboundedPreceding, -1)))
+    # rows without a URL meet no other, so they stay out of the window
+    nowhere = rows.where("url IS NULL AND NOT full").withColumn("near", F.lit(None).cast(rows.schema["own"].dataType))
+    asked = inside.where("NOT full").unionByName(nowhere)
 
     last = F.max_by("own", F.when(F.col("full"), F.struct("captured", "record_id")))
     ends = rows.where("url IS NOT NULL").groupBy("url", "bucket").agg(last.alias("last"))
