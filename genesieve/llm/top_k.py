@@ -15,7 +15,7 @@ pair of blocks is its own row group, so neither side is ever whole in one task.
 Edge cases: null vectors and those with a null or non-finite component take no part;
 empty vectors and vectors shorter than the longest count as padded with zeros; ties go to
 the smaller id; rows without an id take no part; repeated ids are separate candidates, but
-a row is never a candidate of its own id, and a repeated query id asks once, with its
+a product beyond 64 bits is an error, never rounded; a row is never a candidate of its own id, and a repeated query id asks once, with its
 greatest vector; with fewer candidates than k, all are returned; no rows in, no rows out.
 Only the named columns are read.
 """
@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +37,7 @@ SCALE = 256
 QUERY_EVERY = 50
 BLOCK = 4096  # vectors in a block of candidates
 QUERIES = 1024  # vectors in a block of queries
+BANDS = 1000  # bounds of norms, at most
 LEADING = 16  # rotated components in the partial sum
 
 
@@ -53,10 +55,12 @@ def integers(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embed
 
 
 def matrix(column: pd.Series, width: int) -> np.ndarray:
-    """Rows padded with zeros to ``width``; products up to 2**53 stay exact."""
-    out = np.zeros((len(column), width))
-    for i, row in enumerate(column):
-        out[i, : len(row)] = row
+    """Whole numbers, rows padded with zeros to ``width``."""
+    out = np.zeros((len(column), width), dtype=np.int64)
+    if len(column):
+        rows = column.to_numpy()
+        sizes = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
+        out[np.arange(width) < sizes[:, None]] = np.concatenate(rows)
     return out
 
 
@@ -70,7 +74,7 @@ def directions(rows: DataFrame, width: int) -> np.ndarray:
     def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((width, width))
         for batch in batches:
-            m = matrix(batch["v"], width)
+            m = matrix(batch["v"], width).astype(float)
             total += m.T @ m
         i, j = np.indices((width, width))
         yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "s": total.ravel()})
@@ -83,16 +87,20 @@ def directions(rows: DataFrame, width: int) -> np.ndarray:
     return vectors[:, np.argsort(-values)]
 
 
+NONE = np.iinfo(np.int64).min  # where there is no score yet
+
+
 class Best:
     """The k best scores of each query so far, ties to the smaller id."""
 
     def __init__(self, n: int, k: int):
-        self.score = np.full((n, k), -np.inf)
+        self.score = np.full((n, k), NONE)
         self.id = np.full((n, k), np.iinfo(np.int64).max)
         self.k = k
 
     def floor(self) -> np.ndarray:
-        return self.score[:, -1]
+        last = self.score[:, -1]
+        return np.where(last == NONE, -np.inf, last.astype(float))
 
     def add(self, query: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
         """Scores of pairs (query, id), merged into what is held."""
@@ -100,25 +108,39 @@ class Best:
         q = np.concatenate([held_query, query])
         i = np.concatenate([self.id.ravel(), ids])
         s = np.concatenate([self.score.ravel(), scores])
-        order = np.lexsort((i, -s, q))
+        order = np.lexsort((i, ~s, q))  # ~s falls as s rises, and never overflows
         q, i, s = q[order], i[order], s[order]
         rank = np.arange(len(q)) - np.searchsorted(q, np.arange(len(self.score)))[q]
         top = rank < self.k
         self.id, self.score = i[top].reshape(-1, self.k), s[top].reshape(-1, self.k)
 
 
+def products(a: np.ndarray, b: np.ndarray, about: np.ndarray) -> np.ndarray:
+    """Inner products of rows of whole numbers.
+
+    64-bit arithmetic wraps round, so a product that fits is exact whatever its parts are;
+    ``about``, the bound of each, tells the ones that do not, and they are an error.
+    """
+    if (np.abs(about) >= 2.0**62).any():
+        exact = [sum(int(x) * int(y) for x, y in zip(p, q, strict=True)) for p, q in zip(a, b, strict=True)]
+        if any(not -(2**63) < e < 2**63 for e in exact):
+            raise OverflowError("an inner product does not fit 64 bits")
+    return np.einsum("ij,ij->i", a, b)
+
+
 def search(
     queries: np.ndarray, query_ids: np.ndarray, floors: np.ndarray, candidates: np.ndarray, ids: np.ndarray,
     axes: np.ndarray, k: int = K, leading: int = LEADING, chunk: int = 512,
 ) -> Best:
     """Best k of one block of candidates for one block of queries, above the given floors."""
     best = Best(len(queries), k)
-    norm = np.sqrt((candidates**2).sum(axis=1))
+    fq, fc = queries.astype(float), candidates.astype(float)
+    norm = np.sqrt((fc**2).sum(axis=1))
     order = np.lexsort((ids, -norm))
-    candidates, ids, norm = candidates[order], ids[order], norm[order]
+    candidates, fc, ids, norm = candidates[order], fc[order], ids[order], norm[order]
     lead = min(leading, axes.shape[1])
-    rq, rc = queries @ axes[:, :lead], candidates @ axes[:, :lead]
-    qnorm = np.sqrt((queries**2).sum(axis=1))
+    rq, rc = fq @ axes[:, :lead], fc @ axes[:, :lead]
+    qnorm = np.sqrt((fq**2).sum(axis=1))
     rest = lambda full, part: np.sqrt(np.maximum(full**2 - (part**2).sum(axis=1), 0))
     qrest, crest = rest(qnorm, rq), rest(norm, rc)
     slack = 1e-6  # relative; the rotation is in floating point, the scores are not
@@ -135,11 +157,23 @@ def search(
         other = query_ids[hit] != ids[a + at]
         hit, at = hit[other], at[other]
         if len(hit):
-            score = np.einsum("ij,ij->i", queries[hit], candidates[a + at])
-            best.add(hit, ids[a + at], score)
+            about = qnorm[hit] * norm[a + at]
+            best.add(hit, ids[a + at], products(queries[hit], candidates[a + at], about))
     return best
 
 
+def _banded(df: DataFrame, value: str, bounds: list[float], least: bool = False) -> DataFrame:
+    """``df`` with ``band``: how many bounds lie below the value, or with ``least`` not above it."""
+    if not bounds:
+        return df.withColumn("band", F.lit(0))
+    found = Bucketizer(splits=[float("-inf"), *bounds, float("inf")], inputCol=value, outputCol="band").transform(df)
+    at = F.col("band").cast("int")
+    if not least:  # a value that is a bound belongs below it
+        edge = F.get(F.lit(bounds).cast("array<double>"), at - 1)
+        at = at - F.when(F.col(value) == edge, 1).otherwise(0)
+    return found.withColumn("band", at)
+
+
 def top_k(
     vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", k: int = K,
     every: int = QUERY_EVERY, block: int = BLOCK, queries: int = QUERIES,
@@ -154,13 +188,15 @@ def top_k(
     axes = directions(rows, width)
 
     # Blocks of candidates by falling norm, of queries by id.  The bounds are quantiles, so
-    # equal norms are dealt by a hash of the id to keep a common vector from one block.
-    blocks = parts_for(total, block)
+    # equal norms are dealt by a hash of the id to keep a common vector from one block.  There
+    # are at most BANDS of them, each cut by a hash into as many blocks as keep a block small.
+    blocks = min(parts_for(total, block), BANDS)
+    salts = parts_for(total, block * blocks)
     keyed = rows.withColumn("place", -F.col("norm") + F.lit(1e-9) * F.expr("pmod(xxhash64(vec_id), 1000003)") / 1000003)
     bounds = sorted(set(keyed.approxQuantile("place", [i / blocks for i in range(1, blocks)], 0.2 / blocks))) if blocks > 1 else []
     asking_blocks = parts_for(asking, queries)
-    number = F.lit(0) if not bounds else F.size(F.filter(F.lit(bounds).cast("array<double>"), lambda b: b < F.col("place")))
-    dealt = keyed.select("vec_id", "v", "norm", number.cast("int").alias("block"))
+    salt = F.expr(f"pmod(xxhash64(vec_id, 'salt'), {salts})")
+    dealt = _banded(keyed, "place", bounds).select("vec_id", "v", "norm", (F.col("band") * salts + salt).cast("int").alias("block"))
     asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.max("v").alias("v"), F.max_by("norm", "v").alias("norm"))
     asked = asked.select(
         "vec_id", "v", "norm", F.expr(f"pmod(xxhash64(vec_id), {asking_blocks})").cast("int").alias("asked")
@@ -172,10 +208,10 @@ def top_k(
         q, ids = matrix(left["v"], width), left["vec_id"].to_numpy()
         floors = left["floor"].to_numpy(dtype=float)
         best = search(q, ids, floors, matrix(right["w"], width), right["id"].to_numpy(), axes, limit)
-        row, column = np.nonzero(np.isfinite(best.score))
+        row, column = np.nonzero(best.score != NONE)
         return pd.DataFrame({
             "asked": left["asked"].to_numpy()[row], "query_id": ids[row], "vec_id": best.id[row, column],
-            "score": best.score[row, column].astype(np.int64), "norm": left["norm"].to_numpy()[row],
+            "score": best.score[row, column], "norm": left["norm"].to_numpy()[row],
         })
 
     def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -197,8 +233,11 @@ def top_k(
     # What a block of queries still needs: its least ratio of floor and norm.  Blocks get
     # shorter, so each block of queries meets a leading run of them.
     need = F.min(F.when(F.col("norm") > 0, F.col("floor") / F.col("norm")).otherwise(F.lit(float("-inf"))))
-    reached = F.size(F.filter(F.lit(bounds).cast("array<double>"), lambda b: -b * (1 + 1e-6) + 1e-6 >= F.col("need"))) if bounds else F.lit(0)
-    plan = asked.groupBy("asked").agg(need.alias("need")).withColumn("last", reached).where("last > 0")
+    plan = asked.groupBy("asked").agg(need.alias("need"))
+    # the last band whose longest vector can still matter
+    plan = _banded(plan.withColumn("place", F.when(F.col("need") <= 0, F.lit(float("inf"))).otherwise((1e-6 - F.col("need")) / (1 + 1e-6))), "place", bounds, least=True)
+    last = ((F.col("band") + 1) * salts - 1).cast("int")
+    plan = plan.withColumn("last", last).where("last > 0")
     plan = written(plan.select("asked", F.explode(F.sequence(F.lit(1), "last")).alias("block")), "plan")
     later = pairs(asked.join(plan, "asked"), dealt.join(plan, "block"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
