@@ -36,9 +36,11 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{%d,}" % WINDOW
 # Character classes and the bits per character that a window of each must reach.
 CLASSES = (
     ("0123456789abcdef", 3.2),
+    ("0123456789ABCDEF", 3.2),
     ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.85),
 )
-ALLOW = r"(?i)example|sample|dummy|placeholder|changeme|0123456789|abcdefghij|^/|//"
+# Words that mark a made-up value, plain sequences, and two path steps of small letters in a row.
+ALLOW = r"(?i:example|sample|dummy|placeholder|changeme|0123456789|abcdefghij)|(?:/[a-z_-]{3,}){2}"
 BLOCK = 256
 
 
@@ -203,3 +205,28 @@ def digest(found: DataFrame) -> DataFrame:
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"),
     )
+
+
+def _sql() -> str:
+    """Counts and digest of the base spans, from the lengths of matches and of the gaps between them."""
+    quoted = [p.replace("'", "''") for p in (ASSIGN, ACCESS, HEX)]
+    parts = " UNION ALL ".join(
+        f"""SELECT row, {kind} AS kind, {least} AS least, regexp_extract_all(text, '{pattern}') AS m,
+          regexp_extract_all(text, '{pattern}', {group}) AS v, string_split_regex(text, '{pattern}') AS g FROM d"""
+        for kind, (pattern, least, group) in enumerate(zip(quoted, (ASSIGN_CHARS, ACCESS_CHARS, HEX_CHARS), (2, 0, 0), strict=True))
+    )
+    names = " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(KINDS))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({parts}),
+each AS (SELECT row, kind, least, i, length(m[i]) AS n, length(v[i]) AS value, length(g[i]) AS gap FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM found)),
+placed AS (SELECT *, sum(n + gap) OVER (PARTITION BY row, kind ORDER BY i) AS upto FROM each),
+spans AS (SELECT row, kind, CAST(upto - n AS BIGINT) AS a, CAST(upto AS BIGINT) AS b FROM placed WHERE value >= least),
+listed AS (SELECT row, string_agg(CASE kind {names} END || ':' || a || ':' || b, ',' ORDER BY a, kind) AS spans,
+  {", ".join(f"count(*) FILTER (kind = {i}) AS n{i}" for i in range(3))} FROM spans GROUP BY row)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256
+FROM d LEFT JOIN listed USING (row)
+"""
+
+
+SQL = _sql()
