@@ -5,10 +5,12 @@ weights.  A text's margin is the sum over tables of the mean weight of its n-gra
 logistic curve fitted on rows kept out of the training turns it into a probability.
 
 The regression is fitted on at most ``SAMPLE`` labelled rows, those with the least hash
-of their id: a bounded sample, documented here.  Every text is counted and scored whole.
+of their id, and of these on as many as have ``ENTRIES`` different n-grams in all: a sample
+bounded in rows and in bytes.  Every text is counted and scored whole.
 
 Edge cases: a null or empty text has no words, so all counts are 0 and the base rule
-fails it; labels with a null id or class, or seen with both classes, teach nothing.
+fails it; labels with a null id or class, or seen with both classes, teach nothing; of rows
+that share a labelled id the text with the least hash teaches.
 Without both classes in the sample the base rule decides alone.  Repeated rows are
 judged one by one.  No rows in, no rows out.  Only the named columns are read.
 """
@@ -20,15 +22,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Texts, U, column, mix, per_text, slices
+from .common import Texts, U, column, mix, per_text, slices, written
 from .quality_discriminant import clean_labels
 from .text_statistics import Words, symbols
 
 BITS = 16
-SAMPLE = 2000
+SAMPLE = 3000
+ENTRIES = 24_000_000  # eight bytes each
 ROUNDS = 80
 CHUNK = 1 << 19  # n-grams of the sample that one step of the training touches
 MIN_WORDS = 50
@@ -76,9 +80,9 @@ def sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, limit: in
     chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     # at most `limit` ids and classes: a proven bound for the broadcast
-    rows = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").dropDuplicates(["doc_id"])
+    rows = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", F.xxhash64("text").alias("print"), "text")
 
-    schema = rows.selectExpr("doc_id", "label", "array(0) AS slot", "array(float(0)) AS share").schema
+    schema = rows.selectExpr("doc_id", "label", "print", "array(0) AS slot", "array(float(0)) AS share").schema
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -95,7 +99,7 @@ def sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, limit: in
             at = np.concatenate([[0], np.cumsum(per_text(owner, texts.n))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    column(batch, "doc_id"), column(batch, "label"),
+                    column(batch, "doc_id"), column(batch, "label"), column(batch, "print"),
                     pa.ListArray.from_arrays(at, pa.array(np.concatenate(slot)[order].astype(np.int32))),
                     pa.ListArray.from_arrays(at, pa.array(np.concatenate(share)[order].astype(np.float32))),
                 ],
@@ -159,14 +163,22 @@ def train(rows: Sample, rounds: int = ROUNDS) -> NgramModel | None:
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
         label_id: str = "doc_id", label: str = "quality", limit: int = SAMPLE) -> NgramModel | None:
     """The model from the bounded sample, in order of ids, so that reruns agree."""
-    found = sample(docs, clean_labels(labels, label_id, label), doc_id, text, limit).orderBy("doc_id").toArrow()
-    found = found.combine_chunks()
-    if not found.num_rows:
+    rows = written(sample(docs, clean_labels(labels, label_id, label), doc_id, text, limit), "sample")
+    sizes = rows.select("doc_id", "print", F.size("slot").alias("n"), F.xxhash64("doc_id").alias("turn")).distinct()
+    kept: dict[int, int] = {}
+    total = 0
+    for r in sorted(sizes.collect(), key=lambda r: (r["turn"], r["doc_id"], r["print"])):  # at most `limit` ids
+        if r["doc_id"] not in kept and total + r["n"] <= ENTRIES:
+            kept[r["doc_id"]] = r["print"]
+            total += r["n"]
+    if not kept:
         return None
-    slot, share = (found[c].chunk(0) for c in ("slot", "share"))
-    return train(Sample(
-        found["label"].to_numpy(), slot.offsets.to_numpy(), slot.flatten().to_numpy(), share.flatten().to_numpy()
-    ))
+    chosen = rows.sparkSession.createDataFrame(list(kept.items()), "doc_id long, print long")
+    found = rows.join(F.broadcast(chosen), ["doc_id", "print"]).dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
+    labels_, sizes_ = found["label"].to_numpy(), pc.list_value_length(found["slot"]).to_numpy()
+    slot, share = (pc.list_flatten(found[c]).to_numpy() for c in ("slot", "share"))
+    del found
+    return train(Sample(labels_, np.concatenate([[0], np.cumsum(sizes_)]), slot, share))
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -216,3 +228,21 @@ def rules(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
           label_id: str = "doc_id", label: str = "quality", limit: int = SAMPLE) -> DataFrame:
     """Fit on the bounded sample and judge every document."""
     return judge(docs, fit(docs, labels, doc_id, text, label_id, label, limit), doc_id, text)
+
+
+# The counts and the base rule; the regression's probability has no SQL.
+SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT row, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d),
+v AS (SELECT row, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT *, unnest(range(1, len(w) - 1)) AS i FROM w)),
+again AS (SELECT row, i, count(*) OVER (PARTITION BY row, a, b, c) AS n FROM v),
+covered AS (SELECT row, count(DISTINCT i + k) AS n FROM again, range(0, 3) r(k) WHERE n > 1 GROUP BY row),
+lines AS (SELECT row, unnest(string_split(text, chr(10))) AS line FROM d),
+dup AS (SELECT row, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY row),
+c AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words
+  FROM d JOIN w USING (row) LEFT JOIN dup USING (row) LEFT JOIN covered USING (row))
+SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words AS base_failed FROM c
+"""
