@@ -81,12 +81,26 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
 
 
+def quality_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and the base rule of op7, which SQL can check."""
+    judged = quality_rules.judge(_table(spark, sf_dir, "documents"), None)
+    return judged.select("doc_id", *quality_rules.COUNTS, "base_failed")
+
+
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base spans of op6, which SQL can check."""
+    return secret_scan.digest(secret_scan.scan(_table(spark, sf_dir, "documents"))).drop("spans")
+
+
 QUERIES: tuple[Run, ...] = (
     op1_quality_discriminant, op2_revisits, op3_repeated_bytes, op4_best_fit_packing, op5_near_duplicates, op6_secret_scan,
     op7_quality_rules, op8_source_mixing, op9_top_k, op10_line_dedup,
-    op11_source_divergence, op12_piece_ids, op13_spelling_variants,
+    op11_source_divergence, op12_piece_ids, op13_spelling_variants, quality_rule_counts, secret_base_spans,
 )
-SQL: dict[str, str] = {"op2_revisits": revisits.SQL, "op8_source_mixing": mixing.SQL, "op9_top_k": top_k.SQL, "op11_source_divergence": source_divergence.SQL}
+SQL: dict[str, str] = {
+    "op2_revisits": revisits.SQL, "op8_source_mixing": mixing.SQL, "op9_top_k": top_k.SQL, "op10_line_dedup": line_dedup.SQL,
+    "op11_source_divergence": source_divergence.SQL, "quality_rule_counts": quality_rules.SQL, "secret_base_spans": secret_scan.SQL,
+}
 
 
 def queries() -> dict[str, Run]:

@@ -377,3 +377,98 @@ def test_empty_captures_and_vectors(spark):
     none = spark.createDataFrame([], "record_id long, url string, captured long, status int, etag string, last_modified string, headers map<string,string>")
     assert revisits.resolve(none).collect() == []
     assert top_k.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
+
+
+def test_products_beyond_doubles_are_exact(spark):
+    rnd = random.Random(12)
+    vectors = [[rnd.uniform(-1, 1) * 10**6 + k for k in range(8)] for _ in range(60)]
+    whole = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    exact = {i: [math.floor(256 * x) for x in v] for i, v in enumerate(vectors)}
+    assert max(sum(a * a for a in v) for v in exact.values()) > 2**57
+    for block in (4096, 7):
+        for r in top_k.top_k(whole, every=20, block=block).collect():
+            best = sorted((-sum(a * b for a, b in zip(exact[r.query_id], v)), i) for i, v in exact.items() if i != r.query_id)
+            assert (-r.score, r.vec_id) == best[r["rank"] - 1]
+
+
+@pytest.mark.parametrize("bands", [1000, 3])
+def test_top_k_in_salted_bands(spark, monkeypatch, bands):
+    monkeypatch.setattr(top_k, "BANDS", bands)
+    rnd = random.Random(9)
+    vectors = [[rnd.gauss(0, 1) * (1 + i % 7) for _ in range(5)] for i in range(400)]
+    whole = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>")
+    exact = {r.vec_id: [math.floor(256 * x) for x in r.embedding] for r in whole.collect()}
+    got = defaultdict(list)
+    for r in top_k.top_k(whole, every=40, block=20, queries=4).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.score, r.vec_id))
+    for q in range(0, 400, 40):
+        best = sorted((-sum(a * b for a, b in zip(exact[q], v)), i) for i, v in exact.items() if i != q)[:5]
+        assert got[q] == [(-s, i) for s, i in best]
+
+
+def test_ranges_follow_the_keys(spark):
+    docs = spark.createDataFrame([(i, "x" * 400, "hot") for i in range(4000)], "doc_id long, text string, source string")
+    sizes = mixing.measure(docs).cache()
+    plan = mixing.mix(sizes, mixing.targets(sizes), range_rows=50)
+    assert plan.count() == 4000
+    bounds = sizes.approxQuantile("key", [0.25, 0.75], 0.01)
+    assert bounds[1] > 10  # far beyond a range cut for unit rates
+    late = spark.createDataFrame(
+        [(i, "x.org", 10_000 + i, 200, "e", None, {}) for i in range(500)] + [(900, "x.org", 0, 200, "e", None, {}), (901, "x.org", 11_000, 304, "e", None, {}),
+         (902, None, 5, 304, "e", None, {}), (903, "x.org", None, 304, "e", None, {})],
+        "record_id long, url string, captured long, status int, etag string, last_modified string, headers map<string,string>")
+    got = {r.record_id: (r.original_id, r.outcome) for r in revisits.resolve(late, 50).collect()}
+    assert got == {901: (499, "resolved"), 902: (None, "no_original"), 903: (None, "no_original")}
+
+
+def test_keys_in_capitals_and_paths(spark):
+    rnd = random.Random(4)
+    keys = ["".join(rnd.choice("0123456789ABCDEF") for _ in range(64)) for _ in range(20)]
+    keys += ["".join(rnd.choice(string.ascii_letters + string.digits + "+/") for _ in range(60)) for _ in range(60)]
+    paths = ["/usr/local/share/doc/Xk9QzLmPwRtYvBnHjD7", "src/main/python/tools/aB3dE5fG7hI9kL1mN"]
+    docs = spark.createDataFrame(list(enumerate(keys + paths)), "doc_id long, text string")
+    spans = {r.doc_id: [s for s in r.found if s["kind"] == 3] for r in secret_scan.scan(docs).collect()}
+    assert all(spans[i] for i in range(80))
+    assert not spans[80] and not spans[81]
+
+
+def test_densities_equal_explicit_covariances(docs, labels):
+    import numpy as np
+    from genesieve.llm.text_statistics import FEATURES
+
+    measured = quality_discriminant.statistics(docs, "doc_id", "text").cache()
+    known = quality_discriminant.clean_labels(labels, "doc_id", "quality")
+    training = measured.where(~quality_discriminant.held_out("doc_id")).join(known, "doc_id").cache()
+    model = quality_discriminant.fit(training)
+    rows = training.collect()
+    x = {k: np.array([r.x for r in rows if r.label == k]) for k in (0, 1)}
+    d, total = len(FEATURES), len(rows)
+    scatter = {k: np.cov(x[k].T, bias=True) * len(x[k]) for k in x}
+    common = (scatter[0] + scatter[1]) / total
+    every = np.array([r.x for r in measured.collect()])
+    log = []
+    for k in (0, 1):
+        own = (1 - quality_discriminant.POOLED) * scatter[k] / len(x[k]) + quality_discriminant.POOLED * common
+        own = (1 - quality_discriminant.RIDGE) * own + quality_discriminant.RIDGE * max(np.trace(own) / d, 1e-9) * np.eye(d)
+        off = every - x[k].mean(axis=0)
+        log.append(-0.5 * np.linalg.slogdet(own)[1] - 0.5 * np.einsum("ij,jk,ik->i", off, np.linalg.inv(own), off))
+    margin = (log[1] - log[0]) / quality_discriminant.TEMPERATURE + np.log(len(x[1]) / len(x[0]))
+    assert np.allclose(model.score(every), 1 / (1 + np.exp(-np.clip(margin, -500, 500))), atol=1e-7)
+
+
+def test_probability_of_the_rules_is_the_calibrated_margin(docs, labels, rows):
+    import numpy as np
+
+    model = quality_rules.fit(docs, labels)
+    got = {r.doc_id: r.probability for r in quality_rules.judge(docs, model).collect()}
+    from genesieve.llm.common import Texts
+    from genesieve.llm.text_statistics import Words
+    import pyarrow as pa
+
+    for i, t in rows[:30]:
+        texts = Texts(pa.array([t]))
+        margin = model.intercept
+        for table, (slot, owner) in zip(model.weights, quality_rules.ngrams(texts, Words(texts))):
+            margin += sum(table[s] for s in slot.tolist()) / max(len(slot), 1)
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-max(-500, min(500, model.slope * margin + model.offset)))), abs=1e-9)
+    assert np.isfinite(model.weights).all()

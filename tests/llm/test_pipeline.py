@@ -50,3 +50,46 @@ def test_empty_input_passes_all_stages(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = written(stage(spark, docs, SF), name)
         assert docs.collect() == []
+
+
+def long_text(seed, words=120):
+    return " ".join(f"{w}" for w in ("the house", "a river", "of stone", "many trees", "and then", "we walked")) + " " + " ".join(
+        f"word{seed}x{k}" for k in range(words))
+
+
+def test_rows_that_share_an_id_lose_no_text(spark):
+    a, b = long_text(1), long_text(2)
+    rows = [(1, a), (2, a), (2, b), (3, b), (7, None), (None, a), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(1, a), (2, b), (7, None), (None, a), (None, a)])
+    # one id with two sets, the first of which has an earlier near copy: the other one stays
+    near = a.replace("word1x60", "other")
+    rows = [(1, near), (2, a), (2, b)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], docs.schema)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(1, near), (2, b)])
+
+
+def test_mix_repeats_each_text_as_taken(spark):
+    # five equal rows of an id beside others: the copies that the mix takes of them are shared out
+    rows = [(1, "a b c d"), (1, "a b c d"), (1, "a b c d"), (1, "other words of one"), (2, "e f"), (3, None)] + [(10 + k, "x y z " * 5) for k in range(9)]
+    docs = spark.createDataFrame([(i, t, "en", "s" if i < 5 else "t", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    from genesieve.llm import mixing
+
+    want = Counter()
+    for r in mixing.mix_documents(docs).collect():
+        if r["taken"]:
+            want[r.doc_id, r["print"]] += r.taken // r.size
+    out = corpus_pipeline.mix_sources(spark, docs, SF).withColumn("print", F.xxhash64("text"))
+    assert Counter((r.doc_id, r["print"]) for r in out.collect()) == want and sum(want.values()) > len(rows)
+
+
+def test_columns_of_any_name_pass(spark):
+    names = ("__gone", "__doc", "__print", "__copy", "__times", "__id", "row", "id", "print", "gone", "lines", "times", "total", "turn", "kept", "of")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = docs.withColumns({n: F.lit(n) for n in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs.columns, written(stage(spark, docs, SF), name)
+        assert docs.columns == before
+        assert docs.where(" OR ".join(f"`{n}` <> '{n}'" for n in names)).count() == 0 and docs.count()
