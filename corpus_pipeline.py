@@ -5,13 +5,14 @@ decisions leave them, with the columns of ``documents``; the last returns packed
 Between stages the documents are written as Parquet and read again.
 
 Rows with a null id pass the stages that compare documents and are otherwise treated like
-any other.  Rows that share an id stay or go together, and are repeated alike.  Empty
-tables pass all stages.  Extra columns go along untouched, whatever their names.
+any other.  Rows are told apart by their id and their text, so rows that share an id stay or go
+each by its own text; rows equal in both share what the mix takes of them.  Empty tables pass
+all stages.  Extra columns go along untouched, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from genesieve.llm import line_dedup, mixing, near_duplicates, packing, quality_rules
@@ -25,6 +26,14 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """Each row as one struct, so that no column of it can clash, beside its id and its text's fingerprint."""
+    return docs.select(
+        F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"),
+        F.xxhash64(F.col("text").cast("string")).alias("print"),
+    )
+
+
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the counts or the n-gram regression reject go."""
     reachable(spark)
@@ -42,22 +51,32 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, the one with the least id."""
     reachable(spark)
-    judged = near_duplicates.near_duplicates(docs, width=SHINGLE_WORDS, percent=SIMILARITY)
-    gone = written(judged.where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["__gone"], "left_anti")
+    judged = near_duplicates.judge(docs, width=SHINGLE_WORDS, percent=SIMILARITY)
+    gone = written(judged.where("NOT kept").select(F.col("doc_id").alias("gone"), "print").distinct(), "gone")
+    rows = _rows(docs)
+    same = (rows["id"] == gone["gone"]) & (rows["print"] == gone["print"])
+    return rows.join(gone.hint("shuffle_hash"), same, "left_anti").select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: not at all, once or twice."""
     reachable(spark)
-    mixed = mixing.mix_documents(docs)
-    times = mixed.where("taken > 0").groupBy(F.col("doc_id").alias("__id")).agg(
-        F.max(F.col("taken") / F.col("size")).cast("int").alias("__times")
+    mixed = written(mixing.mix_documents(docs), "mixed")
+    times = mixed.groupBy(F.col("doc_id").alias("of"), F.col("print").alias("of_print")).agg(
+        F.sum(F.coalesce(F.try_divide("taken", "size"), F.lit(0))).cast("int").alias("total"), F.count("*").cast("int").alias("rows")
+    )
+    times = written(times.where("total > 0"), "times")
+    rows = _rows(docs)
+    same = rows["id"].eqNullSafe(times["of"]) & (rows["print"] == times["of_print"])
+    rows = rows.join(times.hint("shuffle_hash"), same).select("row", "id", "print", "total", "rows")
+    even = rows.where("total % rows = 0").select("row", (F.col("total") / F.col("rows")).cast("int").alias("times"))
+    # rows equal in id and text between which the mix's edge falls: the first ones take one more
+    turn = F.row_number().over(Window.partitionBy("id", "print").orderBy(F.lit(0)))
+    uneven = rows.where("total % rows <> 0").withColumn("turn", turn).select(
+        "row", (F.floor(F.col("total") / F.col("rows")) + F.when(F.col("turn") <= F.col("total") % F.col("rows"), 1).otherwise(0)).cast("int").alias("times")
     )
-    times = written(times, "times")
-    joined = docs.join(times.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(times["__id"]))
-    copies = joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-    return copies.select(*[docs[c] for c in docs.columns])
+    taken = even.unionByName(uneven).where("times > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
