@@ -261,21 +261,28 @@ def feature_ratios(spark, sf_dir):
     return rounded(ratios.select("gene", *RATIO_COLUMNS), *RATIO_COLUMNS, digits=9)
 
 
-CENTRED = ["nonsense", "silent", "splice_site", "lost_start_and_stop", "missense", "missense_to_silent",
-           "non_silent_to_silent"]
+
+
+CENTRED = list(features.CENTRED_COLUMNS)
+_COHORT_TOTAL = " + ".join(features.COHORT_COLUMNS)
 
 
 @query(
     "cohort_center",
     f"""
-    WITH {RATIOS}, cohort AS (SELECT * FROM ratios WHERE CAST(substr(gene, 2) AS BIGINT) % 2 = 0)
-    SELECT gene, {", ".join(f"round({c} - (SELECT avg({c}) FROM cohort), 9) AS {c}" for c in CENTRED)} FROM ratios
+    WITH {RATIOS}, counts AS (SELECT *, {_COHORT_TOTAL} AS six FROM summary WHERE CAST(substr(gene, 2) AS BIGINT) % 2 = 0),
+    cohort AS (SELECT {", ".join(f"coalesce({c} / nullif(six, 0), 0) AS {c}" for c in ("nonsense", "silent", "splice_site", "missense"))},
+      coalesce(lost_stop / nullif(six, 0), 0) + coalesce(lost_start / nullif(six, 0), 0) AS lost_start_and_stop,
+      missense / (silent + 1) AS missense_to_silent FROM counts)
+    SELECT gene, {", ".join(f"round({c} - (SELECT avg({c}) FROM cohort), 9) AS {c}" for c in CENTRED[:-1])},
+      round({CENTRED[-1]} - (SELECT avg({CENTRED[-1]}) FROM ratios), 9) AS {CENTRED[-1]} FROM ratios
     """,
 )
 def cohort_center(spark, sf_dir):
-    ratios = settle(features.ratio_features(summary(spark, sf_dir)).select("gene", *CENTRED))
-    cohort = ratios.filter(F.substring("gene", 2, 20).cast("bigint") % 2 == 0)
-    return rounded(features.centre_on_cohort(ratios, cohort, CENTRED), *CENTRED, digits=9)
+    counts = settle(summary(spark, sf_dir))
+    ratios = settle(features.ratio_features(counts).select("gene", *CENTRED))
+    cohort = counts.filter(F.substring("gene", 2, 20).cast("bigint") % 2 == 0)
+    return rounded(features.centre_on_cohort(ratios, cohort), *CENTRED, digits=9)
 
 
 ROLLED = ["silent", "nonsense", "lost_stop_or_start", "missense", "recurrent_missense", "splice_site",
@@ -316,10 +323,8 @@ SELECT {GENE}, p_retailprice AS expression_ccle, CAST(p_size AS DOUBLE) AS repli
 NETWORK = """
 SELECT 'G' || CAST(l_partkey AS STRING) AS gene, CAST(sum(l_quantity) AS DOUBLE) / 1000 AS gene_betweeness,
   CAST(count(DISTINCT l_suppkey) AS DOUBLE) AS gene_degree
-FROM {lineitem} WHERE l_returnflag = 'R' AND l_quantity > 45 GROUP BY l_partkey
+FROM {lineitem} GROUP BY l_partkey
 """
-# Covariates lack entities; the permutation takes them all.
-WHOLE_NETWORK = NETWORK.replace("WHERE l_returnflag = 'R' AND l_quantity > 45 ", "")
 
 
 @query(

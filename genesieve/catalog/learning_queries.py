@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import evaluation, forest, graph, rules, sampling, significance
 from ..session import scratch_path, settle
 from .base import LABELS, bind, plain, query, rounded
-from .feature_queries import MATRIX_COLUMNS, SUMMARY, WHOLE_NETWORK, matrix, summary
+from .feature_queries import MATRIX, MATRIX_COLUMNS, NETWORK, SUMMARY, matrix, summary
+from .forest_sql import training, votes
 
 FOLD_SQL = f"""
   entity AS ({plain(LABELS)}),
@@ -45,7 +46,7 @@ def route_to_fold(spark, sf_dir):
 @query(
     "permute_columns",
     f"""
-    WITH x AS ({plain(WHOLE_NETWORK)}),
+    WITH x AS ({plain(NETWORK)}),
     target AS (SELECT gene, row_number() OVER (ORDER BY md5(gene), gene) AS i FROM x),
     donor AS (SELECT gene_betweeness, gene_degree, row_number() OVER (ORDER BY md5(gene || '|7'), gene) AS i FROM x)
     SELECT gene, gene_betweeness, gene_degree FROM target JOIN donor USING (i)
@@ -53,7 +54,7 @@ def route_to_fold(spark, sf_dir):
 )
 def permute_columns(spark, sf_dir):
     return sampling.permute_columns(
-        bind(spark, sf_dir, WHOLE_NETWORK), "gene", ["gene_betweeness", "gene_degree"], seed=7
+        bind(spark, sf_dir, NETWORK), "gene", ["gene_betweeness", "gene_degree"], seed=7
     )
 
 
@@ -91,10 +92,11 @@ def node_degree(spark, sf_dir):
     return graph.node_degree(graph.simple_edges(bind(spark, sf_dir, EDGES), "first", "second"))
 
 
-# Which brands, types and words of names occur together in parts: small by nature.
+# Parts hang from their brands; brands, types and words of names occur together.
 WORD_EDGES = """
-SELECT p_brand AS first, p_type AS second FROM {part}
-UNION ALL SELECT p_type, split_part(p_name, ' ', 1) FROM {part} WHERE p_size < 9
+SELECT 'P' || CAST(p_partkey AS STRING) AS first, p_brand AS second FROM {part}
+UNION ALL SELECT p_brand, p_type FROM {part}
+UNION ALL SELECT p_type, split_part(p_name, ' ', 1) FROM {part}
 UNION ALL SELECT split_part(p_name, ' ', 1), split_part(p_name, ' ', 2) FROM {part}
 UNION ALL SELECT p_brand, CAST(NULL AS STRING) FROM {part}
 """
@@ -129,6 +131,35 @@ def node_betweenness(spark, sf_dir):
     return rounded(graph.node_betweenness(edges), "betweenness", digits=9)
 
 
+# Orders hang from customers, customers and suppliers from nations, nations from regions.
+TREE_EDGES = """
+SELECT 'O' || CAST(o_orderkey AS STRING) AS first, 'C' || CAST(o_custkey AS STRING) AS second FROM {orders}
+UNION ALL SELECT 'C' || CAST(c_custkey AS STRING), 'N' || CAST(c_nationkey AS STRING) FROM {customer}
+UNION ALL SELECT 'S' || CAST(s_suppkey AS STRING), 'N' || CAST(s_nationkey AS STRING) FROM {supplier}
+UNION ALL SELECT 'N' || CAST(n_nationkey AS STRING), 'R' || CAST(n_regionkey AS STRING) FROM {nation}
+"""
+
+
+@query(
+    "node_betweenness_tree",
+    f"""
+    WITH RECURSIVE up AS (SELECT DISTINCT first AS node, second AS parent FROM ({plain(TREE_EDGES)}) e),
+    n AS (SELECT node FROM up UNION SELECT parent FROM up),
+    walk AS (SELECT node, node AS above FROM n UNION ALL SELECT w.node, u.parent FROM walk w JOIN up u ON u.node = w.above),
+    size AS (SELECT above AS node, count(*) AS s FROM walk GROUP BY above),
+    root AS (SELECT w.node, w.above AS top FROM walk w WHERE w.above NOT IN (SELECT node FROM up)),
+    below AS (SELECT u.parent AS node, sum(s * s) AS q FROM up u JOIN size USING (node) GROUP BY u.parent),
+    total AS (SELECT count(*) AS c FROM n)
+    SELECT node, round((2.0::DOUBLE * (z.s - 1) * (t.s - z.s) + (z.s - 1) * (z.s - 1) - coalesce(q, 0)) / (c - 1) / (c - 2), 12) AS betweenness
+    FROM size z JOIN root USING (node) JOIN size t ON t.node = top LEFT JOIN below USING (node), total
+    """,
+)
+def node_betweenness_tree(spark, sf_dir):
+    """All orders, customers, suppliers, nations and regions: a graph that grows with the tables."""
+    edges = graph.simple_edges(bind(spark, sf_dir, TREE_EDGES), "first", "second")
+    return rounded(graph.node_betweenness(edges), "betweenness", digits=12)
+
+
 _RULE_COUNTS = """
   SELECT gene, recurrent_missense AS recurrent, nonsense + lost_stop + lost_start + splice_site + frameshift_indel AS deleterious,
     silent + nonsense + lost_stop + lost_start + missense + splice_site + inframe_indel + frameshift_indel AS total FROM summary
@@ -219,16 +250,15 @@ def naive_bayes(spark, sf_dir):
     )
 
 
-# Forests: small ones, on the whole matrix.
-SETTINGS = forest.ForestSettings(trees=24, blocks=1, max_depth=10, max_bins=32, parallelism=8)
-GAP_SETTINGS = dataclasses.replace(SETTINGS, max_depth=3)
+# Forests with the settings of the operators, on the whole matrix.
+SETTINGS = forest.ForestSettings()
 FOLDS, REPEATS = 10, 5
 _trained_models: dict[tuple, tuple] = {}
 
 
 def _labelled(spark, sf_dir):
     labels = bind(spark, sf_dir, LABELS).select("gene", "label")
-    return settle(matrix(spark, sf_dir).join(labels, "gene"))
+    return settle(rounded(matrix(spark, sf_dir), *MATRIX_COLUMNS, digits=9).join(labels, "gene"))
 
 
 def _trained(spark, sf_dir, kind: str, train):
@@ -260,23 +290,56 @@ def _bank(spark, sf_dir):
     )
 
 
-@query("rf_train")
+_MATRIX_SQL = f"""
+  SELECT gene, label, {", ".join(f"round(coalesce({c}, (SELECT avg({c}) FROM joined)), 9) AS {c}" for c in MATRIX_COLUMNS)}
+  FROM joined JOIN ({plain(LABELS)}) l USING (gene)"""
+_ONE = f"WITH RECURSIVE {MATRIX}, {training(_MATRIX_SQL, MATRIX_COLUMNS, 'SELECT 0 AS iteration, 0 AS fold, gene, label FROM x', SETTINGS)}"
+_CALLS_SQL = """oncogene_score, tsg_score, 1 - (oncogene_score + tsg_score) AS other_score, 1 - (1 - (oncogene_score + tsg_score)) AS driver_score"""
+_MAJORITY_SQL = """CASE WHEN other_score >= oncogene_score AND other_score >= tsg_score THEN 0 WHEN oncogene_score >= tsg_score THEN 1 ELSE 2 END AS majority_class"""
+
+
+@query(
+    "rf_train",
+    f"""{_ONE} SELECT CAST(tree AS INT) AS tree, node, feature, round(threshold, 9) AS threshold, class, round(gain, 9) AS gain, draws FROM nodes""",
+)
 def rf_train(spark, sf_dir):
-    path, df = _forest(spark, sf_dir)
-    return forest.forest_importance([path], df, MATRIX_COLUMNS, SETTINGS)
+    """Every node of a forest of 200 trees."""
+    path, _ = _forest(spark, sf_dir)
+    nodes = forest.read_nodes(spark, path).select("tree", "node", "feature", "threshold", "class", "gain", "draws")
+    return rounded(nodes, "threshold", "gain", digits=9)
 
 
-@query("rf_score")
+@query(
+    "rf_score",
+    f"""{_ONE}, {votes("SELECT gene, 0 AS iteration, 0 AS fold, v FROM x")},
+    calls AS (SELECT gene, {_CALLS_SQL} FROM scored)
+    SELECT gene, label, oncogene_score, tsg_score, driver_score, {_MAJORITY_SQL} FROM calls JOIN x USING (gene)""",
+)
 def rf_score(spark, sf_dir):
     path, df = _forest(spark, sf_dir)
-    scored = forest.score_forest(df, MATRIX_COLUMNS, path, SETTINGS)
+    scored = forest.score_forest(df, MATRIX_COLUMNS, path)
     return significance.score_calls(scored, "oncogene_score", "tsg_score").select(
         "gene", "label", "oncogene_score", "tsg_score", "driver_score", "majority_class"
     )
 
 
-@query("rf_train_cv", f"WITH {FOLD_SQL.replace('|0|', '|71|')} SELECT gene, label, iteration, fold FROM folds WHERE gene IN (SELECT 'G' || CAST(l_partkey AS STRING) FROM lineitem)")
+_BANK_FOLDS = f"""
+  repeated AS (SELECT gene, label, CAST(i AS INT) AS iteration FROM x, range(1, {REPEATS + 1}) r(i)),
+  folds AS MATERIALIZED (SELECT gene, label, iteration, CAST(ntile({FOLDS}) OVER (PARTITION BY iteration, label
+    ORDER BY md5(gene || '|{SETTINGS.seed}|' || CAST(iteration AS VARCHAR)), gene) AS INT) AS fold FROM repeated)
+  SELECT iteration, CAST(j AS INT) AS fold, gene, label FROM folds, range(1, {FOLDS + 1}) o(j) WHERE j <> fold"""
+
+
+@query("rf_train_cv")
 def rf_train_cv(spark, sf_dir):
+    """Every node of the 50 forests of a bank."""
+    path, _ = _bank(spark, sf_dir)
+    return rounded(forest.read_nodes(spark, path), "threshold", "gain", digits=9)
+
+
+@query("rf_folds", f"WITH {FOLD_SQL.replace('|0|', '|71|')} SELECT gene, label, iteration, fold FROM folds WHERE gene IN (SELECT 'G' || CAST(l_partkey AS STRING) FROM lineitem)")
+def rf_folds(spark, sf_dir):
+    """The fold table beside the bank."""
     path, _ = _bank(spark, sf_dir)
     return spark.read.parquet(os.path.join(path, "folds"))
 
@@ -284,7 +347,7 @@ def rf_train_cv(spark, sf_dir):
 @query("rf_oof_scores")
 def rf_oof_scores(spark, sf_dir):
     path, df = _bank(spark, sf_dir)
-    return forest.score_bank(df, "gene", MATRIX_COLUMNS, path, SETTINGS, FOLDS, REPEATS)
+    return forest.score_bank(df, "gene", MATRIX_COLUMNS, path, REPEATS)
 
 
 @query("rf_score_bank")
@@ -295,16 +358,14 @@ def rf_score_bank(spark, sf_dir):
     cohort = df.withColumn(
         "gene", F.when(number % 2 == 0, F.concat(F.lit("N"), number)).otherwise(F.col("gene"))
     )
-    scored = forest.score_bank(cohort, "gene", MATRIX_COLUMNS, path, SETTINGS, FOLDS, REPEATS)
+    scored = forest.score_bank(cohort, "gene", MATRIX_COLUMNS, path, REPEATS)
     return significance.score_calls(scored, "oncogene_score", "tsg_score")
 
 
 @query("cv_metrics")
 def cv_metrics(spark, sf_dir):
     path, df = _bank(spark, sf_dir)
-    scored = forest.score_bank(
-        df, "gene", MATRIX_COLUMNS, path, SETTINGS, FOLDS, REPEATS, average=False
-    )
+    scored = forest.score_bank(df, "gene", MATRIX_COLUMNS, path, REPEATS, average=False)
     rows = scored.withColumn("driver_score", F.col("oncogene_score") + F.col("tsg_score")).join(
         df.select("gene", "label"), "gene"
     )
@@ -314,11 +375,9 @@ def cv_metrics(spark, sf_dir):
 @query("importance_summary")
 def importance_summary(spark, sf_dir):
     """Only the last fold's fit of each repeat is recorded, one round per repeat."""
-    path, df = _bank(spark, sf_dir)
-    paths = [forest.bank_path(path, i, FOLDS) for i in range(1, REPEATS + 1)]
-    return forest.importance_summary(
-        forest.forest_importance(paths, df, MATRIX_COLUMNS, SETTINGS)
-    )
+    path, _ = _bank(spark, sf_dir)
+    rounds = forest.importance(forest.read_nodes(spark, path), MATRIX_COLUMNS).filter(F.col("fold") == FOLDS)
+    return rounded(forest.importance_summary(rounds), "mean_importance", "std_importance", digits=9)
 
 
 # Two features that tell the classes apart, with one value per class: whatever trees are
@@ -333,7 +392,7 @@ _EXACT = """label, CAST(label = 1 AS INT) * 1.0::DOUBLE AS oncogene_score, CAST(
 
 def _gap_bank(spark, sf_dir):
     def train(df, path):
-        forest.train_bank(df, "gene", GAP_FEATURES, path, GAP_SETTINGS, folds=FOLDS, repeats=REPEATS)
+        forest.train_bank(df, "gene", GAP_FEATURES, path, SETTINGS, folds=FOLDS, repeats=REPEATS)
 
     key = (spark.sparkContext.applicationId, sf_dir, "gap")
     if key not in _trained_models:
@@ -352,14 +411,14 @@ def _calls(scored, *columns):
 def rf_score_gap(spark, sf_dir):
     """A forest of its own and its votes."""
     rows, path = settle(bind(spark, sf_dir, GAP)), scratch_path(spark, "gap")
-    forest.train_forest(rows, "gene", GAP_FEATURES, path, GAP_SETTINGS)
-    return _calls(forest.score_forest(rows, GAP_FEATURES, path, GAP_SETTINGS), "gene", "label")
+    forest.train_forest(rows, "gene", GAP_FEATURES, path, SETTINGS)
+    return _calls(forest.score_forest(rows, GAP_FEATURES, path), "gene", "label")
 
 
 @query("rf_plain_gap", f"SELECT gene, {_EXACT} FROM ({plain(GAP)}) x")
 def rf_plain_gap(spark, sf_dir):
     """The same with the plain forest, weighted by class and without stratified samples."""
-    plain_settings = dataclasses.replace(GAP_SETTINGS, plain=True)
+    plain_settings = dataclasses.replace(SETTINGS, plain=True)
     rows, path = settle(bind(spark, sf_dir, GAP)), scratch_path(spark, "gap")
     forest.train_forest(rows, "gene", GAP_FEATURES, path, plain_settings)
     return _calls(forest.score_forest(rows, GAP_FEATURES, path, plain_settings), "gene", "label")
@@ -369,7 +428,7 @@ def rf_plain_gap(spark, sf_dir):
 def rf_oof_gap(spark, sf_dir):
     """Held-out votes of a whole bank, averaged over its repeats."""
     path, rows = _gap_bank(spark, sf_dir)
-    scored = forest.score_bank(rows, "gene", GAP_FEATURES, path, GAP_SETTINGS, FOLDS, REPEATS)
+    scored = forest.score_bank(rows, "gene", GAP_FEATURES, path, REPEATS)
     averages = ("oncogene_score", "tsg_score", "driver_score")
     return rounded(_calls(scored.join(rows.select("gene", "label"), "gene"), "gene", "label"), *averages, digits=9)
 
@@ -379,7 +438,7 @@ def rf_bank_new_gap(spark, sf_dir):
     """A cohort whose entities the bank has never seen."""
     path, rows = _gap_bank(spark, sf_dir)
     new = rows.withColumn("gene", F.concat(F.lit("N"), "gene"))
-    scored = forest.score_bank(new, "gene", GAP_FEATURES, path, GAP_SETTINGS, FOLDS, REPEATS)
+    scored = forest.score_bank(new, "gene", GAP_FEATURES, path, REPEATS)
     averages = ("oncogene_score", "tsg_score", "driver_score")
     return rounded(_calls(scored.join(new.select("gene", "label"), "gene"), "gene", "label"), *averages, digits=9)
 
@@ -390,7 +449,7 @@ def rf_bank_new_gap(spark, sf_dir):
 )
 def cv_metrics_gap(spark, sf_dir):
     path, rows = _gap_bank(spark, sf_dir)
-    scored = forest.score_bank(rows, "gene", GAP_FEATURES, path, GAP_SETTINGS, FOLDS, REPEATS, average=False)
+    scored = forest.score_bank(rows, "gene", GAP_FEATURES, path, REPEATS, average=False)
     scored = scored.withColumn("driver_score", F.col("oncogene_score") + F.col("tsg_score"))
     measured = evaluation.performance(settle(scored.join(rows.select("gene", "label"), "gene")), "gene", "label")
     return rounded(measured, "roc_auc", "pr_auc", digits=9)
@@ -410,6 +469,6 @@ def cv_metrics_gap(spark, sf_dir):
 def cv_class_metrics_gap(spark, sf_dir):
     """Metrics of every repeat of the bank from held-out calls."""
     path, rows = _gap_bank(spark, sf_dir)
-    scored = forest.score_bank(rows, "gene", GAP_FEATURES, path, GAP_SETTINGS, FOLDS, REPEATS, average=False)
+    scored = forest.score_bank(rows, "gene", GAP_FEATURES, path, REPEATS, average=False)
     calls = significance.score_calls(scored, "oncogene_score", "tsg_score").join(rows.select("gene", "label"), "gene")
     return evaluation.repeat_metrics(settle(calls), "label")

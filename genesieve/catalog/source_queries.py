@@ -66,7 +66,7 @@ def value_list_scan(spark, sf_dir):
 KEYED = f"""
 SELECT 'B' || CAST(l_partkey % 25 AS STRING)
     || CASE WHEN l_partkey % 25 IN (5, 9) THEN '_ENST' || CAST(l_partkey % 25 AS STRING) ELSE '' END AS key,
-  CAST(l_orderkey % 8 AS INT) AS part, l_orderkey, l_linenumber,
+  CAST(floor(l_orderkey / 20000) AS INT) AS part, l_orderkey, l_linenumber,
   coalesce(protein_change, '') AS protein_change, coalesce(dna_change, '') AS dna_change,
   CASE WHEN l_linenumber = 2 THEN 'Variant of unknown origin' ELSE 'Confirmed somatic' END AS status
 FROM {{mutations}}
@@ -77,11 +77,11 @@ FROM {{mutations}}
     "file_keyed_concat",
     f"""
     WITH rows AS ({plain(KEYED)})
-    SELECT key, count(*) AS n, CAST(sum(length(protein_change) + length(dna_change)) AS BIGINT) AS characters
+    SELECT key, protein_change AS protein, dna_change AS dna, status, count(*) AS n
     FROM rows
     WHERE key NOT LIKE '%\\_ENST%' ESCAPE '\\' AND protein_change <> '' AND dna_change <> ''
       AND NOT (protein_change = 'p.?' AND dna_change = 'c.?') AND status NOT LIKE '%unknown%'
-    GROUP BY key
+    GROUP BY ALL
     """,
 )
 def file_keyed_concat(spark, sf_dir):
@@ -110,10 +110,7 @@ def file_keyed_concat(spark, sf_dir):
         "key", fields[0].alias("protein"), fields[1].alias("dna"), fields[2].alias("status")
     )
     kept = split.filter(is_informative(F.col("protein"), F.col("dna"), F.col("status")))
-    return kept.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.length("protein") + F.length("dna")).alias("characters"),
-    )
+    return kept.groupBy("key", "protein", "dna", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

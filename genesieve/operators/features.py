@@ -153,12 +153,40 @@ def ratio_features(df: DataFrame) -> DataFrame:
     return df.select(*kept, *[c.alias(name) for name, c in columns.items()])
 
 
-def centre_on_cohort(
-    features: DataFrame, cohort: DataFrame, columns: Sequence[str]
-) -> DataFrame:
-    """Subtract the cohort's column means; pass materialised tables if they share work."""
-    means = column_means(cohort, columns)
-    return features.withColumns({c: F.col(c) - F.lit(means[c]) for c in columns})
+COHORT_COLUMNS = ("nonsense", "silent", "splice_site", "lost_stop", "missense", "lost_start")
+CENTRED_COLUMNS = (
+    "nonsense", "silent", "splice_site", "lost_start_and_stop", "missense", "missense_to_silent", "non_silent_to_silent",
+)
+
+
+def cohort_fractions(cohort: DataFrame) -> DataFrame:
+    """What simulated cohorts are centred by: fractions of a total of six kinds of their own.
+
+    A simulated cohort has no indels and no recurrence, so its total is that of the six counts
+    it does have, not the total of ``ratio_features``.
+    """
+    total = _total(list(COHORT_COLUMNS))
+
+    def fraction(column: str) -> Column:
+        return F.coalesce(F.try_divide(F.col(column).cast("double"), total), F.lit(0.0))
+
+    return cohort.select(
+        *[fraction(c).alias(c) for c in ("nonsense", "silent", "splice_site", "missense")],
+        (fraction("lost_stop") + fraction("lost_start")).alias("lost_start_and_stop"),
+        (F.col("missense").cast("double") / (F.col("silent") + 1)).alias("missense_to_silent"),
+    )
+
+
+def centre_on_cohort(features: DataFrame, cohort: DataFrame) -> DataFrame:
+    """Subtract the means of a simulated cohort's fractions from the ratio features.
+
+    ``cohort`` is a count summary.  The ratio of non-silent to silent counts needs indels, which
+    a cohort lacks, so its mean is that of the features themselves.  Two passes, one over each
+    table, give seven numbers.
+    """
+    means = column_means(cohort_fractions(cohort), CENTRED_COLUMNS[:-1])
+    means |= column_means(features, CENTRED_COLUMNS[-1:])
+    return features.withColumns({c: F.col(c) - F.lit(means[c]) for c in CENTRED_COLUMNS})
 
 
 def roll_up(

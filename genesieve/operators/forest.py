@@ -1,184 +1,372 @@
-"""Random forests on class-stratified bootstraps, model banks, and hard votes.
-
-Spark ML grows the trees; rows are distributed by Spark throughout.  Spark has no
-per-class sample size, so a forest is grown in blocks: every block trains on its
-own stratified bootstrap (see ``sampling.stratified_bootstrap``), with weight
-draws / sample size, which is the class weighting of the sampled forest.  With
-one tree per block each tree has its own bootstrap.
-
-A forest is a folder with one saved model per block and a bank is a folder of
-forests per repeat and fold, both on shared storage.
+"""Random forests grown level by level from histograms and kept as tables of nodes.
+
+Features are cut into bins once.  All trees of all models grow together: the sample of a
+tree is the rows that its class-stratified bootstrap drew, with how often.  While a node has
+many rows, one aggregate per level counts draws by (tree, node, feature, bin, class), the best
+split comes from cumulative counts, and rows move to the children.  A node with at most
+``subtree_rows`` rows is finished in one bounded group with the same rule, so a forest on a
+small matrix takes one pass and one on a large matrix as many as its large levels.
+
+A node tries ``floor(sqrt(features))`` features, drawn by a hash of seed, tree and node.  A split
+is judged by the class-weighted Gini impurity, weights being 1 / sample size of the class.
+Counts are whole numbers and ties have an order, so a rerun grows the same trees.
+
+A model is a table of nodes ``(iteration, fold, tree, node, feature, threshold, class, gain,
+draws)``: node 1 is the root, ``2 n`` the child for values below the threshold and ``2 n + 1``
+the other; missing values go there as well.  Leaves have no feature.  A forest is one model, with
+iteration and fold 0; a bank holds one per repeat and held-out fold.
 """
 
 from __future__ import annotations
 
+import math
 import os
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark import inheritable_thread_target
-from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from ..functions import fixed_values as fv
-from ..session import scratch_path, settle, shuffle_width
-from .labels import check_classes, class_weights, sample_sizes
+from ..functions.hashing import hash_key, uniform
+from ..session import reachable, settle
+from .labels import check_classes, sample_sizes
+from .ordered import hashed_row_number
 from .sampling import route_to_fold, stratified_bootstrap, stratified_folds
 
+MODEL = ["iteration", "fold"]
+TREE = [*MODEL, "tree"]
+CLASSES = (fv.OTHER, fv.ONCOGENE, fv.TSG)
+ROUTED_ROWS = 100_000  # rows that one task scores with one model
+ROUTED_AT_ONCE = 1 << 20  # pairs of row and tree that move together
+BETTER = 1 + 1e-9  # a split has to be better than none by more than rounding
+
 
 @dataclass(frozen=True)
 class ForestSettings:
     """How forests are grown; ``trees`` is the size of one forest.
 
-    ``plain`` trains on all rows, weighted by 1 / class size, instead of on
-    class-stratified bootstraps.
+    ``plain`` draws from all rows alike, with weights 1 / class size, instead of by class.
     """
 
     trees: int = 200
-    blocks: int = 10
     driver_rate: float = 0.7
     other_ratio: float = 1.0
     max_depth: int = 30
     max_bins: int = 64
     seed: int = 71
-    parallelism: int = 4
     plain: bool = False
+    subtree_rows: int = 20_000
 
-    def block_sizes(self) -> list[int]:
-        blocks = min(self.blocks, self.trees)
-        small, larger = divmod(self.trees, blocks)
-        return [small + (1 if b < larger else 0) for b in range(blocks)]
+    def tried(self, features: int) -> int:
+        return max(1, math.isqrt(features))
 
 
-def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Features as one vector column, for the ML boundary only."""
-    return VectorAssembler(inputCols=list(features), outputCol="features").transform(df)
+# --- bins -----------------------------------------------------------------------------------
 
 
-def _in_parallel(spark: SparkSession, tasks: Sequence, width: int) -> list:
-    """Submit independent jobs from a few threads, so that small ones overlap."""
-    inherit = inheritable_thread_target(spark)
-    with ThreadPoolExecutor(max_workers=max(1, width)) as pool:
-        return list(pool.map(lambda task: inherit(task)(), tasks))
+def bin_edges(df: DataFrame, features: Sequence[str], max_bins: int) -> list[list[float]]:
+    """Values at the quantiles of each feature, without repeats: at most ``max_bins - 1``."""
+    at = [i / max_bins for i in range(1, max_bins)]
+    number = [F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double")) for f in features]
+    row = df.agg(*[F.percentile_approx(c, at, 10_000).alias(str(i)) for i, c in enumerate(number)]).first()
+    return [sorted(set(row[str(i)] or [])) for i in range(len(features))]
 
 
-def train_forest(
-    df: DataFrame, key: str, features: Sequence[str], path: str,
-    settings: ForestSettings = ForestSettings(), label: str = "label",
-) -> str:
-    """Fit a forest on all rows and save its blocks below ``path``."""
-    check_classes(df, label)
-    tasks = _block_tasks(df, key, features, path, settings, label, settings.seed)
-    _in_parallel(df.sparkSession, tasks, settings.parallelism)
-    return path
+def binned(df: DataFrame, features: Sequence[str], edges: list[list[float]]) -> DataFrame:
+    """``df`` with ``bins``: how many edges are not above each feature."""
+    cut = [i for i in range(len(features)) if edges[i]]
+    columns = [F.col(f).cast("double").alias(f"__f{i}") for i, f in enumerate(features)]
+    wide = df.select("*", *columns)
+    if cut:
+        wide = Bucketizer(
+            inputCols=[f"__f{i}" for i in cut], outputCols=[f"__b{i}" for i in cut], handleInvalid="keep",
+            splitsArray=[[float("-inf"), *edges[i], float("inf")] for i in cut],
+        ).transform(wide)
+    bins = [F.col(f"__b{i}") if edges[i] else F.lit(0) for i in range(len(features))]
+    return wide.select(*df.columns, F.array(*[b.cast("smallint") for b in bins]).alias("bins"))
 
 
-def _block_tasks(df, key, features, path, settings, label, seed):
-    sizes = settings.block_sizes()
-    rows = assemble(df, features).select(key, F.col(label).cast("double").alias("label"), "features")
+# --- samples --------------------------------------------------------------------------------
+
+
+def _seed(settings: ForestSettings) -> Column:
+    return F.lit(settings.seed) + 100 * F.col("iteration") + F.col("fold")
+
+
+def draw_samples(members: DataFrame, key: str, label: str, settings: ForestSettings) -> DataFrame:
+    """``iteration, fold, tree, key, label, draws`` and the sample sizes ``s0, s1, s2`` of the classes.
+
+    ``members``: iteration, fold, key and label of every model's training rows.
+    """
     if settings.plain:
-        rows = settle(class_weights(rows, "label"))
+        sizes = members.groupBy(*MODEL, label).agg(F.count("*").alias("sample_size"))
+        tree = F.explode(F.sequence(F.lit(1), F.lit(settings.trees))).alias("tree")
+        u = uniform(hash_key(_seed(settings), "tree", key))
+        # Poisson draws: what n draws of n rows come to, without counting rows
+        bound, share, draws = 0.0, math.exp(-1.0), F.lit(12)
+        steps = []
+        for k in range(12):
+            bound += share
+            steps.append((bound, k))
+            share /= k + 1
+        for bound, k in reversed(steps):
+            draws = F.when(u < bound, k).otherwise(draws)
+        drawn = members.select(*MODEL, key, label, tree).withColumn("draws", draws.cast("bigint")).where("draws > 0")
     else:
-        rows = settle(rows.join(_bootstrap_weights(df, key, label, len(sizes), settings, seed), key))
-
-    def task(block: int, trees: int):
-        def run() -> None:
-            classifier = RandomForestClassifier(
-                numTrees=trees, maxDepth=settings.max_depth, maxBins=settings.max_bins,
-                featureSubsetStrategy="sqrt", weightCol="weight", seed=seed * 1009 + block,
-                bootstrap=trees > 1,
-            )
-            training = rows if settings.plain else rows.filter(F.col("block") == block)
-            model = classifier.fit(training)
-            model.write().overwrite().save(os.path.join(path, f"block={block}"))
-        return run
-
-    return [task(b, t) for b, t in enumerate(sizes, start=1)]
-
-
-def _bootstrap_weights(df, key, label, blocks, settings, seed) -> DataFrame:
-    """``(key, block, weight)`` with weight = draws / sample size of the class."""
-    draws = stratified_bootstrap(
-        df.select(key, label), key, label, blocks,
-        settings.driver_rate, settings.other_ratio, seed,
-    )
-    amounts = sample_sizes(
-        df, label, settings.driver_rate, settings.other_ratio
-    ).select(label, "sample_size")
-    return draws.join(amounts, label).select(
-        key, F.col("tree").alias("block"), (F.col("draws") / F.col("sample_size")).alias("weight")
+        sizes = sample_sizes(members, label, settings.driver_rate, settings.other_ratio, by=tuple(MODEL))
+        drawn = stratified_bootstrap(
+            members, key, label, settings.trees, settings.driver_rate, settings.other_ratio, _seed(settings), by=MODEL
+        )
+    of_class = [F.coalesce(F.max(F.when(F.col(label) == c, F.col("sample_size"))), F.lit(0)).alias(f"s{c}") for c in CLASSES]
+    return drawn.join(sizes.groupBy(*MODEL).agg(*of_class), MODEL)
+
+
+# --- one level, as one aggregate ------------------------------------------------------------
+
+
+_LOW = (1 << 32) - 1
+
+
+def _mixed(x: Column) -> Column:
+    for _ in range(2):
+        x = (x.bitwiseXOR(F.shiftright(x, 16)) * F.lit(73244475)).bitwiseAND(F.lit(_LOW))
+    return x.bitwiseXOR(F.shiftright(x, 16))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """The same in a task; numbers stay below 2**32, so products fit 64 bits in either place."""
+    for _ in range(2):
+        x = ((x ^ (x >> 16)) * 73244475) & _LOW
+    return x ^ (x >> 16)
+
+
+def tried_features(seed: Column, features: int, tried: int) -> Column:
+    """The features a node tries, in the order of their hashes."""
+    h = _mixed(seed.cast("bigint").bitwiseAND(F.lit(_LOW)))
+    for part in ("tree", "node"):
+        h = _mixed((h + F.col(part)).bitwiseAND(F.lit(_LOW)))
+    each = F.transform(
+        F.sequence(F.lit(0), F.lit(features - 1)),
+        lambda f: F.struct(_mixed((h + f).bitwiseAND(F.lit(_LOW))).alias("h"), f.alias("f")),
     )
+    return F.transform(F.slice(F.array_sort(each), 1, tried), lambda s: s["f"])
+
+
+def draw_features(seed: int, tree: int, nodes: np.ndarray, features: int, tried: int) -> np.ndarray:
+    """The same in a task, one row per node."""
+    h = mixed(np.array([seed & _LOW], dtype=np.int64))
+    h = mixed((h + tree) & _LOW)
+    h = mixed((h + nodes) & _LOW)
+    h = mixed((h[:, None] + np.arange(features)) & _LOW)
+    return np.argsort(h, axis=1, kind="stable")[:, :tried]
+
 
+def _impurity(n: Sequence[Column]) -> Column:
+    """Sum of squared class weights over their sum; counts enter as doubles."""
+    w = [F.when(F.col(f"s{c}") > 0, x.cast("double") / F.col(f"s{c}").cast("double")).otherwise(F.lit(0.0)) for c, x in zip(CLASSES, n, strict=True)]
+    total = w[0] + w[1] + w[2]
+    return F.try_divide(w[0] * w[0] + w[1] * w[1] + w[2] * w[2], total)
 
-def _leaf_classes(df: DataFrame, model_path: str) -> Column:
-    """Class of every leaf as array[tree][leaf], from the saved nodes.
 
-    Leaves are numbered from left to right, which is the order of node ids.
+def level_nodes(active: DataFrame, features: int, settings: ForestSettings) -> DataFrame:
+    """One row for every node of ``active``: the best split, or none, with class and gain.
+
+    ``active``: iteration, fold, tree, node, label, draws, bins, s0, s1, s2.
     """
-    nodes = df.sparkSession.read.parquet(os.path.join(model_path, "data"))
-    leaves = nodes.filter(F.col("nodeData.leftChild") < 0).select(
-        "treeID", F.col("nodeData.id").alias("id"), F.col("nodeData.prediction").cast("int").alias("class")
+    node, sizes = [*TREE, "node"], [f"s{c}" for c in CLASSES]
+    drawn = [F.sum(F.when(F.col("label") == c, F.col("draws")).otherwise(0)).alias(f"n{c}") for c in CLASSES]
+    chosen = tried_features(_seed(settings), features, settings.tried(features))
+    tried = active.select(*node, *sizes, "label", "draws", "bins", F.posexplode(chosen).alias("turn", "feature"))
+    cells = tried.groupBy(*node, *sizes, "turn", "feature", F.element_at("bins", F.col("feature") + 1).alias("bin")).agg(*drawn)
+    whole = Window.partitionBy(*node, "turn")
+    upto = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cells = cells.withColumns({f"l{c}": F.sum(f"n{c}").over(upto) for c in CLASSES})
+    cells = cells.withColumns({f"a{c}": F.sum(f"n{c}").over(whole) for c in CLASSES})
+    right = [F.col(f"a{c}") - F.col(f"l{c}") for c in CLASSES]
+    left_score, right_score = _impurity([F.col(f"l{c}") for c in CLASSES]), _impurity(right)
+    own = _impurity([F.col(f"a{c}") for c in CLASSES])
+    apart = right[0] + right[1] + right[2] > 0
+    mixed_ = F.when(F.col("a0") > 0, 1).otherwise(0) + F.when(F.col("a1") > 0, 1).otherwise(0) + F.when(F.col("a2") > 0, 1).otherwise(0) > 1
+    cells = cells.withColumn("own", own).withColumn("score", F.when(apart & mixed_, left_score + right_score))
+    cells = cells.withColumn("score", F.when(F.col("score") > F.col("own") * BETTER, F.col("score")))
+    order = F.struct(F.col("score"), -F.col("turn"), -F.col("bin"))
+    best = cells.groupBy(*node, *sizes).agg(
+        F.max_by(F.struct("feature", "bin", "score"), F.when(F.col("score").isNotNull(), order)).alias("best"),
+        F.max("own").alias("own"), *[F.max(f"a{c}").alias(f"a{c}") for c in CLASSES],
     )
-    trees = leaves.groupBy("treeID").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("id", "class"))), lambda x: x["class"]
-        ).alias("classes")
+    w = [F.when(F.col(f"s{c}") > 0, F.col(f"a{c}") / F.col(f"s{c}")).otherwise(F.lit(0.0)) for c in CLASSES]
+    most = F.when((w[0] >= w[1]) & (w[0] >= w[2]), 0).when(w[1] >= w[2], 1).otherwise(2)
+    depth = F.floor(F.log2(F.col("node").cast("double")))
+    best = best.withColumn("best", F.when(depth < settings.max_depth, F.col("best")))
+    return best.select(
+        *node, F.col("best.feature").cast("int").alias("feature"), F.col("best.bin").cast("int").alias("bin"),
+        most.alias("class"), F.coalesce(F.col("best.score") - F.col("own"), F.lit(0.0)).alias("gain"),
+        (F.col("a0") + F.col("a1") + F.col("a2")).alias("draws"),
     )
-    return trees.agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("treeID", "classes"))), lambda x: x["classes"]
-        )
-    ).scalar()
 
 
-def forest_blocks(path: str, blocks: int) -> list[str]:
-    return [os.path.join(path, f"block={b}") for b in range(1, blocks + 1)]
+def move_rows(active: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows of split nodes, one level down."""
+    node = [*TREE, "node"]
+    split = nodes.where("feature IS NOT NULL").select(*node, "feature", "bin")
+    moved = active.join(split, node)
+    below = F.element_at("bins", F.col("feature") + 1) <= F.col("bin")
+    moved = moved.withColumn("node", 2 * F.col("node") + F.when(below, 0).otherwise(1))
+    return moved.drop("feature", "bin")
 
 
-def score_forest(
-    df: DataFrame, features: Sequence[str], path: str, settings: ForestSettings = ForestSettings()
-) -> DataFrame:
-    """Add ``oncogene_score`` and ``tsg_score``: the share of trees voting for each class.
+# --- small nodes, in bounded groups ---------------------------------------------------------
 
-    A tree votes for the class of the leaf that the row falls in.  Votes are
-    counted inside the row, so scoring shuffles nothing.
-    """
-    columns = df.columns
-    scored = assemble(df, features)
-    votes: list[Column] = []
-    for b, block in enumerate(forest_blocks(path, len(settings.block_sizes()))):
-        model = RandomForestClassificationModel.load(block)
-        model = (
-            model.setLeafCol(f"__leaf{b}").setPredictionCol("").setProbabilityCol("")
-            .setRawPredictionCol("")
-        )
-        scored = model.transform(scored).withColumn(f"__classes{b}", _leaf_classes(df, block))
-        votes.append(
-            F.zip_with(
-                vector_to_array(F.col(f"__leaf{b}")),
-                F.col(f"__classes{b}"),
-                lambda leaf, classes: F.get(classes, leaf.cast("int")),
-            )
-        )
-    ballots = F.concat(*votes)
 
-    def share(code: int) -> Column:
-        return F.size(F.filter("__votes", lambda v: v == code)) / F.size("__votes")
+def grow_subtree(
+    bins: np.ndarray, label: np.ndarray, draws: np.ndarray, sizes: np.ndarray, seed: int, tree: int,
+    node: int, tried: int, max_depth: int,
+) -> tuple[np.ndarray, ...]:
+    """``node, feature (or -1), bin, class, gain, draws`` of a node and everything below it.
 
-    return scored.select(*columns, ballots.alias("__votes")).select(
-        *columns,
-        share(fv.ONCOGENE).alias("oncogene_score"),
-        share(fv.TSG).alias("tsg_score"),
+    All open nodes of a level are split together; rows are ordered by node and bin, so that
+    the counts to the left of every cut are running sums.
+    """
+    # divisions in the order of the aggregate's, so that both round alike
+    divisor = np.where(sizes > 0, sizes, 1).astype(float)
+    there = (sizes > 0).astype(float)
+
+    def weights(counts: np.ndarray) -> np.ndarray:
+        return counts / divisor * there
+
+    def impurity(counts: np.ndarray) -> np.ndarray:
+        w = weights(counts)
+        return (w[:, 0] * w[:, 0] + w[:, 1] * w[:, 1] + w[:, 2] * w[:, 2]) / (w[:, 0] + w[:, 1] + w[:, 2])
+
+    width = int(bins.max(initial=0)) + 1
+    rows, at = np.arange(len(label)), np.zeros(len(label), dtype=np.int64)
+    open_, depth, made = np.array([node], dtype=np.int64), int(node).bit_length() - 1, []
+    by_class = np.zeros((len(label), 3))
+    by_class[np.arange(len(label)), label] = draws
+    while len(open_):
+        n = len(open_)
+        counts = np.column_stack([np.bincount(at, weights=by_class[rows, c], minlength=n) for c in range(3)])
+        own = impurity(counts)
+        least = own * BETTER
+        best, feature, cut = np.full(n, -np.inf), np.full(n, -1), np.zeros(n, dtype=np.int64)
+        may = ((counts > 0).sum(axis=1) > 1) & (depth < max_depth)
+        chosen = draw_features(seed, tree, open_, bins.shape[1], tried)
+        for turn in range(tried if may.any() else 0):
+            value = bins[rows, chosen[at, turn]].astype(np.int64)
+            key = at * width + value
+            order = np.argsort(key, kind="stable")
+            key, where = key[order], at[order]
+            running = np.cumsum(by_class[rows[order]], axis=0)
+            first = np.searchsorted(where, np.arange(n))
+            before = np.vstack([np.zeros(3), running])[first]
+            cuts = np.flatnonzero((key[1:] != key[:-1]) & (where[1:] == where[:-1]) & may[where[1:]])
+            if not len(cuts):
+                continue
+            of = where[cuts]
+            left = running[cuts] - before[of]
+            score = impurity(left) + impurity(counts[of] - left)
+            top = np.full(n, -np.inf)
+            np.maximum.at(top, of, score)
+            hit = np.flatnonzero((score == top[of]) & (score > least[of]) & (score > best[of]))
+            some, lead = np.unique(of[hit], return_index=True)
+            hit = hit[lead]
+            best[some], feature[some], cut[some] = score[hit], chosen[some, turn], key[cuts[hit]] % width
+        gain = np.where(feature >= 0, best - own, 0.0)
+        made.append((open_, feature, cut, np.argmax(weights(counts), axis=1), gain, counts.sum(axis=1).astype(np.int64)))
+        parents = np.flatnonzero(feature >= 0)
+        place = np.full(n, -1)
+        place[parents] = 2 * np.arange(len(parents))
+        stay = feature[at] >= 0
+        rows, at = rows[stay], at[stay]
+        above = bins[rows, feature[at]] > cut[at]
+        at = place[at] + above
+        open_ = np.column_stack([2 * open_[parents], 2 * open_[parents] + 1]).ravel()
+        depth += 1
+    return tuple(np.concatenate([m[i] for m in made]) for i in range(6))
+
+
+_NODES = "iteration int, fold int, tree int, node bigint, feature int, bin int, class int, gain double, draws bigint"
+
+
+def _small_nodes(active: DataFrame, features: int, settings: ForestSettings) -> DataFrame:
+    reachable(active.sparkSession)
+    tried, max_depth, seed = settings.tried(features), settings.max_depth, settings.seed
+
+    def build(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        iteration, fold, tree, node = (k.as_py() for k in key)
+        bins = table["bins"].combine_chunks()
+        bins = (bins.chunk(0) if isinstance(bins, pa.ChunkedArray) else bins).flatten().to_numpy().reshape(-1, features)
+        label, draws = table["label"].to_numpy().astype(np.int64), table["draws"].to_numpy()
+        sizes = np.array([table[f"s{c}"][0].as_py() for c in CLASSES])
+        made = grow_subtree(bins, label, draws, sizes, seed + 100 * iteration + fold, tree, node, tried, max_depth)
+        leaf = made[1] < 0
+        n = len(leaf)
+        return pa.table({
+            "iteration": np.full(n, iteration, np.int32), "fold": np.full(n, fold, np.int32), "tree": np.full(n, tree, np.int32),
+            "node": made[0], "feature": pa.array(made[1].astype(np.int32), mask=leaf), "bin": pa.array(made[2].astype(np.int32), mask=leaf),
+            "class": made[3].astype(np.int32), "gain": made[4], "draws": made[5],
+        })
+
+    return active.groupBy(*TREE, "node").applyInArrow(build, _NODES)
+
+
+# --- forests --------------------------------------------------------------------------------
+
+
+def grow(sample: DataFrame, features: int, settings: ForestSettings) -> DataFrame:
+    """Nodes, with bins instead of thresholds, of all trees in ``sample``.
+
+    ``sample``: iteration, fold, tree, label, draws, bins, s0, s1, s2.
+    """
+    active = settle(sample.withColumn("node", F.lit(1).cast("bigint")))
+    made = []
+    node = [*TREE, "node"]
+    while True:
+        large = active.groupBy(*node).count().where(F.col("count") > settings.subtree_rows).select(*node)
+        large = settle(large)
+        if not large.limit(1).count():
+            made.append(_small_nodes(active, features, settings))
+            break
+        made.append(settle(_small_nodes(active.join(large, node, "left_anti"), features, settings)))
+        active = active.join(large, node)
+        level = settle(level_nodes(active, features, settings))
+        made.append(level)
+        active = settle(move_rows(active, level))
+    nodes = made[0]
+    for table in made[1:]:
+        nodes = nodes.unionByName(table)
+    return nodes
+
+
+def _fit(df: DataFrame, members: DataFrame, key: str, features: Sequence[str], path: str, settings: ForestSettings, label: str) -> None:
+    spark = df.sparkSession
+    edges = bin_edges(df, features, settings.max_bins)
+    rows = binned(df, features, edges).select(key, "bins")
+    sample = draw_samples(members, key, label, settings).join(rows, key)
+    sample = sample.select(*[F.col(c).cast("int").alias(c) for c in TREE], F.col(label).cast("int").alias("label"), "draws", "bins", "s0", "s1", "s2")
+    nodes = grow(sample, len(features), settings)
+    # as many numbers as features times bins
+    table = spark.createDataFrame([(i, e) for i, e in enumerate(edges)], "feature int, edges array<double>")
+    named = nodes.join(F.broadcast(table), "feature", "left").select(
+        *TREE, "node", "feature", F.get("edges", F.col("bin")).alias("threshold"), "class", "gain", "draws"
     )
+    named.write.mode("overwrite").parquet(os.path.join(path, "nodes"))
 
 
-def bank_path(path: str, iteration: int, fold: int) -> str:
-    return os.path.join(path, f"iteration={iteration}", f"fold={fold}")
+def train_forest(
+    df: DataFrame, key: str, features: Sequence[str], path: str,
+    settings: ForestSettings = ForestSettings(), label: str = "label",
+) -> str:
+    """Fit a forest on all rows and save its nodes below ``path``."""
+    check_classes(df, label)
+    zero = F.lit(0)
+    members = df.select(zero.alias("iteration"), zero.alias("fold"), key, label)
+    _fit(df, members, key, features, path, settings, label)
+    return path
 
 
 def train_bank(
@@ -186,38 +374,99 @@ def train_bank(
     settings: ForestSettings = ForestSettings(), label: str = "label",
     folds: int = 10, repeats: int = 5,
 ) -> DataFrame:
-    """Fit one forest per repeat and held-out fold, save all, and return the fold table.
+    """Fit one forest per repeat and held-out fold, all at once, and return the fold table.
 
-    The fold table is saved beside the models: scoring needs it to route known
+    The fold table is saved beside the nodes: scoring needs it to route known
     entities to a model that has not seen them.
     """
     check_classes(df, label)
-    spark = df.sparkSession
     table = os.path.join(path, "folds")
-    stratified_folds(df, key, label, folds, repeats, settings.seed).write.mode(
-        "overwrite"
-    ).parquet(table)
-    fold_table = spark.read.parquet(table)
-    matrix = settle(df.select(key, label, *features))
-    tasks = []
-    for i in range(1, repeats + 1):
-        for j in range(1, folds + 1):
-            held_out = fold_table.filter((F.col("iteration") == i) & (F.col("fold") == j))
-            training = matrix.join(held_out.select(key), key, "left_anti")
-            where = bank_path(path, i, j)
-            tasks.append(
-                lambda training=training, where=where, seed=settings.seed + 100 * i + j: [
-                    t() for t in _block_tasks(training, key, features, where, settings, label, seed)
-                ]
-            )
-    _in_parallel(spark, tasks, settings.parallelism)
+    stratified_folds(df, key, label, folds, repeats, settings.seed).write.mode("overwrite").parquet(table)
+    fold_table = df.sparkSession.read.parquet(table)
+    others = F.array_remove(F.sequence(F.lit(1), F.lit(folds)), F.col("fold"))
+    members = fold_table.select("iteration", F.explode(others).alias("fold"), key, label)
+    _fit(df, members, key, features, path, settings, label)
     return fold_table
 
 
+def read_nodes(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(os.path.join(path, "nodes"))
+
+
+# --- votes ----------------------------------------------------------------------------------
+
+
+def route(values: np.ndarray, tree: np.ndarray, node: np.ndarray, feature: np.ndarray, threshold: np.ndarray, class_: np.ndarray) -> np.ndarray:
+    """How many trees vote for each class, one row per row of ``values``.
+
+    All rows stand at the roots of all trees at first and move down a level at a time.
+    """
+    order = np.lexsort((node, tree))
+    tree, node, feature, threshold, class_ = (x[order] for x in (tree, node, feature, threshold, class_))
+    key = tree.astype(np.int64) << 32 | node
+    inner = feature >= 0
+    below = np.searchsorted(key, tree.astype(np.int64) << 32 | 2 * node)  # its sibling stands behind it
+    roots = np.flatnonzero(node == 1)
+    votes = np.zeros((len(values), len(CLASSES)), dtype=np.int64)
+    step = max(1, ROUTED_AT_ONCE // max(len(roots), 1))
+    for a in range(0, len(values), step):
+        part = values[a : a + step]
+        row = np.repeat(np.arange(len(part)), len(roots))
+        at = np.tile(roots, len(part))
+        while len(at):
+            done = ~inner[at]
+            np.add.at(votes, (row[done] + a, class_[at[done]]), 1)
+            row, at = row[~done], at[~done]
+            at = below[at] + ~(part[row, feature[at]] < threshold[at])
+    return votes
+
+
+def score_models(df: DataFrame, features: Sequence[str], nodes: DataFrame, rows_per_part: int = ROUTED_ROWS) -> DataFrame:
+    """``df`` with the share of votes for each driver class.
+
+    ``df`` has iteration and fold of the model that judges each row.  A part of a model's rows
+    meets the model's nodes in one group: neither passes through the driver, and rows are
+    spread by a hash over as many parts as they need.
+    """
+    reachable(df.sparkSession)
+    columns = df.columns
+    parts = max(1, -(-df.count() // rows_per_part))
+    values = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(float("nan"))) for f in features])
+    whole = F.struct(*[F.col(c).alias(c) for c in columns])
+    rows = df.select(F.col("iteration").cast("int").alias("i"), F.col("fold").cast("int").alias("j"), whole.alias("row"), values.alias("values"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("values"), F.lit(parts)).cast("int"))
+    wanted = rows.select("i", "j", "part").distinct()
+    models = nodes.select(F.col("iteration").alias("m_i"), F.col("fold").alias("m_j"), "tree", "node", "feature", "threshold", "class")
+    models = models.join(wanted.select(F.col("i").alias("m_i"), F.col("j").alias("m_j"), F.col("part").alias("m_part")), ["m_i", "m_j"])
+    schema = rows.select("row").schema.add("oncogene_score", "double").add("tsg_score", "double")
+
+    def vote(left: pa.Table, right: pa.Table) -> pa.Table:
+        lists = left["values"].combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        matrix = lists.flatten().to_numpy().reshape(len(left), -1)
+        feature = right["feature"].fill_null(-1).to_numpy()
+        threshold = right["threshold"].fill_null(0.0).to_numpy()
+        votes = route(matrix, right["tree"].to_numpy(), right["node"].to_numpy(), feature, threshold, right["class"].to_numpy())
+        total = np.maximum(votes.sum(axis=1), 1)
+        scores = [pa.array(votes[:, c] / total) for c in (fv.ONCOGENE, fv.TSG)]
+        return pa.table([left["row"], *scores], names=["row", "oncogene_score", "tsg_score"])
+
+    scored = rows.groupBy("i", "j", "part").cogroup(models.groupBy("m_i", "m_j", "m_part")).applyInArrow(vote, schema)
+    scored = scored.where("row IS NOT NULL")
+    return scored.select(*[F.col("row")[c].alias(c) for c in columns], "oncogene_score", "tsg_score")
+
+
+def score_forest(df: DataFrame, features: Sequence[str], path: str) -> DataFrame:
+    """Add ``oncogene_score`` and ``tsg_score``: the share of trees voting for each class.
+
+    A tree votes for the class of the leaf that the row falls in.
+    """
+    placed = df.withColumns({"iteration": F.lit(0), "fold": F.lit(0)})
+    return score_models(placed, features, read_nodes(df.sparkSession, path)).drop(*MODEL)
+
+
 def score_bank(
-    df: DataFrame, key: str, features: Sequence[str], path: str,
-    settings: ForestSettings = ForestSettings(), folds: int = 10, repeats: int = 5,
-    average: bool = True,
+    df: DataFrame, key: str, features: Sequence[str], path: str, repeats: int = 5, average: bool = True,
 ) -> DataFrame:
     """Scores from a bank: known entities by the model that held them out, new ones by fold 1.
 
@@ -225,29 +474,8 @@ def score_bank(
     """
     spark = df.sparkSession
     fold_table = spark.read.parquet(os.path.join(path, "folds"))
-    routed_path, score_path = scratch_path(spark, "routed"), scratch_path(spark, "scores")
-    # Laid out by model, so that every model reads only the rows it has to score.
-    spread = F.pmod(F.xxhash64(key), F.lit(shuffle_width(spark)))
-    (
-        route_to_fold(df.select(key, *features), key, fold_table, repeats)
-        .repartition("iteration", "fold", spread)
-        .write.partitionBy("iteration", "fold").parquet(routed_path)
-    )
-    routed = spark.read.parquet(routed_path)
-
-    def task(i: int, j: int):
-        def run() -> None:
-            rows = routed.filter((F.col("iteration") == i) & (F.col("fold") == j))
-            score_forest(rows.drop("iteration", "fold"), features, bank_path(path, i, j), settings).select(
-                key, "oncogene_score", "tsg_score"
-            ).write.parquet(os.path.join(score_path, f"iteration={i}", f"fold={j}"))
-        return run
-
-    tasks = [task(i, j) for i in range(1, repeats + 1) for j in range(1, folds + 1)]
-    _in_parallel(spark, tasks, settings.parallelism)
-    schema = df.select(key).schema.add("oncogene_score", "double").add("tsg_score", "double")
-    scored = spark.read.schema(schema.add("iteration", IntegerType()).add("fold", IntegerType())).parquet(score_path)
-    scored = scored.select(key, "iteration", "oncogene_score", "tsg_score")
+    routed = route_to_fold(df.select(key, *features), key, fold_table, repeats)
+    scored = score_models(routed, features, read_nodes(spark, path)).select(key, "iteration", "oncogene_score", "tsg_score")
     if not average:
         return scored
     return scored.groupBy(key).agg(
@@ -255,27 +483,23 @@ def score_bank(
     )
 
 
-def forest_importance(
-    paths: Sequence[str], df: DataFrame, features: Sequence[str],
-    settings: ForestSettings = ForestSettings(),
-) -> DataFrame:
-    """``(round, feature, importance)``: mean decrease in impurity, summing to 1 per round.
+# --- importance -----------------------------------------------------------------------------
 
-    Importances are as many numbers as features; they come with the models.
-    """
-    rows = []
-    for round_number, path in enumerate(paths, start=1):
-        blocks = forest_blocks(path, len(settings.block_sizes()))
-        models = [RandomForestClassificationModel.load(b) for b in blocks]
-        for index, feature in enumerate(features):
-            mean = sum(float(m.featureImportances[index]) for m in models) / len(models)
-            rows.append((round_number, feature, mean))
-    return df.sparkSession.createDataFrame(rows, "round int, feature string, importance double")
+
+def importance(nodes: DataFrame, features: Sequence[str]) -> DataFrame:
+    """``iteration, fold, feature, importance``: the mean over trees of the impurity that splits take away."""
+    trees = nodes.groupBy(*MODEL).agg(F.count(F.when(F.col("node") == 1, 1)).alias("trees"))
+    names = nodes.sparkSession.createDataFrame(list(enumerate(features)), "at int, feature string")
+    taken = nodes.where("feature IS NOT NULL").groupBy(*MODEL, F.col("feature").alias("at")).agg(F.sum("gain").alias("gain"))
+    every = trees.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1))))
+    return every.join(taken, [*MODEL, "at"], "left").join(names, "at").select(
+        *MODEL, "feature", (F.coalesce("gain", F.lit(0.0)) / F.col("trees")).alias("importance")
+    )
 
 
-def importance_summary(importance: DataFrame) -> DataFrame:
+def importance_summary(rounds: DataFrame) -> DataFrame:
     """Mean and sample standard deviation of each feature's importance over rounds."""
-    return importance.groupBy("feature").agg(
+    return rounds.groupBy("feature").agg(
         F.avg("importance").alias("mean_importance"),
         F.stddev_samp("importance").alias("std_importance"),
     )

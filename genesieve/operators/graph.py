@@ -23,82 +23,136 @@ def node_degree(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
 
 
-SOURCES_PER_BATCH = 20_000
+PAIRS_PER_BATCH = 50_000_000  # pairs of source and node that one batch may reach
 
 
 def node_betweenness(edges: DataFrame, batches: int | None = None) -> DataFrame:
     """Exact normalised betweenness ``(node, betweenness)``.
 
-    All sources of a batch search breadth-first together, one join with the
-    adjacency per level, carrying the number of shortest paths.  Dependencies are
-    then accumulated from the deepest level back.  In an undirected graph the
-    neighbours of a level lie in it, the one before or the one after, so two
-    levels are enough to recognise visited nodes.  Each level is checkpointed.
-    Batches of sources bound the size of a level; by default there are as many as
-    the number of nodes asks for.
+    Pendant trees are folded into the nodes they hang from, round by round, so a graph whose
+    nodes mostly hang from others is searched through its core only.  A folded node stands for
+    as many nodes as its subtree has, and what passes through it inside its trees, or between
+    them and the rest, follows from the sizes of its subtrees alone.
+
+    In the core all sources of a batch search breadth-first together, one join with the
+    adjacency per level, carrying the number of shortest paths; dependencies, weighted by the
+    nodes that a target stands for, are accumulated from the deepest level back.  In an
+    undirected graph the neighbours of a level lie in it, the one before or the one after, so
+    two levels are enough to recognise visited nodes.  Every level is written.  A batch reaches
+    at most ``PAIRS_PER_BATCH`` pairs; by default there are as many batches as that asks for.
     """
     edges = settle(edges)
     proper = edges.filter(F.col("a") != F.col("b"))
-    adjacency = settle(
-        proper.select(F.col("a").alias("node"), F.col("b").alias("next")).unionByName(
-            proper.select(F.col("b").alias("node"), F.col("a").alias("next"))
-        )
-    )
+    adjacency = settle(proper.select(F.col("a").alias("node"), F.col("b").alias("next")).unionByName(
+        proper.select(F.col("b").alias("node"), F.col("a").alias("next"))
+    ))
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     n = nodes.count()
     scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-    batches = batches or 1 + n // SOURCES_PER_BATCH
-    total = nodes.select("node", F.lit(0.0).alias("delta"))
+    core, adjacency, folded = _fold_pendants(nodes, adjacency)
+    core_size = core.count()
+    batches = batches or max(1, -(-core_size * core_size // PAIRS_PER_BATCH))
+    near = settle(adjacency.join(core.select(F.col("node").alias("next"), F.col("weight").alias("next_weight")), "next"))
+    through = core.select("node", F.lit(0.0).alias("delta"))
+    reach = core.select("node", F.col("weight").alias("reached"))
     for batch in range(batches):
-        sources = adjacency.select("node").distinct().filter(
-            F.pmod(F.xxhash64("node"), F.lit(batches)) == batch
+        sources = core.filter(F.pmod(F.xxhash64("node"), F.lit(batches)) == batch)
+        deltas, reached = _dependencies(sources.select("node", "weight"), near)
+        through = settle(through.unionByName(deltas).groupBy("node").agg(F.sum("delta").alias("delta")))
+        reach = settle(reach.unionByName(reached).groupBy("node").agg(F.sum("reached").alias("reached")))
+    known = settle(core.join(through, "node").join(reach, "node"))
+    # what was folded last hangs from nodes that are known; a subtree's component is its parent's
+    for leaves in reversed(folded):
+        parents = known.select(F.col("node").alias("parent"), "reached")
+        below = leaves.join(parents, "parent").select("node", "weight", "squares", F.lit(0.0).alias("delta"), "reached")
+        known = settle(known.unionByName(below))
+    inside = F.col("weight") - 1
+    hanging = 2.0 * inside * (F.col("reached") - F.col("weight")) + inside * inside - F.col("squares")
+    return known.select("node", ((F.col("delta") + hanging) * scale).alias("betweenness"))
+
+
+def _fold_pendants(nodes: DataFrame, adjacency: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """The core ``(node, weight, squares)``, its adjacency, and what each round folded.
+
+    ``weight`` counts the nodes that a node stands for, itself included, ``squares`` sums the
+    squared weights of what was folded into it.  Of two nodes that only have each other the
+    lesser one stays.  There are as many rounds as the deepest tree has levels.
+    """
+    core = settle(nodes.select("node", F.lit(1).cast("bigint").alias("weight"), F.lit(0).cast("bigint").alias("squares")))
+    folded = []
+    while True:
+        single = settle(
+            adjacency.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.min("next").alias("parent"))
+            .filter("c = 1").select("node", "parent")
+        )
+        mutual = single.select(F.col("node").alias("parent"), F.lit(True).alias("mutual"))
+        leaves = single.join(mutual, "parent", "left").filter(F.col("mutual").isNull() | (F.col("node") > F.col("parent")))
+        leaves = settle(leaves.select("node", "parent").join(core, "node"))
+        if leaves.isEmpty():
+            return core, adjacency, folded
+        folded.append(leaves)
+        gained = leaves.groupBy(F.col("parent").alias("node")).agg(
+            F.sum("weight").alias("more"), F.sum(F.col("weight") * F.col("weight")).alias("more_squares")
+        )
+        gone = leaves.select("node")
+        core = settle(core.join(gone, "node", "left_anti").join(gained, "node", "left").select(
+            "node", (F.col("weight") + F.coalesce("more", F.lit(0))).alias("weight"),
+            (F.col("squares") + F.coalesce("more_squares", F.lit(0))).alias("squares"),
+        ))
+        adjacency = settle(
+            adjacency.join(gone, "node", "left_anti").join(gone.withColumnRenamed("node", "next"), "next", "left_anti")
+            .select("node", "next")
         )
-        total = total.unionByName(_dependencies(sources, adjacency))
-        total = settle(total.groupBy("node").agg(F.sum("delta").alias("delta")))
-    return total.groupBy("node").agg((F.sum("delta") * scale).alias("betweenness"))
 
 
-def _dependencies(sources: DataFrame, adjacency: DataFrame) -> DataFrame:
-    """Dependencies ``(node, delta)`` of the given sources, stacked over levels."""
-    start = settle(
-        sources.select(F.col("node").alias("source"), "node", F.lit(1.0).alias("paths"))
-    )
+def _dependencies(sources: DataFrame, near: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Weighted dependencies ``(node, delta)`` of the given sources, stacked over levels, and
+    ``(node, reached)``: how much weight each source reaches beside its own.
+
+    ``near``: node, next, next_weight.
+    """
+    key = ["source", "source_weight"]
+    start = settle(sources.select(
+        F.col("node").alias("source"), F.col("weight").alias("source_weight"), "node", "weight", F.lit(1.0).alias("paths")
+    ))
     levels = [start]
     while True:
-        frontier = levels[-1]
         reached = (
-            frontier.join(adjacency, "node")
-            .groupBy("source", F.col("next").alias("node"))
+            levels[-1].drop("weight").join(near, "node")
+            .groupBy(*key, F.col("next").alias("node"), F.col("next_weight").alias("weight"))
             .agg(F.sum("paths").alias("paths"))
         )
         for level in levels[-2:]:
             reached = reached.join(level.select("source", "node"), ["source", "node"], "left_anti")
-        reached = settle(reached)
+        reached = settle(reached.select(*key, "node", "weight", "paths"))
         if reached.isEmpty():
             break
         levels.append(reached)
 
+    weights = sources.select("node", F.lit(0).cast("bigint").alias("reached"))
+    for level in levels[1:]:
+        weights = weights.unionByName(level.groupBy(F.col("source").alias("node")).agg(F.sum("weight").alias("reached")))
     # The deepest level depends on nothing, and sources do not count for themselves.
+    stacked = sources.select("node", F.lit(0.0).alias("delta"))
     deeper = levels[-1].withColumn("delta", F.lit(0.0))
-    stacked = deeper.select("node", "delta")
     for level in reversed(levels[1:-1]):
-        deeper = settle(_step_back(level, deeper, adjacency))
-        stacked = stacked.unionByName(deeper.select("node", "delta"))
-    return stacked
+        deeper = settle(_step_back(level, deeper, near))
+        stacked = stacked.unionByName(deeper.select("node", (F.col("source_weight") * F.col("delta")).alias("delta")))
+    return stacked, weights
 
 
-def _step_back(level: DataFrame, deeper: DataFrame, adjacency: DataFrame) -> DataFrame:
+def _step_back(level: DataFrame, deeper: DataFrame, near: DataFrame) -> DataFrame:
     """Dependencies of one level from those of the level behind it."""
     behind = deeper.select(
-        "source", "node", ((1 + F.col("delta")) / F.col("paths")).alias("share")
+        "source", "node", ((F.col("weight") + F.col("delta")) / F.col("paths")).alias("share")
     )
     shares = (
-        behind.join(adjacency, "node")
+        behind.join(near.select("node", "next"), "node")
         .groupBy("source", F.col("next").alias("node"))
         .agg(F.sum("share").alias("share"))
     )
     return (
         level.join(shares, ["source", "node"], "left")
         .withColumn("delta", F.col("paths") * F.coalesce("share", F.lit(0.0)))
-        .select("source", "node", "paths", "delta")
+        .select("source", "source_weight", "node", "weight", "paths", "delta")
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_key, uniform
@@ -74,34 +74,34 @@ def stratified_bootstrap(
     trees: int = 200,
     driver_rate: float = 0.7,
     other_ratio: float = 1.0,
-    seed: int = 0,
+    seed: int | Column = 0,
     block: int = 1024,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """How often each entity is drawn for each tree: ``(tree, key, label, draws)``.
+    """How often each entity is drawn for each tree: ``(by, tree, key, label, draws)``.
 
-    Draws are with replacement inside each class.  They are generated block-wise,
-    so no row ever holds the draws of a whole class, and are counted before they
-    meet the entities.
+    Draws are with replacement inside each class, apart for every group of ``by``.  Trees are
+    dealt out first and blocks of draws after that, so neither the draws of a class nor all
+    blocks are made in one task; draws are counted before they meet the entities.
     """
-    sizes = sample_sizes(df, label, driver_rate, other_ratio)
-    blocks = sizes.filter(F.col("sample_size") > 0).select(
-        label, "n", "sample_size",
-        F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("tree"),
-    ).select(
-        "*",
-        F.explode(
-            F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("sample_size") - 1) / block))
-        ).alias("__block"),
-    )
+    by = list(by)
+    seed = F.lit(seed) if isinstance(seed, int) else seed
+    sizes = sample_sizes(df, label, driver_rate, other_ratio, by=tuple(by))
+    grown = sizes.filter(F.col("sample_size") > 0).select(
+        *by, label, "n", "sample_size", F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("tree"),
+    ).repartition(*by, label, "tree")
+    blocks = grown.select("*", F.explode(
+        F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("sample_size") - 1) / block))
+    ).alias("__block"))
     last = F.least(F.col("sample_size"), (F.col("__block") + 1) * block) - 1
-    draws = blocks.repartition(label, "tree", "__block").select(
-        label, "n", "tree", F.explode(F.sequence(F.col("__block") * block, last)).alias("draw")
+    draws = blocks.repartition(*by, label, "tree", "__block").select(
+        *by, label, "n", "tree", F.explode(F.sequence(F.col("__block") * block, last)).alias("draw")
     )
-    u = uniform(hash_key(F.lit(seed), "tree", label, "draw"))
+    u = uniform(hash_key(seed, "tree", label, "draw"))
     counted = (
-        draws.select(label, "tree", (F.floor(u * F.col("n")) + 1).alias("__rank"))
-        .groupBy("tree", label, "__rank")
+        draws.select(*by, label, "tree", (F.floor(u * F.col("n")) + 1).alias("__rank"))
+        .groupBy(*by, "tree", label, "__rank")
         .agg(F.count(F.lit(1)).alias("draws"))
     )
-    members = hashed_row_number(df.select(key, label), [key], [label], output="__rank")
-    return counted.join(members, [label, "__rank"]).select("tree", key, label, "draws")
+    members = hashed_row_number(df.select(*by, key, label), [key], [*by, label], output="__rank")
+    return counted.join(members, [*by, label, "__rank"]).select(*by, "tree", key, label, "draws")

@@ -7,11 +7,13 @@ are folders of such files.
 from __future__ import annotations
 
 import os
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, features, forest, labels, sampling, significance
+from ..operators import evaluation, features, forest, graph, labels, merging, rules, sampling, significance
 from ..operators.cleaning import impute_mean
 from ..session import scratch_path, settle
 from ..sources import schemas
@@ -30,6 +32,17 @@ def _with_headings(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed({c: headings[c] for c in df.columns if c in headings})
 
 
+def build_network(spark: SparkSession, edges: str, output: str) -> DataFrame:
+    """Degree and betweenness of every entity of an interaction file, written as a network file."""
+    first, second = (f.name for f in schemas.EDGES.fields)
+    pairs = settle(graph.simple_edges(read_tsv(spark, edges, schemas.EDGES), first, second))
+    found = graph.node_betweenness(pairs).join(graph.node_degree(pairs), "node")
+    write_tsv(found.select(
+        F.col("node").alias("gene"), F.col("betweenness").alias("gene_betweeness"), F.col("degree").cast("double").alias("gene_degree")
+    ), output)
+    return read_tsv(spark, output, schemas.NETWORK)
+
+
 def build_features(
     spark: SparkSession, summary: str, inactivating_test: str, clustering_test: str,
     covariates: str, network: str | None = None, output: str | None = None,
@@ -54,9 +67,17 @@ def build_features(
     return matrix
 
 
-def _labelled(spark, path: str, oncogenes: str, tsgs: str) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Raw features, imputed and labelled features, and the feature names."""
-    raw = settle(_read(spark, path, schemas.FEATURES))
+def _labelled(spark, path: str | Sequence[str], oncogenes: str, tsgs: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Raw features, imputed and labelled features, and the feature names.
+
+    Several paths are runs of a simulation: their entities get new names, numbers in one row.
+    """
+    if isinstance(path, str):
+        raw = _read(spark, path, schemas.FEATURES)
+    else:
+        runs = [_read(spark, p, schemas.FEATURES) for p in path]
+        raw = merging.union_runs(runs, "gene", "gene").withColumn("gene", F.col("gene").cast("string"))
+    raw = settle(raw)
     names = [c for c in raw.columns if c != "gene"]
     onco, tsg = read_value_list(spark, oncogenes), read_value_list(spark, tsgs)
     labelled = settle(labels.label_entities(impute_mean(raw, names), "gene", onco, tsg))
@@ -94,23 +115,43 @@ def write_null(null: DataFrame, path: str) -> None:
     write_tsv(wide.withColumnsRenamed(headings), path)
 
 
+MLFC_ALARM = 0.3  # p-values further off than this are not to be trusted
+
+
+def _write_diagnostics(spark: SparkSession, result: DataFrame, lists: Sequence[str], output: str) -> None:
+    """Quantile points and fold changes of each score's p-values."""
+    known = read_value_list(spark, lists[0]).unionByName(read_value_list(spark, lists[1]))
+    points, changes = [], []
+    for score, short in SCORES.items():
+        kind = F.lit(short).alias("score_type")
+        points.append(significance.qq_points(result.select("gene", f"{score}_p"), f"{score}_p", ["gene"]).select(kind, "*"))
+        changes.append(significance.mean_log_fold_change(result.select("gene", f"{score}_p"), f"{score}_p", ["gene"], known).select(kind, "mlfc"))
+    write_tsv(reduce(DataFrame.unionByName, points), os.path.join(output, "qq"))
+    change = reduce(DataFrame.unionByName, changes)
+    write_tsv(change.withColumn("alarm", F.coalesce(F.col("mlfc") > MLFC_ALARM, F.lit(False))), os.path.join(output, "mlfc"))
+
+
 def classify(
-    spark: SparkSession, features_path: str, oncogenes: str, tsgs: str, output: str,
+    spark: SparkSession, features_path: str | Sequence[str], oncogenes: str, tsgs: str, output: str,
     trained: str | None = None, cv: bool = False, simulated: bool = False,
     null: str | None = None, settings: forest.ForestSettings = forest.ForestSettings(),
     folds: int = 10, repeats: int = 5,
 ) -> DataFrame:
     """Score entities.
 
-    ``simulated``: the scores become a null table, written to ``output``.
-    Otherwise results, with p- and q-values if a ``null`` table is given, go to
-    ``output/results``.  Without a ``trained`` forest the entities are scored out
-    of fold, and call lists, performance and importance are written too.
+    ``simulated``: the scores become a null table, written to ``output``; ``features_path`` may
+    name the feature files of several runs.
+    Otherwise results go to ``output/results``.  With a ``null`` table they have p- and q-values,
+    ``output/qq`` the points of each score's quantile plot, and ``output/mlfc`` its mean absolute
+    log2 fold change over entities on neither training list, with an alarm above ``MLFC_ALARM``.
+    Without a ``trained`` forest the entities are scored out of fold, and call lists, the areas of
+    the forest and of the majority baseline, the metrics of every repeat, and importance are
+    written too.
     """
     raw, matrix, names = _labelled(spark, features_path, oncogenes, tsgs)
     bank = None
     if trained and not cv:
-        scored = forest.score_forest(matrix, names, trained, settings).select(
+        scored = forest.score_forest(matrix, names, trained).select(
             "gene", "oncogene_score", "tsg_score"
         )
         per_repeat = None
@@ -120,7 +161,7 @@ def classify(
             bank = scratch_path(spark, "bank")
             forest.train_bank(matrix, "gene", names, bank, settings, folds=folds, repeats=repeats)
         per_repeat = settle(
-            forest.score_bank(matrix, "gene", names, bank, settings, folds, repeats, average=False)
+            forest.score_bank(matrix, "gene", names, bank, repeats, average=False)
         )
         scored = per_repeat.groupBy("gene").agg(
             F.avg("oncogene_score").alias("oncogene_score"), F.avg("tsg_score").alias("tsg_score")
@@ -137,6 +178,8 @@ def classify(
         result = significance.significance(result, read_null(spark, null), list(SCORES))
     result = settle(result)
     write_tsv(_with_headings(result).orderBy(F.desc("driver_score"), "gene"), os.path.join(output, "results"))
+    if null:
+        _write_diagnostics(spark, result, (oncogenes, tsgs), output)
     if trained is None:
         q_columns = ("oncogene_score_q", "tsg_score_q") if null else None
         lists = significance.call_lists(result, "gene", q_columns=q_columns)
@@ -144,10 +187,15 @@ def classify(
         rows = per_repeat.withColumn(
             "driver_score", F.col("oncogene_score") + F.col("tsg_score")
         ).join(matrix.select("gene", "label"), "gene")
-        write_tsv(
-            evaluation.performance(settle(rows), "gene", "label"), os.path.join(output, "performance")
-        )
-        rounds = [forest.bank_path(bank, i, folds) for i in range(1, repeats + 1)]
-        importance = forest.forest_importance(rounds, matrix, names, settings)
-        write_tsv(forest.importance_summary(importance), os.path.join(output, "importance"))
+        rows = settle(rows)
+        write_tsv(evaluation.performance(rows, "gene", "label"), os.path.join(output, "performance"))
+        fold_table = settle(spark.read.parquet(os.path.join(bank, "folds")))
+        guessed = rules.majority_baseline(fold_table, "gene")
+        guessed = guessed.withColumn("driver_score", F.col("oncogene_score") + F.col("tsg_score"))
+        write_tsv(evaluation.performance(settle(guessed), "gene", "label"), os.path.join(output, "baseline"))
+        each = significance.score_calls(rows.drop("driver_score"), "oncogene_score", "tsg_score")
+        write_tsv(evaluation.repeat_metrics(settle(each), "label"), os.path.join(output, "repeats"))
+        # only the last fold's fit of each repeat is recorded
+        rounds = forest.importance(forest.read_nodes(spark, bank), names).filter(F.col("fold") == folds)
+        write_tsv(forest.importance_summary(rounds), os.path.join(output, "importance"))
     return result

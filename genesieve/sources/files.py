@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -46,6 +49,35 @@ def read_value_list(
     return lines.select(F.regexp_replace("value", r"^\s+|\s+$", "").alias(column))
 
 
+def _without_preamble(lines: DataFrame, preamble: int) -> DataFrame:
+    """``file, line`` without the first lines of every file, from ``file, block, line``.
+
+    A scan yields the lines of a split in order and one split after the other, so counting the
+    lines of a split that begins its file is enough: no line moves, and splits inside a file
+    pass as they are.  A preamble lies in a file's first split.
+    """
+
+    def skip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: tuple[str, int] | None = None
+        seen = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            files, blocks = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            starts = np.flatnonzero(np.append(True, (files[1:] != files[:-1]) | (blocks[1:] != blocks[:-1])))
+            keep = np.ones(batch.num_rows, dtype=bool)
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows], strict=True):
+                if (files[a], blocks[a]) != at:
+                    at, seen = (files[a], blocks[a]), 0
+                if blocks[a] == 0:
+                    keep[a : min(b, a + max(0, preamble - seen))] = False
+                seen += b - a
+            kept = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(2).filter(kept)], names=["file", "line"])
+
+    return lines.select("file", "block", "line").mapInArrow(skip, "file string, line string")
+
+
 def read_keyed_files(
     spark: SparkSession,
     path: str,
@@ -57,8 +89,8 @@ def read_keyed_files(
     """``(key, line)`` of all files below ``path``, the key taken from the file path.
 
     The first ``preamble`` lines of every file are skipped and files whose key
-    contains ``exclude`` are left out.  Large files stay splittable: preamble lines
-    lie in a file's first block, whose lines have consecutive ids.
+    contains ``exclude`` are left out.  Large files stay splittable, and files are read by
+    Spark's own reader, wherever they are stored.
     """
     reader = spark.read.option("recursiveFileLookup", True)
     if glob:
@@ -67,17 +99,10 @@ def read_keyed_files(
         F.col("value").alias("line"),
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("id"),
     )
-    key = F.regexp_extract("file", key_pattern, 1)
     if preamble:
-        first = (
-            lines.filter(F.col("block") == 0).groupBy("file").agg(F.min("id").alias("first"))
-        )
-        lines = lines.join(first, "file").filter(
-            (F.col("block") > 0) | (F.col("id") - F.col("first") >= preamble)
-        )
-    rows = lines.select(key.alias("key"), "line")
+        lines = _without_preamble(lines, preamble)
+    rows = lines.select(F.regexp_extract("file", key_pattern, 1).alias("key"), "line")
     return rows.filter(~F.col("key").contains(exclude)) if exclude else rows
 
 

@@ -143,3 +143,59 @@ def test_ratio_features_add_up(spark):
     assert rows["a"]["recurrent_missense"] == pytest.approx(2 / 16)
     assert rows["a"]["missense_to_silent"] == pytest.approx(6 / 4)
     assert all(rows["b"][c] == 0 for c in parts)
+
+
+def test_radix_selection_finds_every_rank(spark):
+    rng = np.random.default_rng(5)
+    values = {"a": [0.0, -0.0, 1e-300, -1e-300, 5e-324, float("inf"), float("-inf"), -2.5, -2.5, 1e308] + rng.normal(size=90).tolist(),
+              "b": [3.0] * 40, "c": [-7.25]}
+    df = spark.createDataFrame([(g, v) for g, own in values.items() for v in own] + [("a", None), ("d", None)], "g string, v double")
+    wanted = spark.createDataFrame([(g, k) for g, own in values.items() for k in range(len(own))], "g string, rank bigint")
+    got = {(r["g"], r["rank"]): r["value"] for r in stats.order_statistics(df, "v", ["g"], wanted).collect()}
+    for g, own in values.items():
+        assert [got[g, k] for k in range(len(own))] == sorted(own)
+    whole = spark.createDataFrame([(2,)], "rank bigint")
+    assert stats.order_statistics(df, "v", [], whole).collect()[0]["value"] == sorted(v for own in values.values() for v in own)[2]
+
+
+def test_box_summary_sorts_nothing(spark):
+    df = spark.createDataFrame([(g, float(v)) for g in "ab" for v in range(50)], "g string, v double")
+    row = {r["g"]: r for r in stats.box_summary(df, "v", "g").collect()}["a"]
+    assert (row["minimum"], row["q1"], row["median"], row["q3"], row["maximum"]) == (0, 12.25, 24.5, 36.75, 49)
+
+
+def test_density_error_stays_below_its_bound(spark):
+    rng = np.random.default_rng(7)
+    values = np.concatenate([rng.normal(size=400), rng.exponential(9, size=200), [250.0]])
+    df = spark.createDataFrame([("g", float(v)) for v in values], "g string, v double")
+    grid = [-3.0, 0.0, 0.3, 4.0, 60.0, 250.0, 900.0]
+    h = values.std(ddof=1) * len(values) ** -0.2
+    exact = [np.exp(-((x - values) / h) ** 2 / 2).sum() / (len(values) * h * np.sqrt(2 * np.pi)) for x in grid]
+    for nodes in (16, stats.NODES_PER_WIDTH):
+        got = {r["grid_index"]: r["density"] for r in stats.density(df, "v", "g", grid, nodes).collect()}
+        for i, e in enumerate(exact):
+            assert abs(got[i] - e) <= 1 / (8 * nodes**2) / (h * np.sqrt(2 * np.pi)) + 1e-15
+    lone = {r["grid_index"]: r["density"] for r in stats.density(df.where("v = 250"), "v", "g", grid).collect()}
+    assert all(v is None for v in lone.values())
+    same = stats.density(spark.createDataFrame([("g", 1.0)] * 3, "g string, v double"), "v", "g", grid)
+    assert all(r["density"] is None for r in same.collect())
+
+
+def test_significance_in_the_row_equals_the_joins(spark):
+    rng = np.random.default_rng(2)
+    scores = ["x", "y"]
+    simulated = spark.createDataFrame([(s, float(v)) for s in scores for v in rng.integers(0, 40, 300) / 40], "score_type string, score double")
+    null = significance.null_distribution(simulated).cache()
+    top = null.groupBy("score_type").agg(F.max("score").alias("m")).collect()[0]["m"]
+    rows = [(i, float(v), float(w)) for i, (v, w) in enumerate(zip(rng.integers(0, 44, 200) / 40, rng.random(200)))]
+    rows += [(900, None, float("nan")), (901, top, 0.0), (902, top + 1e-9, 5.0), (903, float("nan"), -1.0)]
+    df = spark.createDataFrame(rows, "id int, x double, y double")
+    fast = {r["id"]: tuple(r) for r in significance.significance(df, null, scores).collect()}
+    slow = {r["id"]: tuple(r[c] for c in ("id", "x", "y", "x_p", "x_q", "y_p", "y_q")) for r in significance._significance_by_join(df, null, scores).collect()}
+    assert fast.keys() == slow.keys()
+    for i, row in slow.items():
+        assert repr(fast[i][:3]) == repr(row[:3]) and fast[i][3:] == pytest.approx(row[3:], nan_ok=True, abs=1e-12), i
+    plan = significance.significance(df, null, scores)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("Subquery")[0]
+    none = null.where("score_type = 'z'")
+    assert significance.significance(df, none, scores).count() == len(rows)

@@ -1,6 +1,7 @@
 """Merging, labels, sampling, graphs and files on small fixtures."""
 
 import itertools
+import random
 from collections import deque
 
 import pytest
@@ -111,6 +112,26 @@ GRAPHS = {
 }
 
 
+def hanging(seed):
+    """Two rings that share a node, a lone edge, a tree, and trees hanging from all of them."""
+    rnd = random.Random(seed)
+    edges = [(f"r{i}", f"r{(i + 1) % 6}") for i in range(6)] + [(f"s{i}", f"s{(i + 1) % 4}") for i in range(4)] + [("r0", "s0"), ("r2", "r5")]
+    edges += [("k0", "k1"), ("t0", "t1")]
+    for i in range(30):
+        ends = sorted({n for e in edges for n in e})
+        edges.append((rnd.choice(ends), f"h{i}"))
+    return edges
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_pendant_trees_are_folded(spark, seed):
+    edges = graph.simple_edges(spark.createDataFrame(hanging(seed), "u string, v string"), "u", "v")
+    expected = brute_betweenness([tuple({*e}) for e in hanging(seed)])
+    for batches in (None, 3):
+        found = {r["node"]: r["betweenness"] for r in graph.node_betweenness(edges, batches).collect()}
+        assert found == pytest.approx(expected)
+
+
 @pytest.mark.parametrize("name", GRAPHS)
 def test_graphs(spark, name):
     df = spark.createDataFrame([*GRAPHS[name], ("a", None)], "u string, v string")
