@@ -270,10 +270,10 @@ _COHORT_TOTAL = " + ".join(features.COHORT_COLUMNS)
 @query(
     "cohort_center",
     f"""
-    WITH {RATIOS}, counts AS (SELECT *, {_COHORT_TOTAL} AS six FROM summary WHERE CAST(substr(gene, 2) AS BIGINT) % 2 = 0),
+    WITH {RATIOS}, six_counts AS (SELECT *, {_COHORT_TOTAL} AS six FROM summary WHERE CAST(substr(gene, 2) AS BIGINT) % 2 = 0),
     cohort AS (SELECT {", ".join(f"coalesce({c} / nullif(six, 0), 0) AS {c}" for c in ("nonsense", "silent", "splice_site", "missense"))},
       coalesce(lost_stop / nullif(six, 0), 0) + coalesce(lost_start / nullif(six, 0), 0) AS lost_start_and_stop,
-      missense / (silent + 1) AS missense_to_silent FROM counts)
+      missense / (silent + 1) AS missense_to_silent FROM six_counts)
     SELECT gene, {", ".join(f"round({c} - (SELECT avg({c}) FROM cohort), 9) AS {c}" for c in CENTRED[:-1])},
       round({CENTRED[-1]} - (SELECT avg({CENTRED[-1]}) FROM ratios), 9) AS {CENTRED[-1]} FROM ratios
     """,
