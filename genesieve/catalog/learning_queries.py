@@ -117,8 +117,9 @@ def _betweenness_sql() -> str:
       SELECT s, w, {k + 1}, sum(paths) FROM r{k} JOIN adj USING (v)
       WHERE d = {k} AND NOT EXISTS (SELECT 1 FROM r{k} o WHERE o.s = r{k}.s AND o.v = adj.w) GROUP BY s, w)"""
     return text + f""",
+    inner_ AS (SELECT v FROM adj GROUP BY v HAVING count(*) > 1),
     b AS (SELECT x.v, sum(x.paths * y.paths / z.paths) AS total
-      FROM r{_DEPTH} z JOIN r{_DEPTH} x ON x.s = z.s JOIN r{_DEPTH} y ON y.s = x.v AND y.v = z.v
+      FROM r{_DEPTH} z JOIN (SELECT * FROM r{_DEPTH} SEMI JOIN inner_ USING (v)) x ON x.s = z.s JOIN r{_DEPTH} y ON y.s = x.v AND y.v = z.v
       WHERE x.d + y.d = z.d AND x.v <> z.s AND x.v <> z.v GROUP BY x.v)
     SELECT n.v AS node, round(coalesce(total, 0) / ((SELECT count(*) FROM n) - 1) / ((SELECT count(*) FROM n) - 2), 9) AS betweenness
     FROM n LEFT JOIN b ON b.v = n.v
