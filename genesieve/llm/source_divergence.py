@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Texts, U, column, distinct_runs, parts_for, slices, written
+from .common import Texts, column, distinct_runs, parts_for, slices, written
 
 MIN_DOCS = 30
 TOP = 50

@@ -5,8 +5,6 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import pytest
-from pyspark.sql import functions as F
 
 from genesieve.llm import common, line_dedup, near_duplicates, packing, quality_rules, repeated_bytes
 from genesieve.llm.common import ModularHash, Texts
