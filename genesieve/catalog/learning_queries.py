@@ -324,13 +324,6 @@ def rf_score(spark, sf_dir):
     )
 
 
-_BANK_FOLDS = f"""
-  repeated AS (SELECT gene, label, CAST(i AS INT) AS iteration FROM x, range(1, {REPEATS + 1}) r(i)),
-  folds AS MATERIALIZED (SELECT gene, label, iteration, CAST(ntile({FOLDS}) OVER (PARTITION BY iteration, label
-    ORDER BY md5(gene || '|{SETTINGS.seed}|' || CAST(iteration AS VARCHAR)), gene) AS INT) AS fold FROM repeated)
-  SELECT iteration, CAST(j AS INT) AS fold, gene, label FROM folds, range(1, {FOLDS + 1}) o(j) WHERE j <> fold"""
-
-
 @query("rf_train_cv")
 def rf_train_cv(spark, sf_dir):
     """Every node of the 50 forests of a bank."""

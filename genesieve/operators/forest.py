@@ -34,7 +34,6 @@ from ..functions import fixed_values as fv
 from ..functions.hashing import hash_key, uniform
 from ..session import reachable, settle
 from .labels import check_classes, sample_sizes
-from .ordered import hashed_row_number
 from .sampling import route_to_fold, stratified_bootstrap, stratified_folds
 
 MODEL = ["iteration", "fold"]
