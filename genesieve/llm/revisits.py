@@ -31,14 +31,47 @@ BUCKETS = 5_000  # at most, so that the quantiles stay a small sketch
 KEPT = ("content-encoding", "content-length", "content-range", "content-type", "transfer-encoding")
 
 
+def _unescaped(text: Column) -> Column:
+    """Percent-escapes of unreserved characters as these; others with upper-case digits."""
+    def piece(part: Column, i: Column) -> Column:
+        code = F.upper(F.substring(part, 1, 2))
+        char = F.chr(F.conv(code, 16, 10).cast("int"))
+        rest = part.substr(F.lit(3), F.length(part))
+        plain = F.when(char.rlike("^[A-Za-z0-9._~-]$"), char).otherwise(F.concat(F.lit("%"), code))
+        return F.when(i == 0, part).when(code.rlike("^[0-9A-F]{2}$"), F.concat(plain, rest)).otherwise(F.concat(F.lit("%"), part))
+
+    return F.when(text.contains("%"), F.array_join(F.transform(F.split(text, "%", -1), piece), "")).otherwise(text)
+
+
+def _without_dots(path: Column) -> Column:
+    """``.`` goes, ``..`` takes the segment before it along."""
+    def step(kept: Column, segment: Column) -> Column:
+        return (
+            F.when(segment == ".", kept)
+            .when(segment == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(1))))
+            .otherwise(F.concat(kept, F.array(segment)))
+        )
+
+    left = F.array_join(F.aggregate(F.split(path, "/", -1), F.array().cast("array<string>"), step), "/")
+    return F.when(path.rlike(r"/\.\.?(/|$)"), left).otherwise(path)
+
+
 def canonical(url: Column) -> Column:
-    """Scheme, ``www.`` or ``m.``, default port, fragment, tracking and trailing slash removed."""
+    """Host, path and parameters of a URL in one spelling.
+
+    Scheme, user, ``www.`` or ``m.``, default port, fragment, tracking parameters and slashes
+    behind the path are removed, unreserved characters unescaped, dot segments resolved,
+    parameters sorted, repeated ones by value.
+    """
     host = F.lower(F.regexp_extract(url, r"^(?:[A-Za-z]+://)?([^/?#]*)", 1))
-    host = F.regexp_replace(F.regexp_replace(host, r"^(www|m)\.", ""), r":(80|443)$", "")
-    rest = F.regexp_replace(F.regexp_replace(url, r"^(?:[A-Za-z]+://)?[^/?#]*", ""), r"#.*$", "")
-    rest = F.regexp_replace(rest, r"([?&])(?:utm_[a-z]+|ref)=[^&]*", "$1")
-    rest = F.regexp_replace(F.regexp_replace(rest, r"([?&])&+", "$1"), r"[?&]+$", "")
-    return F.concat(host, F.regexp_replace(rest, r"/+$", ""))
+    host = F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r"^(www|m)\.", "")
+    rest = F.regexp_replace(F.regexp_replace(url, r"^(?:[A-Za-z]+://)?[^/?#]*", ""), r"#[\s\S]*$", "")
+    rest = _unescaped(rest)
+    path = F.regexp_replace(_without_dots(F.regexp_extract(rest, r"^([^?]*)", 1)), r"/+$", "")
+    given = F.split(F.regexp_extract(rest, r"^[^?]*\?([\s\S]*)$", 1), "&", -1)
+    sent = F.array_sort(F.filter(given, lambda p: (p != "") & ~p.rlike("^(utm_[a-z]+|ref)=")))
+    query = F.when(F.size(sent) > 0, F.concat(F.lit("?"), F.array_join(sent, "&"))).otherwise("")
+    return F.concat(F.regexp_replace(host, r":(80|443)$", ""), path, query)
 
 
 def _agree(mine: Column, theirs: Column) -> Column:
@@ -132,16 +165,32 @@ def digest(resolved: DataFrame) -> DataFrame:
 
 
 SQL = r"""
-WITH c AS (
-  SELECT record_id, captured, status, regexp_replace(etag, '^W/', '') AS tag, etag, last_modified, size, cache, kind,
-    regexp_replace(regexp_replace(lower(regexp_extract(url, '^(?:[A-Za-z]+://)?([^/?#]*)', 1)), '^(www|m)\.', ''), ':(80|443)$', '')
-    || regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
-      regexp_replace(url, '^(?:[A-Za-z]+://)?[^/?#]*', ''), '#.*$', ''),
-      '([?&])(?:utm_[a-z]+|ref)=[^&]*', '\1', 'g'), '([?&])&+', '\1', 'g'), '[?&]+$', ''), '/+$', '') AS url
+WITH cut AS (
+  SELECT * RENAME (url AS given), regexp_replace(regexp_replace(regexp_replace(lower(
+      regexp_extract(url, '^(?:[A-Za-z]+://)?([^/?#]*)', 1)), '^.*@', ''), '^(www|m)\.', ''), ':(80|443)$', '') AS host,
+    string_split(regexp_replace(regexp_replace(url, '^(?:[A-Za-z]+://)?[^/?#]*', ''), '#[\s\S]*$', ''), '%') AS escaped
   FROM (""" + CAPTURES.format(pages="pages") + r""")),
+plain AS (
+  SELECT *, escaped[1] || array_to_string(list_transform(escaped[2:], lambda p:
+      CASE WHEN NOT regexp_matches(p, '^[0-9A-Fa-f]{2}') THEN '%' || p
+      WHEN regexp_matches(chr(CAST(greatest(0, 16 * strpos('0123456789ABCDEF', upper(p[1])) + strpos('0123456789ABCDEF', upper(p[2])) - 17) AS INT)), '^[A-Za-z0-9._~-]$')
+      THEN chr(CAST(greatest(0, 16 * strpos('0123456789ABCDEF', upper(p[1])) + strpos('0123456789ABCDEF', upper(p[2])) - 17) AS INT)) || p[3:]
+      ELSE '%' || upper(p[1:2]) || p[3:] END), '') AS rest
+  FROM cut),
+parts AS (
+  SELECT *, regexp_replace(array_to_string(list_reduce(
+      list_transform(string_split(regexp_extract(rest, '^([^?]*)', 1), '/'), lambda s: [s]), lambda kept, s:
+      CASE WHEN s[1] = '.' THEN kept WHEN s[1] = '..' THEN kept[1:greatest(len(kept) - 1, 1)] ELSE list_concat(kept, s) END), '/'), '/+$', '') AS path,
+    list_sort(list_filter(string_split(regexp_extract(rest, '^[^?]*\?([\s\S]*)$', 1), '&'),
+      lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref)='))) AS sent
+  FROM plain),
+c AS (
+  SELECT record_id, captured, status, regexp_replace(etag, '^W/', '') AS tag, etag, last_modified, size, cache, kind,
+    host || path || CASE WHEN len(sent) > 0 THEN '?' || array_to_string(sent, '&') ELSE '' END AS url
+  FROM parts),
 w AS (
-  SELECT *, last_value(CASE WHEN status = 200 THEN record_id END IGNORE NULLS) OVER (
-    PARTITION BY url ORDER BY captured, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS original_id
+  SELECT *, CASE WHEN url IS NOT NULL THEN last_value(CASE WHEN status = 200 THEN record_id END IGNORE NULLS) OVER (
+    PARTITION BY url ORDER BY captured, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS original_id
   FROM c),
 r AS (
   SELECT w.*, CASE WHEN o.record_id IS NULL THEN 'no_original'

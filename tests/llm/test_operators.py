@@ -8,6 +8,7 @@ import string
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -373,6 +374,28 @@ def test_empty_tables(docs, labels, run):
     assert run(docs.where("doc_id = 9001"), labels).count() == 1
 
 
+def test_urls_in_one_spelling(spark, tmp_path):
+    """Each group is one resource, in Spark and in SQL."""
+    groups = [
+        ["http://u:p@www.x.org:80/a/./b/../%7Ek/?b=2&a=1&utm_source=q&&ref=z#f", "https://x.org/a/~k?a=1&b=2", "X.org/a/%7ek?a=%31&b=2&"],
+        ["x.org/%2fa%", "x.org/%2Fa%/"], ["x.org/../..", "x.org", "x.org/?", "x.org#a?b", "x.org/a/.."], ["x.org/a..b/.c", "x.org/a..b/%2Ec"],
+        ["x.org/a?q=/../b", "x.org/a/?q=/../b#\n"], ["x.org/%zz%4", "x.org/%zz%4/"], ["x.org/a?b=1&b=2", "x.org/a?b=2&b=1"], ["x.org/%25%37e"],
+        ["", "#"], ["x.org/%C3%A9", "x.org/%c3%a9"], ["x.org/é"],
+    ]
+    urls = [u for g in groups for u in g]
+    pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    of = {r.url: r.c for r in pages.select("url", revisits.canonical(F.col("url")).alias("c")).collect()}
+    forms = [{of[u] for u in g} for g in groups]
+    assert all(len(f) == 1 for f in forms) and len(set.union(*forms)) == len(groups)
+    pages.unionByName(spark.createDataFrame([(99, None, "h")], pages.schema)).write.parquet(str(tmp_path / "pages"))
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages/*.parquet'")
+    got = revisits.digest(revisits.resolve(revisits.captures(spark.read.parquet(str(tmp_path / "pages")))))
+    names = ["record_id", "url", "original_id", "outcome", "headers"]
+    expected = db.sql(f"SELECT {', '.join(names)} FROM ({revisits.SQL})").fetchall()
+    assert sorted(map(str, (tuple(r[c] for c in names) for r in got.collect()))) == sorted(map(str, expected))
+
+
 def test_empty_captures_and_vectors(spark):
     none = spark.createDataFrame([], "record_id long, url string, captured long, status int, etag string, last_modified string, headers map<string,string>")
     assert revisits.resolve(none).collect() == []
