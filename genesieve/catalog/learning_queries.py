@@ -161,6 +161,53 @@ def node_betweenness_tree(spark, sf_dir):
     return rounded(graph.node_betweenness(edges), "betweenness", digits=12)
 
 
+# A customer's orders follow each other and begin and end at the customer: a ring, hanging like the customer.
+RING_EDGES = """
+SELECT 'O' || CAST(o_orderkey AS STRING) AS first, coalesce(
+  'O' || CAST(lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS STRING), 'C' || CAST(o_custkey AS STRING)) AS second FROM {orders}
+UNION ALL SELECT 'O' || CAST(max(o_orderkey) AS STRING), 'C' || CAST(o_custkey AS STRING) FROM {orders} GROUP BY o_custkey
+UNION ALL SELECT 'C' || CAST(c_custkey AS STRING), 'N' || CAST(c_nationkey AS STRING) FROM {customer}
+UNION ALL SELECT 'S' || CAST(s_suppkey AS STRING), 'N' || CAST(s_nationkey AS STRING) FROM {supplier}
+UNION ALL SELECT 'N' || CAST(n_nationkey AS STRING), 'R' || CAST(n_regionkey AS STRING) FROM {nation}
+"""
+
+
+@query(
+    "node_betweenness_rings",
+    """
+    WITH cust AS (
+      SELECT c_custkey AS c, c_nationkey AS n, count(o_orderkey) AS k FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL),
+    supp AS (SELECT s_nationkey AS n, count(*) AS m FROM supplier GROUP BY ALL),
+    nat AS (
+      SELECT n_nationkey AS n, n_regionkey AS r, 1 + coalesce(any_value(m), 0) + coalesce(sum(1 + k), 0) AS s,
+        coalesce(any_value(m), 0) + coalesce(sum((1 + k) * (1 + k)), 0) AS q
+      FROM nation LEFT JOIN cust ON cust.n = n_nationkey LEFT JOIN supp ON supp.n = n_nationkey GROUP BY ALL),
+    reg AS (SELECT r, 1 + sum(s) AS w, sum(s * s) AS q FROM nat GROUP BY r),
+    total AS (SELECT sum(w)::DOUBLE AS c FROM reg),
+    home AS (SELECT c, k, w FROM cust JOIN nat USING (n) JOIN reg USING (r)),
+    ring AS (
+      SELECT c, 0 AS i, 'C' || c AS node, (w - k)::DOUBLE AS w, k + 1 AS l FROM home
+      UNION ALL SELECT c, row_number() OVER (PARTITION BY c ORDER BY o_orderkey), 'O' || o_orderkey, 1, k + 1 FROM orders JOIN home ON c = o_custkey),
+    apart AS (SELECT a.c, a.i, b.i AS j, a.w * b.w AS w, a.l, least(abs(a.i - b.i), a.l - abs(a.i - b.i)) AS d FROM ring a JOIN ring b ON a.c = b.c AND a.i <> b.i),
+    inner_ AS (
+      SELECT x.c, x.j AS i, sum(z.w / CASE WHEN 2 * z.d = z.l THEN 2 ELSE 1 END) AS delta
+      FROM apart x JOIN apart y ON x.c = y.c AND x.j = y.i JOIN apart z ON z.c = x.c AND z.i = x.i AND z.j = y.j
+      WHERE x.d + y.d = z.d GROUP BY ALL),
+    found AS (
+      SELECT node, coalesce(delta, 0) + CASE WHEN i = 0 THEN 2.0::DOUBLE * k * (home.w - 1 - k) ELSE 0 END AS b
+      FROM ring JOIN home USING (c) LEFT JOIN inner_ USING (c, i)
+      UNION ALL SELECT 'S' || s_suppkey, 0 FROM supplier
+      UNION ALL SELECT 'N' || n, (w - 1)::DOUBLE * (w - 1) - nat.q - (w - s)::DOUBLE * (w - s) FROM nat JOIN reg USING (r)
+      UNION ALL SELECT 'R' || r, (w - 1)::DOUBLE * (w - 1) - q FROM reg)
+    SELECT node, round(b / (c - 1) / (c - 2), 12) AS betweenness FROM found, total
+    """,
+)
+def node_betweenness_rings(spark, sf_dir):
+    """A core that grows with the tables and falls apart into one block for each customer."""
+    edges = graph.simple_edges(bind(spark, sf_dir, RING_EDGES), "first", "second")
+    return rounded(graph.node_betweenness(edges), "betweenness", digits=12)
+
+
 _RULE_COUNTS = """
   SELECT gene, recurrent_missense AS recurrent, nonsense + lost_stop + lost_start + splice_site + frameshift_indel AS deleterious,
     silent + nonsense + lost_stop + lost_start + missense + splice_site + inframe_indel + frameshift_indel AS total FROM summary

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import settle
+from .ordered import PART_ROWS
 
 
 def simple_edges(df: DataFrame, first: str, second: str) -> DataFrame:
@@ -24,17 +27,20 @@ def node_degree(edges: DataFrame) -> DataFrame:
 
 
 PAIRS_PER_BATCH = 50_000_000  # pairs of source and node that one batch may reach
+WHOLE_CORE = 1_000  # a core of at most so many nodes is not worth taking apart
 
 
-def node_betweenness(edges: DataFrame, batches: int | None = None) -> DataFrame:
+def node_betweenness(edges: DataFrame, batches: int | None = None, whole_core: int = WHOLE_CORE) -> DataFrame:
     """Exact normalised betweenness ``(node, betweenness)``.
 
-    Pendant trees are folded into the nodes they hang from, round by round, so a graph whose
-    nodes mostly hang from others is searched through its core only.  A folded node stands for
-    as many nodes as its subtree has, and what passes through it inside its trees, or between
-    them and the rest, follows from the sizes of its subtrees alone.
+    Pendant trees are folded into the nodes they hang from, round by round.  A core of more
+    than ``whole_core`` nodes is then taken apart into its biconnected blocks, and only inside
+    a block is anything searched: a node of a block stands for all nodes that hang from it
+    outside the block.  What passes through a node between its blocks and folded subtrees
+    follows from their sizes alone.  A smaller core is searched by connected components, which
+    gives the same numbers.
 
-    In the core all sources of a batch search breadth-first together, one join with the
+    In a block all sources of a batch search breadth-first together, one join with the
     adjacency per level, carrying the number of shortest paths; dependencies, weighted by the
     nodes that a target stands for, are accumulated from the deepest level back.  In an
     undirected graph the neighbours of a level lie in it, the one before or the one after, so
@@ -50,25 +56,187 @@ def node_betweenness(edges: DataFrame, batches: int | None = None) -> DataFrame:
     n = nodes.count()
     scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
     core, adjacency, folded = _fold_pendants(nodes, adjacency)
-    core_size = core.count()
-    batches = batches or max(1, -(-core_size * core_size // PAIRS_PER_BATCH))
-    near = settle(adjacency.join(core.select(F.col("node").alias("next"), F.col("weight").alias("next_weight")), "next"))
+    members, links = (_connected_parts if core.count() <= whole_core else _blocks)(core, adjacency)
+    # nothing lies between two nodes of a block without others
+    wide = members.groupBy("block").agg(F.count(F.lit(1)).alias("nodes")).filter("nodes > 2")
+    pairs = wide.agg(F.sum(F.col("nodes") * F.col("nodes"))).first()[0] or 0
+    batches = batches or max(1, -(-pairs // PAIRS_PER_BATCH))
+    place = F.struct("block", "node").alias("node")
+    searched = settle(members.join(wide.select("block"), "block").select(place, "weight"))
+    near = settle(links.select(place, F.struct("block", F.col("next").alias("node")).alias("next")).join(
+        searched.select(F.col("node").alias("next"), F.col("weight").alias("next_weight")), "next"
+    ))
     through = core.select("node", F.lit(0.0).alias("delta"))
-    reach = core.select("node", F.col("weight").alias("reached"))
     for batch in range(batches):
-        sources = core.filter(F.pmod(F.xxhash64("node"), F.lit(batches)) == batch)
-        deltas, reached = _dependencies(sources.select("node", "weight"), near)
+        sources = searched.filter(F.pmod(F.xxhash64("node"), F.lit(batches)) == batch)
+        deltas = _dependencies(sources, near).select(F.col("node.node").alias("node"), "delta")
         through = settle(through.unionByName(deltas).groupBy("node").agg(F.sum("delta").alias("delta")))
-        reach = settle(reach.unionByName(reached).groupBy("node").agg(F.sum("reached").alias("reached")))
-    known = settle(core.join(through, "node").join(reach, "node"))
+    outside = members.groupBy("node").agg(
+        F.sum(_square(F.col("total") - F.col("weight"))).alias("outside"), F.max("total").alias("total")
+    )
+    known = settle(core.join(through, "node").join(outside, "node", "left").select(
+        "node", "weight", "squares", "delta", F.coalesce("outside", F.lit(0.0)).alias("outside"),
+        F.coalesce("total", "weight").alias("total"),
+    ))
     # what was folded last hangs from nodes that are known; a subtree's component is its parent's
     for leaves in reversed(folded):
-        parents = known.select(F.col("node").alias("parent"), "reached")
-        below = leaves.join(parents, "parent").select("node", "weight", "squares", F.lit(0.0).alias("delta"), "reached")
+        parents = known.select(F.col("node").alias("parent"), "total")
+        below = leaves.join(parents, "parent").select(
+            "node", "weight", "squares", F.lit(0.0).alias("delta"),
+            _square(F.col("total") - F.col("weight")).alias("outside"), "total",
+        )
         known = settle(known.unionByName(below))
-    inside = F.col("weight") - 1
-    hanging = 2.0 * inside * (F.col("reached") - F.col("weight")) + inside * inside - F.col("squares")
-    return known.select("node", ((F.col("delta") + hanging) * scale).alias("betweenness"))
+    between = _square(F.col("total") - 1) - F.col("squares") - F.col("outside")
+    return known.select("node", ((F.col("delta") + between) * scale).alias("betweenness"))
+
+
+def _square(x):
+    return x.cast("double") * x.cast("double")
+
+
+def components(pairs: DataFrame) -> DataFrame:
+    """``(node, component)`` of undirected ``(a, b)``: the least node that can be reached.
+
+    Every node hands its least neighbour to the greater ones, then to the lesser ones, until
+    only stars are left.  Both steps join with one least neighbour per node.
+    """
+    links = settle(
+        pairs.filter("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct()
+    )
+    while True:
+        both = links.select(F.col("v").alias("node"), F.col("u").alias("next")).unionByName(
+            links.select(F.col("u").alias("node"), F.col("v").alias("next"))
+        )
+        least = both.groupBy("node").agg(F.min("next").alias("least")).select("node", F.least("node", "least").alias("least"))
+        large = settle(
+            both.filter("next > node").join(least, "node").select(F.col("next").alias("v"), F.col("least").alias("u")).distinct()
+        )
+        least = large.groupBy("v").agg(F.min("u").alias("least"))
+        met = large.join(least, "v")
+        links = settle(met.select("v", F.col("least").alias("u")).unionByName(
+            met.filter("u > least").select(F.col("u").alias("v"), F.col("least").alias("u"))
+        ).distinct())
+        chained = links.join(links.select(F.col("u").alias("v")), "v", "left_semi")
+        if chained.isEmpty() and links.groupBy("v").count().filter("count > 1").isEmpty():
+            return links.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(
+                links.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct()
+            )
+
+
+def _connected_parts(core: DataFrame, adjacency: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Connected components in the form of ``_blocks``."""
+    part = components(adjacency.select(F.col("node").alias("a"), F.col("next").alias("b"))).withColumnRenamed("component", "block")
+    own = settle(part.join(core.select("node", "weight"), "node"))
+    totals = own.groupBy("block").agg(F.sum("weight").alias("total"))
+    return settle(own.join(totals, "block")), adjacency.join(part, "node")
+
+
+def _blocks(core: DataFrame, adjacency: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Biconnected blocks: ``(block, node, weight, total)`` and both directions of their edges
+    ``(block, node, next)``.
+
+    ``weight`` counts the nodes that hang from a node outside the block, itself included,
+    ``total`` the nodes of its component.
+
+    Each edge of a breadth-first forest is named by its lower node.  Two of them lie in one
+    block if an edge outside the forest joins their lower nodes, or if one follows the other
+    and such an edge leads from below both to beyond the upper one; nodes are numbered in
+    preorder, so beyond means outside an interval.  Blocks are the components of that relation.
+    """
+    roots = components(adjacency.select(F.col("node").alias("a"), F.col("next").alias("b"))).filter("node = component")
+    none = F.lit(None).cast(adjacency.schema["node"].dataType)
+    levels = [settle(roots.select("node", none.alias("parent"), F.col("node").alias("root")))]
+    while True:
+        found = levels[-1].select("node", "root").join(adjacency, "node").groupBy(F.col("next").alias("name")).agg(
+            F.min("node").alias("parent"), F.min("root").alias("root")
+        ).withColumnRenamed("name", "node")
+        for level in levels[-2:]:
+            found = found.join(level.select("node"), "node", "left_anti")
+        found = settle(found)
+        if found.isEmpty():
+            break
+        levels.append(found)
+
+    # from the deepest level up: nodes of a subtree, and what they stand for
+    sized: list[DataFrame] = []
+    for level in reversed(levels):
+        rows = level.join(core.select("node", "weight"), "node").select(
+            *level.columns, F.lit(1).cast("bigint").alias("size"), F.col("weight").alias("heavy")
+        )
+        if sized:
+            below = sized[-1].groupBy(F.col("parent").alias("node")).agg(F.sum("size").alias("more"), F.sum("heavy").alias("more_heavy"))
+            rows = rows.join(below, "node", "left").select(
+                *level.columns, (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"),
+                (F.col("heavy") + F.coalesce("more_heavy", F.lit(0))).alias("heavy"),
+            )
+        sized.append(settle(rows))
+    sized.reverse()
+
+    # from the roots down: preorder numbers; the children of a hub are summed in parts
+    tree = _stacked(sized)
+    children = tree.filter("parent IS NOT NULL").withColumn("part", F.pmod(F.xxhash64("node"), F.lit(tree.count() // PART_ROWS + 1)))
+    inside = Window.partitionBy("parent", "part").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = Window.partitionBy("parent").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    of_part = children.groupBy("parent", "part").agg(F.sum("size").alias("own")).select(
+        "parent", "part", (F.sum("own").over(ahead) - F.col("own")).alias("ahead")
+    )
+    shifts = settle(children.withColumn("upto", F.sum("size").over(inside)).join(of_part, ["parent", "part"]).select(
+        "node", (F.col("ahead") + F.col("upto") - F.col("size") + 1).alias("shift")
+    ))
+    nothing = F.lit(None).cast("bigint")
+    placed = [settle(sized[0].select("*", F.lit(0).cast("bigint").alias("at"), nothing.alias("above"), nothing.alias("above_end")))]
+    for level in sized[1:]:
+        parents = placed[-1].select(F.col("node").alias("parent"), F.col("at").alias("above"), (F.col("at") + F.col("size")).alias("above_end"))
+        placed.append(settle(level.join(shifts, "node").join(parents, "parent").select(
+            *level.columns, (F.col("above") + F.col("shift")).alias("at"), "above", "above_end"
+        )))
+
+    up = tree.select("node", "parent")
+    rising = up.select(F.col("node").alias("next"), F.col("parent").alias("next_parent"))
+    sides = settle(adjacency.join(up, "node").join(rising, "next").select(
+        "node", "next", F.coalesce(F.col("parent") == F.col("next"), F.lit(False)).alias("rises"),
+        F.coalesce(F.col("next_parent") == F.col("node"), F.lit(False)).alias("falls"),
+    ))
+    across = sides.filter("NOT rises AND NOT falls").select("node", "next")
+    spots = _stacked(placed).select(F.col("node").alias("next"), "at")
+    reach = settle(across.join(spots, "next").groupBy("node").agg(F.min("at").alias("low"), F.max("at").alias("high")))
+    ranges: list[DataFrame] = []
+    for level in reversed(placed):
+        rows = level.join(reach, "node", "left").select(
+            "node", "parent", "at", "above", "above_end", F.least("at", "low").alias("low"), F.greatest("at", "high").alias("high")
+        )
+        if ranges:
+            below = ranges[-1].groupBy(F.col("parent").alias("node")).agg(F.min("low").alias("lower"), F.max("high").alias("higher"))
+            rows = rows.join(below, "node", "left").select(
+                "node", "parent", "at", "above", "above_end",
+                F.least("low", "lower").alias("low"), F.greatest("high", "higher").alias("high"),
+            )
+        ranges.append(settle(rows))
+    # nothing lies beyond a root
+    follows = _stacked(ranges).filter("low < above OR high >= above_end").select(F.col("node").alias("a"), F.col("parent").alias("b"))
+    same = components(across.select(F.col("node").alias("a"), F.col("next").alias("b")).unionByName(follows))
+
+    lower = settle(tree.filter("parent IS NOT NULL").join(same, "node", "left").select(
+        "node", "parent", "root", "heavy", F.coalesce("component", "node").alias("block")
+    ))
+    below = lower.groupBy("block", F.col("parent").alias("name")).agg(
+        F.sum("heavy").alias("below"), F.min("root").alias("top_root")
+    ).withColumnRenamed("name", "node")
+    totals = sized[0].select("root", F.col("heavy").alias("total"))
+    members = lower.select("block", "node", "heavy", "root").join(below, ["block", "node"], "full").select(
+        "block", "node", "heavy", F.coalesce("below", F.lit(0)).alias("below"), F.coalesce("root", "top_root").alias("root")
+    ).join(totals, "root")
+    members = settle(members.select("block", "node", (F.coalesce("heavy", "total") - F.col("below")).alias("weight"), "total"))
+    mine = lower.select("node", F.col("block").alias("mine"))
+    theirs = lower.select(F.col("node").alias("next"), F.col("block").alias("theirs"))
+    links = sides.join(mine, "node", "left").join(theirs, "next", "left").select(
+        F.when(F.col("falls"), F.col("theirs")).otherwise(F.col("mine")).alias("block"), "node", "next"
+    )
+    return members, links
+
+
+def _stacked(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
 
 
 def _fold_pendants(nodes: DataFrame, adjacency: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
@@ -105,9 +273,8 @@ def _fold_pendants(nodes: DataFrame, adjacency: DataFrame) -> tuple[DataFrame, D
         )
 
 
-def _dependencies(sources: DataFrame, near: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Weighted dependencies ``(node, delta)`` of the given sources, stacked over levels, and
-    ``(node, reached)``: how much weight each source reaches beside its own.
+def _dependencies(sources: DataFrame, near: DataFrame) -> DataFrame:
+    """Weighted dependencies ``(node, delta)`` of the given sources, stacked over levels.
 
     ``near``: node, next, next_weight.
     """
@@ -129,16 +296,13 @@ def _dependencies(sources: DataFrame, near: DataFrame) -> tuple[DataFrame, DataF
             break
         levels.append(reached)
 
-    weights = sources.select("node", F.lit(0).cast("bigint").alias("reached"))
-    for level in levels[1:]:
-        weights = weights.unionByName(level.groupBy(F.col("source").alias("node")).agg(F.sum("weight").alias("reached")))
     # The deepest level depends on nothing, and sources do not count for themselves.
     stacked = sources.select("node", F.lit(0.0).alias("delta"))
     deeper = levels[-1].withColumn("delta", F.lit(0.0))
     for level in reversed(levels[1:-1]):
         deeper = settle(_step_back(level, deeper, near))
         stacked = stacked.unionByName(deeper.select("node", (F.col("source_weight") * F.col("delta")).alias("delta")))
-    return stacked, weights
+    return stacked
 
 
 def _step_back(level: DataFrame, deeper: DataFrame, near: DataFrame) -> DataFrame:

@@ -127,11 +127,69 @@ def hanging(seed):
 def test_pendant_trees_are_folded(spark, seed):
     edges = graph.simple_edges(spark.createDataFrame(hanging(seed), "u string, v string"), "u", "v")
     expected = brute_betweenness([tuple({*e}) for e in hanging(seed)])
-    for batches in (None, 3):
-        found = {r["node"]: r["betweenness"] for r in graph.node_betweenness(edges, batches).collect()}
+    for batches, whole_core in ((None, 1000), (3, 0 if seed == 1 else 1000)):
+        found = {r["node"]: r["betweenness"] for r in graph.node_betweenness(edges, batches, whole_core).collect()}
         assert found == pytest.approx(expected)
 
 
+def blocky(seed):
+    """Random clumps that share nodes or hang together by bridges, in two components."""
+    rnd = random.Random(seed)
+    edges = []
+    for side in "lr":
+        nodes = [f"{side}0"]
+        for clump in range(6):
+            start = rnd.choice(nodes)
+            fresh = [f"{side}{clump}{k}" for k in range(rnd.randint(1, 5))]
+            ring = [start, *fresh]
+            edges += [(ring[i], ring[(i + 1) % len(ring)]) for i in range(len(ring))]
+            edges += [tuple(rnd.sample(ring, 2)) for _ in range(rnd.randint(0, 2))]
+            nodes += fresh
+    return edges
+
+
+def biconnected(edges):
+    """Blocks as sets of edges: two edges are in one if no single node parts them."""
+    edges = sorted({tuple(sorted(e)) for e in edges if e[0] != e[1]})
+    group = {e: {e} for e in edges}
+    together = {(a, b) for a in edges for b in edges if a < b and set(a) & set(b)}
+    for a, b in together:
+        cut = (set(a) & set(b)).pop()
+        one, = set(a) - {cut}
+        seen, queue = {one}, [one]
+        while queue:
+            v = queue.pop()
+            for e in edges:
+                if v in e and cut not in e:
+                    w = e[0] if e[1] == v else e[1]
+                    if w not in seen:
+                        seen.add(w)
+                        queue.append(w)
+        if (set(b) - {cut}).pop() in seen and group[a] is not group[b]:
+            merged = group[a] | group[b]
+            for e in merged:
+                group[e] = merged
+    return {frozenset(g) for g in group.values()}
+
+
+@pytest.mark.parametrize("seed", [3])
+def test_cores_are_taken_apart_into_blocks(spark, seed):
+    pairs = blocky(seed)
+    edges = graph.simple_edges(spark.createDataFrame(pairs, "u string, v string"), "u", "v")
+    both = edges.select(F.col("a").alias("node"), F.col("b").alias("next"))
+    both = both.union(both.select("next", "node")).filter("node <> next")
+    core = both.select("node").distinct().select("node", F.lit(1).cast("bigint").alias("weight"), F.lit(0).cast("bigint").alias("squares"))
+    members, links = graph._blocks(core, both)
+    found = {}
+    for r in links.collect():
+        found.setdefault(r["block"], set()).add(tuple(sorted((r["node"], r["next"]))))
+    assert {frozenset(g) for g in found.values()} == biconnected(pairs)
+    sums = members.groupBy("block").agg(F.sum("weight").alias("s"), F.max("total").alias("t"))
+    assert all(r["s"] == r["t"] for r in sums.collect())
+    got = {r["node"]: r["betweenness"] for r in graph.node_betweenness(edges, whole_core=0).collect()}
+    assert got == pytest.approx(brute_betweenness([tuple({*e}) if len({*e}) == 2 else e for e in pairs]), abs=1e-12)
+
+
 @pytest.mark.parametrize("name", GRAPHS)
 def test_graphs(spark, name):
     df = spark.createDataFrame([*GRAPHS[name], ("a", None)], "u string, v string")
