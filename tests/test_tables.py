@@ -77,6 +77,13 @@ def test_bootstrap_sizes(spark):
     assert totals == {(t, c): n for t in (1, 2, 3) for c, n in ((0, 28), (1, 14), (2, 14))}
 
 
+def test_bootstrap_draws_stay_on_the_executors(spark):
+    """In a plan the draws look like the few rows they come from, small enough to be broadcast."""
+    df = spark.createDataFrame([(f"g{i}", i % 3) for i in range(30)], "key string, label int")
+    plan = sampling.stratified_bootstrap(df, "key", trees=3)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin [label" in plan and "BroadcastHashJoin [label" not in plan.split("hashpartitioning(label")[0]
+
+
 def brute_betweenness(edges):
     nodes = sorted({n for e in edges for n in e})
     near = {n: {b for e in edges for b in e if n in e and b != n} for n in nodes}
