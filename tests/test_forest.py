@@ -153,3 +153,20 @@ def test_bank_holds_rows_out_and_importance_sums_gains(spark, tmp_path):
     assert summary["b"]["std_importance"] == pytest.approx(abs(two[0] - two[1]) / math.sqrt(2))
     new = df.limit(5).withColumn("gene", F.concat(F.lit("new"), "gene"))
     assert forest.score_bank(new, "gene", FEATURES, path, 2).count() == 5
+
+
+@pytest.mark.parametrize("plain", [False, True])
+def test_whole_trees_equal_trees_of_samples(spark, tmp_path, monkeypatch, plain):
+    """Draws made beside the trees equal those of the samples, also for keys that repeat or are null."""
+    settings = forest.ForestSettings(**{**SMALL.__dict__, "plain": plain})
+    df = table(spark, 60).na.fill(9.0, FEATURES)
+    df = df.unionByName(df.limit(9)).unionByName(df.limit(2).withColumn("gene", F.lit(None).cast("string"))).cache()
+    found = []
+    for whole in (forest.WHOLE_BYTES, 0):
+        monkeypatch.setattr(forest, "WHOLE_BYTES", whole)
+        path = forest.train_forest(df, "gene", FEATURES, str(tmp_path / f"{plain}{whole}"), settings)
+        rows = forest.read_nodes(spark, path).withColumn("gain", F.round("gain", 9)).collect()
+        found.append(sorted(map(tuple, rows), key=repr))
+        if whole:  # a tree is one row, so scoring moves trees and not nodes
+            assert forest.read_trees(spark, path).count() == settings.trees
+    assert found[0] == found[1] and len(found[0]) > 4 * settings.trees
