@@ -70,7 +70,11 @@ def mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _prepared:
         path = scratch_path(spark, "mutations")
-        bind(spark, sf_dir, MUTATIONS).repartition(shuffle_width(spark)).write.parquet(path)
+        rows = bind(spark, sf_dir, MUTATIONS)
+        if rows.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+            # too few splits to be read by all cores; large tables have enough, and are not shuffled
+            rows = rows.repartition(shuffle_width(spark))
+        rows.write.parquet(path)
         _prepared[key] = path
     return spark.read.parquet(_prepared[key])
 

@@ -1,3 +1,4 @@
+from genesieve.catalog import base
 from genesieve.functions import hgvs
 
 PROTEIN = {
@@ -76,3 +77,21 @@ def test_splice_window_is_a_parameter(spark):
     df = spark.createDataFrame([("c.123+5G>A",)], "change string")
     assert not hgvs.annotate_dna(df, "change").first()["dna_splice"]
     assert hgvs.annotate_dna(df, "change", splice_5=6).first()["dna_splice"]
+
+
+def test_mutations_of_many_splits_are_not_shuffled(spark, tmp_path, monkeypatch):
+    """Rows are dealt out anew only where a scan has too few splits for all cores."""
+    items = spark.range(0, 400, 1, 64).selectExpr(
+        "id AS l_orderkey", "id % 50 AS l_partkey", "id % 7 AS l_suppkey", "CAST(id % 5 AS INT) AS l_linenumber",
+        "CAST(id % 9 AS DOUBLE) AS l_quantity", "'R' AS l_returnflag", "'F' AS l_linestatus",
+    )
+    items.write.parquet(str(tmp_path / "many" / "lineitem.parquet"))
+    items.coalesce(1).write.parquet(str(tmp_path / "few" / "lineitem.parquet"))
+    few = base.mutations(spark, str(tmp_path / "few")).collect()
+
+    def never(spark):
+        raise AssertionError("shuffled")
+
+    monkeypatch.setattr(base, "shuffle_width", never)
+    many = base.mutations(spark, str(tmp_path / "many")).collect()
+    assert len(many) == 400 and sorted(many, key=repr) == sorted(few, key=repr)
