@@ -4,6 +4,7 @@ import itertools
 import random
 from collections import deque
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -197,6 +198,63 @@ def test_cores_are_taken_apart_into_blocks(spark, seed):
     assert got == pytest.approx(brute_betweenness([tuple({*e}) if len({*e}) == 2 else e for e in pairs]), abs=1e-12)
 
 
+def ringed(seed, longest=8):
+    """Hubs in a ring, rings and clumps that hang from them, one between two hubs, one alone, and tails."""
+    rnd = random.Random(seed)
+    edges = [(f"h{i}", f"h{(i + 1) % 5}") for i in range(5)] + [("h0", "x0"), ("x0", "x1"), ("x1", "x2"), ("x2", "x0"), ("x2", "h3")]
+    for r in range(32):
+        ring = [f"{'' if r < 31 else 'alone'}{r}.{k}" for k in range(longest if r == 0 else rnd.randint(3, 6))]
+        edges += [(ring[i], ring[(i + 1) % len(ring)]) for i in range(len(ring))]
+        if r < 31:
+            edges += [(ring[0], f"h{r % 5}")] + [(ring[2], f"h{r % 5}")] * (r % 3 == 0) + [(ring[0], ring[2])] * (r % 4 == 0)
+        if r % 7 == 0:
+            edges += [(ring[1], f"t{r}"), (f"t{r}", f"u{r}")]
+    return edges
+
+
+def test_small_pieces_are_folded(spark, monkeypatch):
+    """A ring of many nodes, once a written table or more for each of its levels."""
+    pairs, written, settle = ringed(5, longest=70), [], graph.settle
+    edges = graph.simple_edges(spark.createDataFrame(pairs, "u string, v string"), "u", "v")
+    monkeypatch.setattr(graph, "settle", lambda df: written.append(1) or settle(df))
+    found = {r["node"]: r["betweenness"] for r in graph.node_betweenness(edges, whole_core=10).collect()}
+    assert found == pytest.approx(brute_betweenness(pairs), abs=1e-12)
+    assert len(written) < 110
+
+
+def test_large_pieces_stay(spark):
+    pairs = ringed(6)
+    edges = graph.simple_edges(spark.createDataFrame(pairs, "u string, v string"), "u", "v")
+    found = {r["node"]: r["betweenness"] for r in graph.node_betweenness(edges, whole_core=10, piece_steps=70).collect()}
+    assert found == pytest.approx(brute_betweenness(pairs), abs=1e-12)
+
+
+def test_piles_of_pieces_are_searched_a_few_at_a_time(monkeypatch):
+    rnd, rows, expected = random.Random(7), [], {}
+    for piece in range(20):
+        size = rnd.randint(1, 9)
+        inside = {tuple(sorted(rnd.sample(range(size), 2))) for _ in range(3 * size) if size > 1} | {(i, i + 1) for i in range(size - 1)}
+        hub = rnd.random() < 0.7
+        ends = [*inside, *((i, size) for i in range(size) if hub and (i == 0 or rnd.random() < 0.4))]
+        if not ends:
+            continue
+        # the hub's own nodes hang from it as leaves
+        rest = rnd.randint(1, 4) if hub else 0
+        score = brute_betweenness([*ends, *((size, size + k) for k in range(1, rest))])
+        nodes = len(score)
+        for i in range(size):
+            expected[100 * piece + i] = score[i] * ((nodes - 1) * (nodes - 2) if nodes > 2 else 1)
+        for a, b in ends:
+            rows += [(piece, 100 * piece + a, 1, 100 * piece + b, rest)] + [(piece, 100 * piece + b, 1, 100 * piece + a, rest)] * (b < size)
+    rnd.shuffle(rows)
+    table = pa.table(dict(zip(("piece", "node", "weight", "next", "rest"), map(list, zip(*rows, strict=True)), strict=True)))
+    for steps in (graph.PIECE_STEPS, 60):
+        monkeypatch.setattr(graph, "PIECE_STEPS", steps)
+        found = graph._search_pile(table).to_pydict()
+        got = {k: v for k, v in zip(found["node"], found["delta"], strict=True) if k in expected}
+        assert got == pytest.approx(expected)
+
+
 @pytest.mark.parametrize("name", GRAPHS)
 def test_graphs(spark, name):
     df = spark.createDataFrame([*GRAPHS[name], ("a", None)], "u string, v string")
