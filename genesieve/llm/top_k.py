@@ -107,7 +107,7 @@ class Best:
         held_query = np.repeat(np.arange(len(self.score)), self.k)
         q = np.concatenate([held_query, query])
         i = np.concatenate([self.id.ravel(), ids])
-        s = np.concatenate([self.score.ravel(), scores])
+        s = np.concatenate([self.score.ravel(), scores.astype(np.int64)])  # whole numbers, in whatever type
         order = np.lexsort((i, ~s, q))  # ~s falls as s rises, and never overflows
         q, i, s = q[order], i[order], s[order]
         rank = np.arange(len(q)) - np.searchsorted(q, np.arange(len(self.score)))[q]
