@@ -7,10 +7,14 @@ first block of long vectors gives each query k scores and so a floor; a block of
 candidates meets a block of queries only if the product of the block's largest norm and
 the query's norm can exceed the floor.  Inside, the product of the leading components
 plus the product of the residual norms bounds the score (Cauchy-Schwarz); only vectors
-whose bound reaches the floor get the full integer product.
+whose bound reaches the floor get the full integer product.  Where the leading components
+leave too many, the bound takes twice as many of them, up to all.
 
 Queries are a stated share of the rows and meet all rows in blocks of both sides; each
-pair of blocks is its own row group, so neither side is ever whole in one task.
+pair of blocks is its own row group, so neither side is ever whole in one task.  Blocks are
+met in rounds, each with the floors of the round before and with copies of about two
+tables at most, so scores kept and disk grow with the rows.  The partial sums do not: of
+vectors of one length and no direction in common every query meets every row.
 
 Edge cases: null vectors and those with a null or non-finite component take no part;
 empty vectors and vectors shorter than the longest count as padded with zeros; ties go to
@@ -30,15 +34,19 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import parts_for, written
+from .common import Scratch, parts_for
 
 K = 5
 SCALE = 256
 QUERY_EVERY = 50
-BLOCK = 4096  # vectors in a block of candidates
-QUERIES = 1024  # vectors in a block of queries
+BLOCK = 8192  # vectors in a block of candidates
+QUERIES = 8192  # vectors in a block of queries
+NUMBERS = 1 << 20  # components in a block of either, unless one vector has more
 BANDS = 1000  # bounds of norms, at most
-LEADING = 16  # rotated components in the partial sum
+LEADING = 16  # rotated components in the first partial sum
+SLAB = 1024  # queries that are multiplied at once
+SPARSE = 256  # a bound is sharp enough if it leaves one pair in so many
+REACH = 16  # a round meets blocks up to so many times those met before
 
 
 def integers(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -104,15 +112,15 @@ class Best:
 
     def add(self, query: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
         """Scores of pairs (query, id), merged into what is held."""
-        held_query = np.repeat(np.arange(len(self.score)), self.k)
-        q = np.concatenate([held_query, query])
-        i = np.concatenate([self.id.ravel(), ids])
-        s = np.concatenate([self.score.ravel(), scores.astype(np.int64)])  # whole numbers, in whatever type
+        which, query = np.unique(query, return_inverse=True)
+        q = np.concatenate([np.repeat(np.arange(len(which)), self.k), query])
+        i = np.concatenate([self.id[which].ravel(), ids])
+        s = np.concatenate([self.score[which].ravel(), scores.astype(np.int64)])  # whole numbers, in whatever type
         order = np.lexsort((i, ~s, q))  # ~s falls as s rises, and never overflows
         q, i, s = q[order], i[order], s[order]
-        rank = np.arange(len(q)) - np.searchsorted(q, np.arange(len(self.score)))[q]
+        rank = np.arange(len(q)) - np.searchsorted(q, np.arange(len(which)))[q]
         top = rank < self.k
-        self.id, self.score = i[top].reshape(-1, self.k), s[top].reshape(-1, self.k)
+        self.id[which], self.score[which] = i[top].reshape(-1, self.k), s[top].reshape(-1, self.k)
 
 
 def products(a: np.ndarray, b: np.ndarray, about: np.ndarray) -> np.ndarray:
@@ -128,37 +136,75 @@ def products(a: np.ndarray, b: np.ndarray, about: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", a, b)
 
 
+def unit(rows: np.ndarray, axes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Norms, and the rotated rows at length 1 (or 0)."""
+    full = rows.astype(float)
+    norm = np.sqrt((full**2).sum(axis=1))
+    return norm, (full / np.where(norm > 0, norm, 1)[:, None]) @ axes
+
+
+def partial(rotated: np.ndarray, lead: int) -> np.ndarray:
+    """Leading components and the length of the rest: products of such rows bound those of whole rows."""
+    part = rotated[:, :lead]
+    rest = np.sqrt(np.maximum((rotated**2).sum(axis=1) - (part**2).sum(axis=1), 0))
+    return np.column_stack([part, rest]).astype(np.float32)
+
+
 def search(
     queries: np.ndarray, query_ids: np.ndarray, floors: np.ndarray, candidates: np.ndarray, ids: np.ndarray,
     axes: np.ndarray, k: int = K, leading: int = LEADING, chunk: int = 512,
 ) -> Best:
-    """Best k of one block of candidates for one block of queries, above the given floors."""
+    """Best k of one block of candidates for one block of queries, above the given floors.
+
+    Bounds are cosines in single precision; the slack is wider than their error, and the
+    scores are products of whole numbers.
+    """
     best = Best(len(queries), k)
-    fq, fc = queries.astype(float), candidates.astype(float)
-    norm = np.sqrt((fc**2).sum(axis=1))
+    norm, turned = unit(candidates, axes)
     order = np.lexsort((ids, -norm))
-    candidates, fc, ids, norm = candidates[order], fc[order], ids[order], norm[order]
-    lead = min(leading, axes.shape[1])
-    rq, rc = fq @ axes[:, :lead], fc @ axes[:, :lead]
-    qnorm = np.sqrt((fq**2).sum(axis=1))
-    rest = lambda full, part: np.sqrt(np.maximum(full**2 - (part**2).sum(axis=1), 0))
-    qrest, crest = rest(qnorm, rq), rest(norm, rc)
-    slack = 1e-6  # relative; the rotation is in floating point, the scores are not
-    for a in range(0, len(candidates), chunk):
-        b = min(a + chunk, len(candidates))
-        floor = np.maximum(floors, best.floor())
-        live = np.flatnonzero(qnorm * norm[a] * (1 + slack) + slack >= floor)
-        if not len(live):
-            break  # later vectors are shorter still
-        bound = rq[live] @ rc[a:b].T + np.outer(qrest[live], crest[a:b])
-        bound += slack * np.outer(qnorm[live], norm[a:b]) + slack
-        hit, at = np.nonzero(bound >= floor[live][:, None])
-        hit = live[hit]
-        other = query_ids[hit] != ids[a + at]
-        hit, at = hit[other], at[other]
-        if len(hit):
-            about = qnorm[hit] * norm[a + at]
-            best.add(hit, ids[a + at], products(queries[hit], candidates[a + at], about))
+    candidates, ids, norm, turned = candidates[order], ids[order], norm[order], turned[order]
+    qnorm, asked = unit(queries, axes)
+    width = axes.shape[1]
+    leads = [min(leading, width)]
+    while leads[-1] < width:
+        leads.append(min(2 * leads[-1], width))
+    right = {}
+    slack = 1e-6 + (width + 32) * 2.0**-23
+    for slab in range(0, len(queries), SLAB):
+        part = slice(slab, slab + SLAB)
+        left = {}
+        level, a = 0, 0
+        while a < len(candidates):
+            b = min(a + min(chunk, max(32, a)), len(candidates))  # few at first, while floors are low
+            floor = np.maximum(floors[part], best.floor()[part])
+            live = np.flatnonzero(qnorm[part] * norm[a] * (1 + slack) + slack >= floor)
+            if not len(live):
+                break  # later vectors are shorter still
+            floor, length = floor[live], qnorm[part][live]
+            longest = length * np.where(floor > 0, norm[a], norm[b - 1])
+            need = np.where(longest > 0, floor / np.where(longest > 0, longest, 1), -np.inf) - slack
+            need = np.maximum(need, -2).astype(np.float32)[:, None]
+            tried = []
+            for lead in leads[level:]:
+                if lead not in right:
+                    right[lead] = partial(turned, lead)
+                if lead not in left:
+                    left[lead] = partial(asked[part], lead)
+                bound = left[lead][live] @ right[lead][a:b].T
+                flat = np.flatnonzero(bound >= need)
+                hit, at = np.divmod(flat, b - a)
+                about = length[hit] * norm[a + at]
+                sharp = (bound.ravel()[flat] + slack) * about + slack >= floor[hit]
+                tried.append(np.count_nonzero(sharp))
+                if tried[-1] * SPARSE <= bound.size:
+                    break
+            level += next(i for i, n in enumerate(tried) if n <= 2 * tried[-1])
+            hit, at, about = slab + live[hit[sharp]], a + at[sharp], about[sharp]
+            other = query_ids[hit] != ids[at]
+            hit, at, about = hit[other], at[other], about[other]
+            if len(hit):
+                best.add(hit, ids[at], products(queries[hit], candidates[at], about))
+            a = b
     return best
 
 
@@ -179,13 +225,20 @@ def top_k(
     every: int = QUERY_EVERY, block: int = BLOCK, queries: int = QUERIES,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the k best candidates of every query."""
-    rows = written(integers(vectors, vec_id, embedding), "vectors")
-    size = rows.agg(F.max(F.size("v")), F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
+    kept = Scratch(vectors.sparkSession)
+    rows = kept.keep(integers(vectors, vec_id, embedding), "vectors")
+    size = rows.agg(
+        F.max(F.size("v")), F.count("*"), F.count_if(F.col("vec_id") % every == 0),
+        F.max(F.greatest(F.array_max("v"), F.bitwise_not(F.array_min("v")))),
+    ).first()
     width, total, asking = size[0] or 0, size[1], size[2]
     blank = rows.where("false").selectExpr("vec_id AS query_id", "1 AS rank", "vec_id", "0L AS score")
     if not asking or total < 2:
         return blank
     axes = directions(rows, width)
+    if (size[3] or 0) < 2**15:  # a fourth of the bytes in every copy
+        rows = rows.withColumn("v", F.col("v").cast("array<smallint>"))
+    block, queries = (max(1, min(n, NUMBERS // max(width, 1))) for n in (block, queries))
 
     # Blocks of candidates by falling norm, of queries by id.  The bounds are quantiles, so
     # equal norms are dealt by a hash of the id to keep a common vector from one block.  There
@@ -201,7 +254,7 @@ def top_k(
     asked = asked.select(
         "vec_id", "v", "norm", F.expr(f"pmod(xxhash64(vec_id), {asking_blocks})").cast("int").alias("asked")
     )
-    shape = "asked int, query_id long, vec_id long, score long, norm double"
+    asked = kept.keep(asked, "asked")
     limit = k
 
     def meet(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -209,40 +262,43 @@ def top_k(
         floors = left["floor"].to_numpy(dtype=float)
         best = search(q, ids, floors, matrix(right["w"], width), right["id"].to_numpy(), axes, limit)
         row, column = np.nonzero(best.score != NONE)
-        return pd.DataFrame({
-            "asked": left["asked"].to_numpy()[row], "query_id": ids[row], "vec_id": best.id[row, column],
-            "score": best.score[row, column], "norm": left["norm"].to_numpy()[row],
-        })
+        return pd.DataFrame({"query_id": ids[row], "vec_id": best.id[row, column], "score": best.score[row, column]})
 
     def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
         """Each planned pair of blocks is one group: bounded queries against bounded candidates."""
         right = right.select(
             *[F.col(a).alias(b) for a, b in (("asked", "to"), ("block", "of"), ("vec_id", "id"), ("v", "w"))]
         )
-        return left.groupBy("asked", "block").cogroup(right.groupBy("to", "of")).applyInPandas(meet, shape)
+        groups = left.groupBy("asked", "block").cogroup(right.groupBy("to", "of"))
+        return groups.applyInPandas(meet, "query_id long, vec_id long, score long")
 
-    longest = dealt.where("block = 0").withColumn("asked", F.explode(F.sequence(F.lit(0), F.lit(asking_blocks - 1))))
-    first = written(pairs(asked.selectExpr("*", "0 AS block", "double('-Infinity') AS floor"), longest), "first")
-    floors = first.groupBy("query_id").agg(
-        F.when(F.count("*") >= k, F.min("score").cast("double")).otherwise(F.lit(float("-inf"))).alias("floor")
-    )
-    asked = asked.join(floors.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").withColumn(
-        "floor", F.coalesce("floor", F.lit(float("-inf")))
-    )
-    asked = written(asked, "asked")
-    # What a block of queries still needs: its least ratio of floor and norm.  Blocks get
-    # shorter, so each block of queries meets a leading run of them.
-    need = F.min(F.when(F.col("norm") > 0, F.col("floor") / F.col("norm")).otherwise(F.lit(float("-inf"))))
-    plan = asked.groupBy("asked").agg(need.alias("need"))
-    # the last band whose longest vector can still matter
-    plan = _banded(plan.withColumn("place", F.when(F.col("need") <= 0, F.lit(float("inf"))).otherwise((1e-6 - F.col("need")) / (1 + 1e-6))), "place", bounds, least=True)
-    last = ((F.col("band") + 1) * salts - 1).cast("int")
-    plan = plan.withColumn("last", last).where("last > 0")
-    plan = written(plan.select("asked", F.explode(F.sequence(F.lit(1), "last")).alias("block")), "plan")
-    later = pairs(asked.join(plan, "asked"), dealt.join(plan, "block"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = first.unionByName(later).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return found.select("query_id", "rank", "vec_id", "score")
+    ends = (len(bounds) + 1) * salts
+    most = max(1, 2 * total // (asking + block * asking_blocks))  # blocks in a round, by the copies that it makes
+    held, begin, turn = blank, 0, 0
+    while begin < ends:
+        end = min(ends, max(1, begin * REACH), begin + most)
+        floors = held.groupBy(F.col("query_id").alias("vec_id")).agg(
+            F.when(F.count("*") >= k, F.min("score").cast("double")).otherwise(F.lit(float("-inf"))).alias("floor")
+        )
+        now = asked.join(floors, "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+        # What a block of queries still needs: its least ratio of floor and norm.  Blocks get
+        # shorter, so each block of queries meets a leading run of them.
+        need = F.min(F.when(F.col("norm") > 0, F.col("floor") / F.col("norm")).otherwise(F.lit(float("-inf"))))
+        plan = now.groupBy("asked").agg(need.alias("need"))
+        # the last band whose longest vector can still matter
+        plan = _banded(plan.withColumn("place", F.when(F.col("need") <= 0, F.lit(float("inf"))).otherwise((1e-6 - F.col("need")) / (1 + 1e-6))), "place", bounds, least=True)
+        last = F.least(((F.col("band") + 1) * salts - 1).cast("int"), F.lit(end - 1))
+        plan = plan.withColumn("last", last).where(F.col("last") >= begin)
+        plan = kept.keep(plan.select("asked", F.explode(F.sequence(F.lit(begin), "last")).alias("block")), f"plan{turn}")
+        if plan.isEmpty():
+            break
+        later = pairs(now.join(plan, "asked"), dealt.join(plan, "block"))
+        found = held.drop("rank").unionByName(later).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        held = kept.keep(found.select("query_id", "rank", "vec_id", "score"), f"held{turn}")
+        kept.drop(f"plan{turn}", *([f"held{turn - 1}"] if turn else []))
+        begin, turn = end, turn + 1
+    return held
 
 
 SQL = """

@@ -177,3 +177,43 @@ def test_pruned_search_is_exact():
     for i in range(40):
         scores = sorted(((-(q[i] @ vectors[j]), ids[j]) for j in range(900) if ids[j] != ids[i]))[:5]
         assert [(-s, n) for s, n in zip(best.score[i], best.id[i], strict=True)] == scores
+
+
+def brute_force(q, query_ids, vectors, ids, k=5):
+    scores = [[int(s) for s in row] for row in q.astype(object) @ vectors.astype(object).T]
+    pairs = [sorted((-s, n) for s, n in zip(row, ids.tolist(), strict=True) if n != i) for row, i in zip(scores, query_ids, strict=True)]
+    return [[(-s, n) for s, n in found[:k]] for found in pairs]
+
+
+def held(best):
+    return [[(s, n) for s, n in zip(*row, strict=True) if s != top_k.NONE] for row in zip(best.score.tolist(), best.id.tolist(), strict=True)]
+
+
+def test_few_products_among_vectors_without_direction(monkeypatch):
+    rnd = np.random.default_rng(4)
+    vectors = rnd.normal(size=(3000, 64))
+    vectors = np.floor(256 * vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.int64)
+    ids, q = np.arange(3000), vectors[::50]
+    axes = np.linalg.svd(vectors.astype(float), full_matrices=False)[2].T
+    made, products = [], top_k.products
+    monkeypatch.setattr(top_k, "products", lambda a, b, about: made.append(len(a)) or products(a, b, about))
+    best = top_k.search(q, ids[::50], np.full(60, -np.inf), vectors, ids, axes)
+    assert held(best) == brute_force(q, ids[::50], vectors, ids)
+    assert sum(made) < 0.05 * len(q) * len(vectors)
+
+
+@pytest.mark.parametrize("scale", [1, 10**7])
+def test_search_of_any_signs_and_lengths(monkeypatch, scale):
+    monkeypatch.setattr(top_k, "SLAB", 16)
+    rnd = np.random.default_rng(6)
+    vectors = np.floor(-np.abs(rnd.normal(size=(700, 24))) * rnd.gamma(0.3, 20, size=(700, 1)) * scale).astype(np.int64)
+    vectors[40:60], vectors[100:140], vectors[300:330] = 0, vectors[7], -vectors[300:330]
+    ids = rnd.permutation(700)
+    axes = np.linalg.svd(vectors.astype(float), full_matrices=False)[2].T
+    for about in (vectors, -vectors):  # all scores of most queries are negative
+        q = about[:130]
+        exact = brute_force(q, ids[:130], vectors, ids)
+        assert held(top_k.search(q, ids[:130], np.full(130, -np.inf), vectors, ids, axes, chunk=64)) == exact
+        floors = np.array([float(row[2][0]) for row in exact])
+        best = top_k.search(q, ids[:130], floors, vectors, ids, axes, leading=3, chunk=64)
+        assert [row[:3] for row in held(best)] == [row[:3] for row in exact]
