@@ -2,11 +2,13 @@
 
 import math
 import random
+from hashlib import md5
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from genesieve.functions.numbered_md5 import numbered_md5
 from genesieve.operators import forest
 
 FEATURES = ["a", "b", "c", "d", "e"]
@@ -170,3 +172,49 @@ def test_whole_trees_equal_trees_of_samples(spark, tmp_path, monkeypatch, plain)
         if whole:  # a tree is one row, so scoring moves trees and not nodes
             assert forest.read_trees(spark, path).count() == settings.trees
     assert found[0] == found[1] and len(found[0]) > 4 * settings.trees
+
+
+@pytest.mark.parametrize("head", [b"", b"71|1|0|", b"123456|200|2|", b"x" * 48, b"x" * 51, b"x" * 60])
+def test_numbered_md5_equals_one_by_one(head):
+    """Also for texts of more than one block, and where the number gets a digit more."""
+    for first, last in ((0, 13_000), (5, 7), (3, 3), (9_990, 22_001), (1_234_567, 1_237_000), (998_000, 1_003_000)):
+        want = [int.from_bytes(md5(head + b"%d" % d).digest()[:4], "big") for d in range(first, last)]
+        assert numbered_md5(head, first, last).tolist() == want
+
+
+@pytest.mark.parametrize("draws_at_most", [3, 10**6])
+def test_counted_and_sorted_cuts_equal_brute_force(monkeypatch, draws_at_most):
+    """However many rows are split at once, by whichever way, and with counts too large for one number."""
+    rnd = np.random.default_rng(4)
+    n, features, settings = 700, 5, forest.ForestSettings(max_depth=9, seed=3)
+    bins, label = rnd.integers(0, 12, (n, features)).astype(np.uint8), rnd.integers(0, 3, n)
+    draws = rnd.integers(1, draws_at_most + 1, n)
+    sizes = np.bincount(label, weights=draws, minlength=3).astype(np.int64)
+    want = brute_tree([(b.tolist(), int(c), int(d)) for b, c, d in zip(bins, label, draws, strict=True)], sizes.tolist(), 3, 7, settings)
+    for rows_at_once, many, long in ((40, 1, 10**9), (10**6, 0, 1), (200, 10**9, 1), (32_768, 4, 1_200)):
+        for name, value in (("ROWS_AT_ONCE", rows_at_once), ("MANY_ROWS", many), ("LONG_ROWS", long)):
+            monkeypatch.setattr(forest, name, value)
+        made = forest.grow_subtree(bins, label, draws, sizes, 3, 7, 1, settings.tried(features), 9)
+        got = {(7, int(r[0])): (None if r[1] < 0 else r[1], None if r[1] < 0 else r[2], r[3], r[5]) for r in zip(*made, strict=True)}
+        assert got == {k: (*w[:3], w[4]) for k, w in want.items()}
+        assert all(g == pytest.approx(want[7, int(node)][3], abs=1e-12) for node, g in zip(made[0], made[4], strict=True))
+
+
+def test_votes_in_batches_of_nodes(spark, tmp_path, monkeypatch):
+    df = table(spark).cache()
+    path = forest.train_forest(df.na.fill(9.0), "gene", FEATURES, str(tmp_path / "forest"), SMALL)
+    asked = ("gene", "oncogene_score", "tsg_score")
+    want = sorted(map(tuple, forest.score_forest(df, FEATURES, path).select(*asked).collect()))
+    for name, value in (("ROUTED_NODES", 30), ("ROUTED_AT_ONCE", 7)):
+        monkeypatch.setattr(forest, name, value)
+    assert sorted(map(tuple, forest.score_forest(df, FEATURES, path).select(*asked).collect())) == want
+
+
+def test_a_bank_packs_rows_once_per_repeat(spark):
+    """And not once for every model that learns from them."""
+    df = table(spark, 90).na.fill(9.0, FEATURES).cache()
+    rows = forest.binned(df, FEATURES, forest.bin_edges(df, FEATURES, 8)).select("gene", "bins")
+    held = df.selectExpr("explode(array(1, 2)) AS iteration", "1 + pmod(hash(gene), 10) AS fold", "gene", "label")
+    packed = forest._packed(held, rows, "gene", "label", range(1, 11), 81, len(FEATURES), SMALL).collect()
+    assert sum(len(r["flags"]) for r in packed) == 2 * 90
+    assert sum(len(r["bins"]) for r in packed) == 2 * 90 * len(FEATURES)
